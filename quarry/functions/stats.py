@@ -86,3 +86,45 @@ def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             exprs.append(F.max(F.when((F.col("column_name") == c) & (F.col("p") == float(p)),
                                       F.col("q"))).alias(f"{c}__q{i}"))
     return q.agg(*exprs)
+
+
+def global_rank(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequence[str] = (),
+                weight_col: str | None = None, num_ranges: int | None = None) -> DataFrame:
+    """Row number (1-based, ``__rn``), inclusive running weight (``__cum``),
+    group size (``__n``) and group weight (``__wt``) within ``partition_cols``
+    ordered by ``order_cols`` — without a single-task window.
+
+    Rows are range-partitioned on (partition, order) keys, each range counts
+    its rows per group (a table of ranges × groups), offsets are prefix sums
+    over that small table, and the final row_number runs per range.  A hot
+    group (one class holding a third of the rows) spreads over many ranges.
+    ``order_cols`` must make the order total (end with a unique id)."""
+    spark = df.sparkSession
+    if num_ranges is None:
+        num_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pc = list(partition_cols)
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    x = (df.withColumn("__w", w).repartitionByRange(num_ranges, *pc, *order_cols)
+         .withColumn("__pid", F.spark_partition_id()))
+    tot = x.groupBy("__pid", *pc).agg(F.count(F.lit(1)).alias("__c"), F.sum("__w").alias("__s"))
+    wo = W.partitionBy(*pc).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    wall = W.partitionBy(*pc)
+    offs = tot.select("__pid", *pc,
+                      F.coalesce(F.sum("__c").over(wo), F.lit(0)).alias("__off"),
+                      F.coalesce(F.sum("__s").over(wo), F.lit(0.0)).alias("__soff"),
+                      F.sum("__c").over(wall).alias("__n"), F.sum("__s").over(wall).alias("__wt"))
+    wl = W.partitionBy("__pid", *pc).orderBy(*order_cols)
+    wc = wl.rowsBetween(W.unboundedPreceding, 0)
+    return (x.join(F.broadcast(offs), ["__pid", *pc])
+            .withColumn("__rn", F.col("__off") + F.row_number().over(wl))
+            .withColumn("__cum", F.col("__soff") + F.sum("__w").over(wc))
+            .drop("__pid", "__off", "__soff", "__w"))
+
+
+def ntile_of(rn0: "F.Column", n: "F.Column", k: int) -> "F.Column":
+    """SQL ``ntile(k)`` bucket (1-based) for a 0-based rank ``rn0`` of ``n`` rows."""
+    q = F.floor(n / k)
+    rem = n - q * k
+    big = rem * (q + 1)
+    return (F.when(rn0 < big, F.floor(rn0 / (q + 1)))
+            .otherwise(rem + F.floor((rn0 - big) / F.greatest(q, F.lit(1)))) + 1).cast("int")

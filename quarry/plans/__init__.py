@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from . import quality, sources, validate  # noqa: F401
+from . import quality, sources, split, validate  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

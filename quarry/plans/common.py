@@ -45,3 +45,12 @@ def lineitem_nulls(spark: SparkSession, sf: str) -> DataFrame:
 def r(col: str, digits: int = 6) -> str:
     """SQL twin of ``quarry.functions.columns.r6``."""
     return f"(round({col}, {digits}) + 0.0)"
+
+
+def hsql(seed, key_sql: str) -> str:
+    """DuckDB twin of ``hash_u32``."""
+    return f"(('0x' || substr(md5('{seed}:' || CAST({key_sql} AS VARCHAR)), 1, 8))::UBIGINT)"
+
+
+def hunit_sql(seed, key_sql: str) -> str:
+    return f"({hsql(seed, key_sql)} / 4294967296.0)"
