@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def long_values(df: DataFrame, cols: Sequence[str], name_col: str = "column_name",
                 value_col: str = "v") -> DataFrame:
@@ -50,6 +52,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     vc = (long_values(df, cols).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
           .repartitionByRange(num_ranges, "column_name", "v")
           .withColumn("pid", F.spark_partition_id()))
+    # the range assignment must be seen identically by both branches below,
+    # so it is materialised once (reliable checkpoint, survives executor loss)
+    vc = cut_lineage(vc)
     # per (range, column) totals: at most num_ranges × #columns rows
     tot = vc.groupBy("pid", "column_name").agg(F.sum("cnt").alias("tot"))
     w_off = W.partitionBy("column_name").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
@@ -104,8 +109,8 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], partition_cols: Sequen
         num_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pc = list(partition_cols)
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    x = (df.withColumn("__w", w).repartitionByRange(num_ranges, *pc, *order_cols)
-         .withColumn("__pid", F.spark_partition_id()))
+    x = cut_lineage(df.withColumn("__w", w).repartitionByRange(num_ranges, *pc, *order_cols)
+                    .withColumn("__pid", F.spark_partition_id()))
     tot = x.groupBy("__pid", *pc).agg(F.count(F.lit(1)).alias("__c"), F.sum("__w").alias("__s"))
     wo = W.partitionBy(*pc).orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
     wall = W.partitionBy(*pc)
@@ -128,3 +133,31 @@ def ntile_of(rn0: "F.Column", n: "F.Column", k: int) -> "F.Column":
     big = rem * (q + 1)
     return (F.when(rn0 < big, F.floor(rn0 / (q + 1)))
             .otherwise(rem + F.floor((rn0 - big) / F.greatest(q, F.lit(1)))) + 1).cast("int")
+
+
+def grouped_quantile(df: DataFrame, value: str, group_cols: Sequence[str], p: float,
+                     out: str = "q") -> DataFrame:
+    """Exact linear-interpolated quantile of ``value`` per group, using
+    ``global_rank`` (no group is ever gathered into one task)."""
+    x = df.where(F.col(value).isNotNull()).select(*group_cols, F.col(value).cast("double").alias("__v"))
+    r = global_rank(x, ["__v"], group_cols)
+    h = (F.col("__n") - 1) * F.lit(p)
+    lo = F.floor(h) + 1
+    hi = F.ceil(h) + 1
+    sel = r.where((F.col("__rn") == lo) | (F.col("__rn") == hi))
+    return sel.groupBy(*group_cols).agg(
+        F.max(F.when(F.col("__rn") == lo, F.col("__v"))).alias("__lo"),
+        F.max(F.when(F.col("__rn") == hi, F.col("__v"))).alias("__hi"),
+        F.first(h).alias("__h")).select(
+        *group_cols, (F.col("__lo") + (F.col("__h") - F.floor("__h")) * (F.col("__hi") - F.col("__lo"))).alias(out))
+
+
+def distinct_value_ranks(df: DataFrame, value: str, flag_cols: Sequence[str]) -> DataFrame:
+    """Group rows by distinct ``value`` with per-flag counts, then attach
+    the cumulative row count before each value (ascending) — the basis of
+    exact rank statistics (AUC, Mann–Whitney, average precision).  The
+    running sum runs on the distinct-value table via ``global_rank``."""
+    g = df.groupBy(value).agg(F.count(F.lit(1)).alias("__cnt"),
+                              *[F.sum(F.col(c).cast("long")).alias(c) for c in flag_cols])
+    r = global_rank(g, [value], weight_col="__cnt")
+    return r.withColumn("__before", F.col("__cum") - F.col("__cnt")).drop("__rn")
