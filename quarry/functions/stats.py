@@ -161,3 +161,26 @@ def distinct_value_ranks(df: DataFrame, value: str, flag_cols: Sequence[str]) ->
                               *[F.sum(F.col(c).cast("long")).alias(c) for c in flag_cols])
     r = global_rank(g, [value], weight_col="__cnt")
     return r.withColumn("__before", F.col("__cum") - F.col("__cnt")).drop("__rn")
+
+
+def global_running(df: DataFrame, order_cols: Sequence[str], value_col: str, fn: str = "min",
+                   out: str = "running", num_ranges: int | None = None) -> DataFrame:
+    """Running min / max / sum of ``value_col`` over the whole table in
+    ``order_cols`` order without a single-task window: per-range totals,
+    prefix over the (small) range table, then a local running value."""
+    spark = df.sparkSession
+    if num_ranges is None:
+        num_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    agg = {"min": F.min, "max": F.max, "sum": F.sum}[fn]
+    x = cut_lineage(df.repartitionByRange(num_ranges, *order_cols).withColumn("__pid", F.spark_partition_id()))
+    tot = x.groupBy("__pid").agg(agg(value_col).alias("__t"))
+    prev = tot.withColumn("__prev", agg("__t").over(W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)))
+    local = agg(value_col).over(W.partitionBy("__pid").orderBy(*order_cols).rowsBetween(W.unboundedPreceding, 0))
+    y = x.join(F.broadcast(prev.select("__pid", "__prev")), "__pid").withColumn("__loc", local)
+    if fn == "sum":
+        comb = F.coalesce(F.col("__prev"), F.lit(0)) + F.col("__loc")
+    elif fn == "min":
+        comb = F.least(F.col("__prev"), F.col("__loc"))
+    else:
+        comb = F.greatest(F.col("__prev"), F.col("__loc"))
+    return y.withColumn(out, comb).drop("__pid", "__prev", "__loc")
