@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from . import metrics, profile, quality, sources, split, validate  # noqa: F401
+from . import metrics, preprocess, profile, quality, sources, split, validate  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
