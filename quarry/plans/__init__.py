@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from . import metrics, preprocess, profile, quality, similarity, sources, split, validate  # noqa: F401
+from . import graph, metrics, preprocess, profile, quality, similarity, sources, split, validate  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
