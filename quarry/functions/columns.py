@@ -77,3 +77,19 @@ def normal_cdf(z: Column) -> Column:
 
 def normal_pdf(z: Column) -> Column:
     return F.exp(-z * z / 2) / F.lit((2 * 3.141592653589793) ** 0.5)
+
+
+def round_sig(c: Column, digits: int = 9) -> Column:
+    """Round to ``digits`` significant digits (engine-independent compare of
+    large aggregates).  SQL twin: ``plans.common.sig``."""
+    e = F.floor(F.log10(F.abs(c)))
+    scale = F.pow(F.lit(10.0), e - F.lit(digits - 1))
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c / scale, 0) * scale) + F.lit(0.0)
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson over pairwise-complete rows; null (not an ANSI error) when a
+    column is constant."""
+    xm = F.when(y.isNotNull(), x.cast("double"))
+    ym = F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))

@@ -54,3 +54,9 @@ def hsql(seed, key_sql: str) -> str:
 
 def hunit_sql(seed, key_sql: str) -> str:
     return f"({hsql(seed, key_sql)} / 4294967296.0)"
+
+
+def sig(col: str, digits: int = 9) -> str:
+    """SQL twin of ``quarry.functions.columns.round_sig``."""
+    sc = f"pow(10.0, floor(log10(abs({col}))) - {digits - 1})"
+    return f"(CASE WHEN {col} = 0 THEN 0.0 ELSE round({col} / {sc}, 0) * {sc} END + 0.0)"
