@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from . import graph, metrics, preprocess, profile, quality, select, similarity, sources, split, validate  # noqa: F401
+from . import domain, graph, metrics, preprocess, profile, quality, select, similarity, sources, split, validate  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
