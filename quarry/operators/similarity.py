@@ -431,14 +431,12 @@ def _kernel(k: int, metric: str, exclude_self: bool):
     return fn
 
 
-def dense_topk(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, k: int,
-               metric: str = "euclidean", exclude_self: bool = False, block_rows: int = 2048,
-               broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Exact k nearest rows of ``d`` for every row of ``q``.
-
-    Output ``qid, did, score, rank``; ``score`` is the distance (euclidean /
-    manhattan) or the cosine similarity, rounded to 9 digits so that ranks
-    are engine independent (ties: smaller id)."""
+def block_pairs(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, block_rows: int = 2048,
+                broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """(qrows, drows) block pairs: both sides cut into hash blocks of about
+    ``block_rows`` rows; every d block meets every q block through an
+    equi-join on the q block id.  The q side is broadcast only when its
+    measured size is under ``broadcast_bytes``."""
     spark = q.sparkSession
     nq, nd = q.count(), d.count()
     dim = len(q.select(vec_col).first()[0]) if nq else 0
@@ -453,12 +451,83 @@ def dense_topk(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, k
     else:
         pairs = (db.withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(nbq - 1)))).join(qb, "qblk")
                  .repartition(nbq * nbd, "qblk", "dblk"))
-    cand = pairs.select("qrows", "drows").mapInPandas(_kernel(k, metric, exclude_self), _PAIR_SCHEMA)
+    return pairs.select("qrows", "drows")
+
+
+def dense_topk(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, k: int,
+               metric: str = "euclidean", exclude_self: bool = False, block_rows: int = 2048,
+               broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Exact k nearest rows of ``d`` for every row of ``q``.
+
+    Output ``qid, did, score, rank``; ``score`` is the distance (euclidean /
+    manhattan) or the cosine similarity, rounded to 9 digits so that ranks
+    are engine independent (ties: smaller id)."""
+    pairs = block_pairs(q, d, q_id, d_id, vec_col, block_rows, broadcast_bytes)
+    cand = pairs.mapInPandas(_kernel(k, metric, exclude_self), _PAIR_SCHEMA)
     if metric == "cosine":
         cand = cand.withColumn("score", -F.col("score"))
     return top_k(cand, k, "qid", "did", "score", descending=(metric == "cosine"))
 
 
+def _unpack(qr, dr):
+    qid = np.array([r["id"] for r in qr], dtype=np.int64)
+    did = np.array([r["id"] for r in dr], dtype=np.int64)
+    Q = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in qr]) if len(qid) else None
+    D = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in dr]) if len(did) else None
+    return qid, did, Q, D
+
+
+def dense_radius(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, eps: float,
+                 exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
+    """All pairs with euclidean distance ≤ eps (ε-neighbourhood join)."""
+    def fn(it):
+        for pdf in it:
+            out = []
+            for qr, dr in zip(pdf["qrows"], pdf["drows"]):
+                qid, did, Q, D = _unpack(qr, dr)
+                if Q is None or D is None:
+                    continue
+                step = max(1, 4_000_000 // max(1, D.shape[0] * D.shape[1]))
+                for s0 in range(0, len(qid), step):
+                    diff = Q[s0:s0 + step, None, :] - D[None, :, :]
+                    dist = np.round(np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)), 9)
+                    ok = dist <= eps
+                    if exclude_self:
+                        ok &= qid[s0:s0 + step, None] != did[None, :]
+                    ii, jj = np.nonzero(ok)
+                    if len(ii):
+                        out.append(pd.DataFrame({"qid": qid[s0 + ii], "did": did[jj], "score": dist[ii, jj]}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(
+                {"qid": pd.Series([], dtype="int64"), "did": pd.Series([], dtype="int64"),
+                 "score": pd.Series([], dtype="float64")})
+    return block_pairs(q, d, q_id, d_id, vec_col, block_rows).mapInPandas(fn, _PAIR_SCHEMA)
+
+
+def dense_logsumexp(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, scale: float = 1.0,
+                    block_rows: int = 2048) -> DataFrame:
+    """(qid, lse) with lse = log Σ_j exp(scale · q_i·d_j) over all rows of d —
+    each block pair emits a max-shifted partial (m, s); partials merge per
+    query as M + log Σ s·exp(m − M)."""
+    def fn(it):
+        for pdf in it:
+            out = []
+            for qr, dr in zip(pdf["qrows"], pdf["drows"]):
+                qid, did, Q, D = _unpack(qr, dr)
+                if Q is None or D is None:
+                    continue
+                sim = (Q @ D.T) * scale
+                m = sim.max(axis=1)
+                s = np.exp(sim - m[:, None]).sum(axis=1)
+                out.append(pd.DataFrame({"qid": qid, "m": m, "s": s}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(
+                {"qid": pd.Series([], dtype="int64"), "m": pd.Series([], dtype="float64"),
+                 "s": pd.Series([], dtype="float64")})
+    parts = block_pairs(q, d, q_id, d_id, vec_col, block_rows).mapInPandas(fn, "qid long, m double, s double")
+    g = parts.groupBy("qid").agg(F.max("m").alias("M"), F.collect_list(F.struct("m", "s")).alias("ps"))
+    tot = F.aggregate("ps", F.lit(0.0), lambda acc, x: acc + x["s"] * F.exp(x["m"] - F.col("M")))
+    return g.select("qid", (F.col("M") + F.log(tot)).alias("lse"))
+
+
 # ---------------------------------------------------------------- D14 / D15
 
 
