@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_unit, safe_corr
 from ..functions.numeric import binom_sf_ge, chi2_sf, f_sf
-from ..functions.stats import global_rank, quantile_row
+from ..functions.stats import quantile_row
 from ..operators.quality import correlation_long
 
 
@@ -306,19 +306,34 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def permuted(df: DataFrame, key: str, col: str, seed: int, out: str | None = None) -> DataFrame:
-    """Column ``col`` replaced by a seeded permutation of its values — two
-    distributed global ranks (by key hash and by a second hash) joined on
-    the rank; no single-task window, no driver round trip."""
-    out = out or col
-    a = global_rank(df.withColumn("__h1", hash_unit(f"{seed}a", F.col(key))), ["__h1", key]).select(
-        *[c for c in df.columns if c != out or out != col], F.col("__rn"))
-    b = global_rank(df.select(key, col).withColumn("__h2", hash_unit(f"{seed}b", F.col(key))), ["__h2", key]).select(
-        F.col(col).alias("__perm"), F.col("__rn"))
-    j = a.join(b, "__rn").drop("__rn")
-    if out == col:
-        return j.withColumnRenamed("__perm", col)
-    return j.withColumnRenamed("__perm", out)
+def permute_columns(df: DataFrame, key: str, cols: Sequence[str], seed, prefix: str = "shadow_",
+                    group_rows: int = 256) -> DataFrame:
+    """Shadow copies of ``cols`` with their values moved to other rows:
+    rows fall into hash-random groups of about ``group_rows``; inside a
+    group each column is cyclically shifted along its own seeded order.
+    One shuffle (by group) for all columns, groups stay small whatever the
+    key skew, and no global rank.  (A shuffle inside random groups, not a
+    uniform permutation of the whole table — enough to break the link
+    between a column and the target, which is what shadows are for.)"""
+    from pyspark.sql import Window
+    n = df.count()
+    groups = max(1, math.ceil(n / group_rows))
+    x = df.withColumn("__g", F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(groups)))
+    for i, c in enumerate(cols):
+        x = x.withColumn(f"__o{i}", F.xxhash64(F.lit(f"{seed}:{i}"), F.col(key)))
+    for i, c in enumerate(cols):
+        w = Window.partitionBy("__g").orderBy(f"__o{i}", key)
+        wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        x = x.withColumn(f"{prefix}{c}", F.coalesce(F.lead(c).over(w), F.first(c).over(wall)))
+    return x.drop("__g", *[f"__o{i}" for i in range(len(cols))])
+
+
+def permuted(df: DataFrame, key: str, col: str, seed, out: str | None = None) -> DataFrame:
+    """One permuted column (replacing ``col`` unless ``out`` is given)."""
+    x = permute_columns(df, key, [col], seed, prefix="__perm_")
+    if out is None or out == col:
+        return x.drop(col).withColumnRenamed(f"__perm_{col}", col)
+    return x.withColumnRenamed(f"__perm_{col}", out)
 
 
 def rf_importances(df: DataFrame, cols: Sequence[str], y: str, task: str = "regression", seed: int = 42,
@@ -342,10 +357,7 @@ def boruta(df: DataFrame, key: str, cols: Sequence[str], y: str, n_iter: int = 5
     hits = {c: 0 for c in cols}
     base = df.select(key, y, *cols)
     for it in range(n_iter):
-        data = base
-        for i, c in enumerate(cols):
-            data = permuted(data, key, c, seed + 1000 * it + i, out=f"shadow_{c}")
-        data = data.cache()
+        data = permute_columns(base, key, cols, seed + 1000 * it).cache()
         imp = rf_importances(data, list(cols) + [f"shadow_{c}" for c in cols], y, task, seed + it)
         data.unpersist()
         best_shadow = max(imp[f"shadow_{c}"] for c in cols)

@@ -366,9 +366,14 @@ def property_search(df: DataFrame, id_col: str, cols: Sequence[str], target: dic
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, tag: str) -> DataFrame:
-    return (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-            .withColumn(f"{tag}blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-            .groupBy(f"{tag}blk").agg(F.collect_list(F.struct("id", "v")).alias(f"{tag}rows")))
+    """Hash blocks: one row per block with flat ``ids`` and row-major
+    ``vals`` arrays (aligned: both come from the same collected list)."""
+    g = (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+         .withColumn(f"{tag}blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+         .groupBy(f"{tag}blk").agg(F.collect_list(F.struct("id", "v")).alias("rows")))
+    return g.select(f"{tag}blk", F.struct(F.transform("rows", lambda r: r["id"]).alias("ids"),
+                                          F.flatten(F.transform("rows", lambda r: r["v"])).alias("vals"))
+                    .alias(f"{tag}rows"))
 
 
 _PAIR_SCHEMA = "qid long, did long, score double"
@@ -400,31 +405,22 @@ def _kernel(k: int, metric: str, exclude_self: bool):
 
     def fn(it):
         for pdf in it:
-            rows = []
+            out = []
             for qr, dr in zip(pdf["qrows"], pdf["drows"]):
-                qid = np.array([r["id"] for r in qr], dtype=np.int64)
-                did = np.array([r["id"] for r in dr], dtype=np.int64)
-                if len(qid) == 0 or len(did) == 0:
+                qid, did, Q, D = _unpack(qr, dr)
+                if Q is None or D is None:
                     continue
-                Q = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in qr])
-                D = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in dr])
                 dist = np.round(distances(Q, D), 9)
                 if exclude_self:
                     dist = np.where(qid[:, None] == did[None, :], np.inf, dist)
                 kk = min(k, len(did))
-                for i in range(len(qid)):
-                    row = dist[i]
-                    if kk < len(did):
-                        cut = np.partition(row, kk - 1)[kk - 1]
-                        idx = np.nonzero(row <= cut)[0]
-                    else:
-                        idx = np.arange(len(did))
-                    idx = idx[np.isfinite(row[idx])]
-                    order = np.lexsort((did[idx], row[idx]))[:kk]
-                    sel = idx[order]
-                    rows.append(pd.DataFrame({"qid": qid[i], "did": did[sel], "score": row[sel]}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
+                # k-th smallest per row; keep every candidate ≤ it (ties kept,
+                # the final window orders them by id) — no per-row Python loop
+                cut = np.partition(dist, kk - 1, axis=1)[:, kk - 1] if kk < len(did) else dist.max(axis=1)
+                ii, jj = np.nonzero((dist <= cut[:, None]) & np.isfinite(dist))
+                out.append(pd.DataFrame({"qid": qid[ii], "did": did[jj], "score": dist[ii, jj]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
             else:
                 yield pd.DataFrame({"qid": pd.Series([], dtype="int64"), "did": pd.Series([], dtype="int64"),
                                     "score": pd.Series([], dtype="float64")})
@@ -470,10 +466,13 @@ def dense_topk(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, k
 
 
 def _unpack(qr, dr):
-    qid = np.array([r["id"] for r in qr], dtype=np.int64)
-    did = np.array([r["id"] for r in dr], dtype=np.int64)
-    Q = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in qr]) if len(qid) else None
-    D = np.vstack([np.asarray(r["v"], dtype=np.float64) for r in dr]) if len(did) else None
+    """Block structs → (ids, ids, Q, D) as NumPy arrays."""
+    qid = np.asarray(qr["ids"], dtype=np.int64)
+    did = np.asarray(dr["ids"], dtype=np.int64)
+    if len(qid) == 0 or len(did) == 0:
+        return qid, did, None, None
+    Q = np.asarray(qr["vals"], dtype=np.float64).reshape(len(qid), -1)
+    D = np.asarray(dr["vals"], dtype=np.float64).reshape(len(did), -1)
     return qid, did, Q, D
 
 

@@ -88,7 +88,8 @@ def f06(spark, sf):
 
 
 @query("f07_mixture_aggregate", """
-WITH j AS (SELECT l_orderkey, l_quantity AS r, p_size, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey),
+WITH j AS (SELECT l_orderkey, CAST(l_quantity AS DECIMAL(15, 2)) AS r, p_size, CAST(p_retailprice AS DECIMAL(15, 2)) AS p_retailprice
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
 s AS (SELECT l_orderkey, sum(r) AS tot, count(*) AS n_components, max(r) AS mx, min(r) AS mn, stddev_pop(r) AS sd,
   sum(r * p_size) AS w1, sum(r * p_retailprice) AS w2, stddev_pop(p_size) AS s1, stddev_pop(p_retailprice) AS s2 FROM j GROUP BY 1),
 t AS (SELECT *, CASE WHEN tot = 0 THEN 1.0 ELSE tot END AS nm FROM s)
@@ -97,8 +98,10 @@ SELECT l_orderkey, n_components, round(mx / nm, 6) AS max_ratio, round(mn / nm,
   round(CASE WHEN n_components > 1 THEN s1 ELSE 0.0 END, 6) AS p_size_std,
   round(CASE WHEN n_components > 1 THEN s2 ELSE 0.0 END, 6) AS p_retailprice_std FROM t""")
 def f07(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    out = P.mixture_aggregate(li, "l_orderkey", "l_partkey", "l_quantity", table(spark, sf, "part"), "p_partkey",
+    # exact (decimal) weighted sums: the result is independent of summation order
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("decimal(15,2)").alias("l_quantity"))
+    pt = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_retailprice").cast("decimal(15,2)").alias("p_retailprice"))
+    out = P.mixture_aggregate(li, "l_orderkey", "l_partkey", "l_quantity", pt, "p_partkey",
                               ["p_size", "p_retailprice"])
     return out.select("l_orderkey", "n_components", *[r6(F.col(c)).alias(c) for c in out.columns[2:]])
 
