@@ -194,3 +194,31 @@ def lhs_coverage(points: DataFrame, bounds_width: float = 1.0) -> DataFrame:
     """Mean over dimensions of (max − min)/width."""
     return points.groupBy("dim").agg(((F.max("value") - F.min("value")) / bounds_width).alias("r")).agg(
         F.avg("r").alias("coverage"))
+
+
+# ---------------------------------------------------------------- H14
+def diversity_sample(df: DataFrame, key: str, vec_col: str, n: int, seed: int = 42) -> DataFrame:
+    """H14 diversity: k-means with n clusters on the pool; the row nearest
+    each centre (ties: smaller key)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    x = df.select(key, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    m = KMeans(k=n, seed=seed).fit(x)
+    cents = m.clusterCenters()
+    centre = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in cents])
+    p = m.transform(x).withColumn("c", F.element_at(centre, F.col("prediction") + 1)).withColumn(
+        "v", vector_to_array("features"))
+    d = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
+    p = p.withColumn("dist", d)
+    best = p.groupBy("prediction").agg(F.min_by(F.col(key), F.struct(F.round("dist", 9), F.col(key))).alias(key))
+    return best.select(key, F.col("prediction").alias("cluster"))
+
+
+def hybrid_sample(df: DataFrame, key: str, vec_col: str, lower: str, upper: str, n: int, seed: int = 42) -> DataFrame:
+    """H14 hybrid: n//2 by uncertainty (widest interval), the rest by
+    diversity on the pool without them (``left_anti``)."""
+    n_unc = n // 2
+    unc = uncertainty_sample(df, key, lower, upper, n_unc).select(key, F.lit("uncertainty").alias("source"))
+    rest = df.join(unc.select(key), key, "left_anti")
+    div = diversity_sample(rest, key, vec_col, n - n_unc, seed).select(key, F.lit("diversity").alias("source"))
+    return unc.unionByName(div)

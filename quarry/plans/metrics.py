@@ -371,3 +371,10 @@ SELECT round(avg(CASE WHEN l_quantity * 1000 BETWEEN l_extendedprice * (1 - l_di
   THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM lineitem""")
 def m16b(spark, sf):
     return m16(spark, sf).agg(r6(F.avg(F.col("covered").cast("double"))).alias("coverage"))
+
+
+@query("m02_regression_metrics_v2", f"""SELECT n, mae, mse, rmse, r2_eps AS r2, mape_pct AS mape FROM ({_reg_sql(None)})""")
+def m02(spark, sf):
+    out = M.regression_metrics(_yp(spark, sf), "y", "p")
+    return out.select("n", *[r6(F.col(c)).alias(c) for c in ("mae", "mse", "rmse")],
+                      r6(F.col("r2_eps")).alias("r2"), r6(F.col("mape_pct")).alias("mape"))

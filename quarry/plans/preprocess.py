@@ -263,3 +263,30 @@ def g18(spark, sf):
     tgt = li.where("l_shipdate >= TIMESTAMP '1997-01-01'")
     out = G.mean_shift(src, tgt, ["l_extendedprice", "l_quantity"])
     return out.select(*_KEY, r6(F.col("l_extendedprice")).alias("l_extendedprice"), r6(F.col("l_quantity")).alias("l_quantity"))
+
+
+def _g03_frame(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", F.col("p_size").cast("double").alias("f1"), F.length("p_name").cast("double").alias("f2"),
+                    F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("p_retailprice"))
+
+
+@query("g03_knn_impute", """
+WITH p AS (SELECT p_partkey, p_size::DOUBLE AS f1, length(p_name)::DOUBLE AS f2,
+   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS t FROM part),
+m AS (SELECT * FROM p WHERE t IS NULL), d AS (SELECT * FROM p WHERE t IS NOT NULL),
+e AS (SELECT m.p_partkey AS q, d.p_partkey AS did, d.t AS dv, round(sqrt(pow(m.f1 - d.f1, 2) + pow(m.f2 - d.f2, 2)), 9) AS dist FROM m, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, did) AS rn FROM e),
+f AS (SELECT q, avg(dv) AS fill FROM r WHERE rn <= 5 GROUP BY q)
+SELECT p_partkey, round(coalesce(t, fill), 6) + 0.0 AS p_retailprice FROM p LEFT JOIN f ON q = p_partkey""")
+def g03(spark, sf):
+    from ..operators.preprocess import knn_impute
+    out = knn_impute(_g03_frame(spark, sf), "p_partkey", "p_retailprice", ["f1", "f2"], 5)
+    return out.select("p_partkey", r6(F.col("p_retailprice")).alias("p_retailprice"))
+
+
+@query("g04_iterative_impute")
+def g04(spark, sf):
+    from ..operators.preprocess import iterative_impute
+    d = _g03_frame(spark, sf).withColumn("f1", F.when(F.col("p_partkey") % 5 != 0, F.col("f1")))
+    return iterative_impute(d, ["f1", "f2", "p_retailprice"], max_iter=10)

@@ -276,3 +276,22 @@ ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def a23(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     return S.audit_query(e, "ts", "user_id", "event_type", None, "click", 100, "event_id")
+
+
+def _a08_frame(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(15,2)").alias("c_acctbal"),
+                    F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"), "c_nationkey")
+
+
+@query("a08_export_records", """
+SELECT concat_ws(chr(10), c_name,
+  '>  <c_acctbal>' || chr(10) || CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS VARCHAR) || chr(10),
+  CASE WHEN c_custkey % 5 <> 0 THEN '>  <c_mktsegment>' || chr(10) || c_mktsegment || chr(10) END,
+  '>  <c_nationkey>' || chr(10) || CAST(c_nationkey AS VARCHAR) || chr(10), '$$$$') AS record FROM customer""")
+def a08(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io as IO
+    path = scratch_path(spark, "a08")
+    IO.export_records(_a08_frame(spark, sf), path, "c_name", ["c_acctbal", "c_mktsegment", "c_nationkey"])
+    return IO.read_records(spark, path)

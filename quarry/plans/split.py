@@ -190,3 +190,19 @@ SELECT p_partkey, dim, CAST(st AS INT) AS stratum,
 def h16(spark, sf):
     pts = H.latin_hypercube(table(spark, sf, "part"), "p_partkey", 3, _LHS_BOUNDS, 42)
     return pts.withColumn("value", r6(F.col("value")))
+
+
+def _pool(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", "embedding", F.col("embedding")[0].cast("double").alias("lo"),
+                    (F.col("embedding")[0] + F.abs(F.col("embedding")[1])).cast("double").alias("hi"))
+
+
+@query("h14_diversity_sample")
+def h14(spark, sf):
+    return H.diversity_sample(_pool(spark, sf), "vec_id", "embedding", 10)
+
+
+@query("h14_hybrid_sample")
+def h14h(spark, sf):
+    return H.hybrid_sample(_pool(spark, sf), "vec_id", "embedding", "lo", "hi", 10)

@@ -153,3 +153,28 @@ def export_data(df: DataFrame, path: str, fmt: str | None = None) -> None:
         w.json(path)
     else:
         w.parquet(path)
+
+
+# ---------------------------------------------------------------- A08
+def record_blocks(df, name_col: str, prop_cols, terminator: str = "$$$$"):
+    """A08 (SDF writer re-aimed): one text block per row — the name line,
+    then '>  <prop>' + value for every non-null property, then the
+    terminator.  ``concat_ws`` skips nulls, so missing properties vanish."""
+    from pyspark.sql import functions as F
+    parts = [F.col(name_col).cast("string")]
+    parts += [F.when(F.col(c).isNotNull(), F.concat(F.lit(f">  <{c}>\n"), F.col(c).cast("string"), F.lit("\n")))
+              for c in prop_cols]
+    return F.concat_ws("\n", *parts, F.lit(terminator))
+
+
+def export_records(df, path: str, name_col: str, prop_cols, terminator: str = "$$$$") -> None:
+    """Write the blocks as text, one block per row (distributed write)."""
+    from pyspark.sql import functions as F
+    df.select(record_blocks(df, name_col, prop_cols, terminator).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_records(spark, path: str, terminator: str = "$$$$"):
+    """Read blocks back: records split on the terminator line."""
+    from pyspark.sql import functions as F
+    r = spark.read.option("lineSep", terminator + "\n").text(path)
+    return r.where(F.length(F.trim("value")) > 0).select(F.concat(F.col("value"), F.lit(terminator)).alias("record"))
