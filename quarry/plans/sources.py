@@ -293,5 +293,5 @@ def a08(spark, sf):
     from ..session import scratch_path
     from ..sources import io as IO
     path = scratch_path(spark, "a08")
-    IO.export_records(_a08_frame(spark, sf), path, "c_name", ["c_acctbal", "c_mktsegment", "c_nationkey"])
-    return IO.read_records(spark, path)
+    IO.export_blocks(_a08_frame(spark, sf), path, "c_name", ["c_acctbal", "c_mktsegment", "c_nationkey"])
+    return IO.read_blocks(spark, path)

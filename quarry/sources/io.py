@@ -167,13 +167,13 @@ def record_blocks(df, name_col: str, prop_cols, terminator: str = "$$$$"):
     return F.concat_ws("\n", *parts, F.lit(terminator))
 
 
-def export_records(df, path: str, name_col: str, prop_cols, terminator: str = "$$$$") -> None:
+def export_blocks(df, path: str, name_col: str, prop_cols, terminator: str = "$$$$") -> None:
     """Write the blocks as text, one block per row (distributed write)."""
     from pyspark.sql import functions as F
     df.select(record_blocks(df, name_col, prop_cols, terminator).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_records(spark, path: str, terminator: str = "$$$$"):
+def read_blocks(spark, path: str, terminator: str = "$$$$"):
     """Read blocks back: records split on the terminator line."""
     from pyspark.sql import functions as F
     r = spark.read.option("lineSep", terminator + "\n").text(path)
