@@ -12,13 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .similarity import dense_topk, zscale, zscore_stats
 
 
 def _z(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str]):
     st = zscore_stats(train, cols)
-    tr = zscale(train.select(id_col, *cols), st, cols).select(id_col, "vec")
-    te = zscale(test.select(id_col, *cols), st, cols).select(id_col, "vec")
+    # scaled vectors (n × p numbers) are read by several k-NN passes: write once
+    tr = cut_lineage(zscale(train.select(id_col, *cols), st, cols).select(id_col, "vec"))
+    te = cut_lineage(zscale(test.select(id_col, *cols), st, cols).select(id_col, "vec"))
     return tr, te
 
 
@@ -101,7 +103,8 @@ def lof_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str],
     tr, te = _z(train, test, id_col, cols)
     ntr = tr.count()
     k = min(k, ntr - 1)
-    e_tr = dense_topk(tr, tr, id_col, id_col, "vec", k, "euclidean", exclude_self=True)
+    # the training k-NN edges feed k-distance, lrd and LOF: compute them once
+    e_tr = cut_lineage(dense_topk(tr, tr, id_col, id_col, "vec", k, "euclidean", exclude_self=True))
     kdist = e_tr.where(F.col("rank") == k).select(F.col("qid").alias("did"), F.col("score").alias("kd"))
 
     def lrd(edges):
@@ -115,7 +118,7 @@ def lof_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str],
                 .join(own, "qid").select("qid", (F.col("m") / F.col("lrd")).alias("lof")))
     lof_tr = lof(e_tr, lrd_tr)
     offset = _percentile(lof_tr.select((-F.col("lof")).alias("nlof")), "nlof", contamination)
-    e_te = dense_topk(te, tr, id_col, id_col, "vec", k, "euclidean")
+    e_te = cut_lineage(dense_topk(te, tr, id_col, id_col, "vec", k, "euclidean"))
     lof_te = lof(e_te, lrd(e_te))
     score = F.col("lof") + F.lit(offset)  # −decision_function
     out = lof_te.select(F.col("qid").alias(id_col), "lof", score.alias("distance"),

@@ -121,12 +121,15 @@ def _sets(df: DataFrame, id_col: str, tok_col: str, p: str) -> DataFrame:
 
 def _prefix(sets: DataFrame, freq: DataFrame, p: str, t: float) -> DataFrame:
     """(id, n, tok) for the first n − ceil(t·n) + 1 tokens of each set under
-    the global (frequency, token) order."""
+    the global (frequency, token) order.  The set's (df, tok) pairs are
+    regrouped into one array per id — never larger than the set's own input
+    row — and sorted and sliced inside that row: no window over a set, and a
+    hot token only meets the frequency join (AQE splits skewed partitions)."""
     ex = sets.select(f"{p}id", f"{p}n", F.explode(f"{p}toks").alias("tok")).join(freq, "tok")
-    w = Window.partitionBy(f"{p}id").orderBy("df", "tok")
     plen = F.col(f"{p}n") - F.ceil(F.col(f"{p}n") * F.lit(t) - F.lit(1e-9)) + 1
-    return ex.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= plen).select(
-        f"{p}id", f"{p}n", "tok")
+    g = ex.groupBy(f"{p}id", f"{p}n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("__s"))
+    return g.select(f"{p}id", f"{p}n", F.explode(F.slice("__s", 1, plen.cast("int"))).alias("__e")).select(
+        f"{p}id", f"{p}n", F.col("__e.tok").alias("tok"))
 
 
 def set_join(q: DataFrame, d: DataFrame, q_id: str, d_id: str, tok_col: str = "toks",
@@ -530,36 +533,49 @@ def dense_logsumexp(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: s
 # ---------------------------------------------------------------- D14 / D15
 
 
+def attach(big: DataFrame, small: DataFrame, key: str, salts: int = 8) -> DataFrame:
+    """Join per-key rows of ``small`` (one row per key) onto ``big`` with the
+    key salted: big rows spread over ``salts`` sub-keys, small rows are
+    replicated to each, so a key holding a third of ``big`` is split over
+    ``salts`` tasks instead of one."""
+    b = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)))
+    sm = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(sm, [key, "__salt"]).drop("__salt")
+
+
 def usr_descriptor(points: DataFrame, entity: str, pid: str, xyz: Sequence[str]) -> DataFrame:
     """9 moments per point cloud — mean, population std and skewness
     (m3 / (std³ + 1e-9)) of the distances to the centroid, to the point
     farthest from it, and to the point farthest from that one (ties: the
-    smaller point id).  One shuffle by entity; everything else is windows
-    and one aggregate over that partitioning."""
-    w = Window.partitionBy(entity)
+    smaller point id).  Per-entity statistics are partial aggregates
+    (a hot entity pre-aggregates map-side) attached back to the points by a
+    salted join; no window holds a whole entity."""
     x, y, z = (F.col(c).cast("double") for c in xyz)
     p = points.select(entity, pid, x.alias("x"), y.alias("y"), z.alias("z"))
 
     def dist(cx, cy, cz):
-        return F.sqrt((F.col("x") - cx) ** 2 + (F.col("y") - cy) ** 2 + (F.col("z") - cz) ** 2)
-
-    p = p.withColumn("d1", dist(F.avg("x").over(w), F.avg("y").over(w), F.avg("z").over(w)))
-    far = F.max_by(F.struct("x", "y", "z"), F.struct("d1", (-F.col(pid)).alias("o"))).over(w)
-    p = p.withColumn("f1", far).withColumn("d2", dist(F.col("f1.x"), F.col("f1.y"), F.col("f1.z")))
-    far2 = F.max_by(F.struct("x", "y", "z"), F.struct("d2", (-F.col(pid)).alias("o"))).over(w)
-    p = p.withColumn("f2", far2).withColumn("d3", dist(F.col("f2.x"), F.col("f2.y"), F.col("f2.z")))
-    for c in ("d1", "d2", "d3"):
-        p = p.withColumn(f"m_{c}", F.avg(c).over(w))
+        return F.sqrt((F.col("x") - F.col(cx)) ** 2 + (F.col("y") - F.col(cy)) ** 2 + (F.col("z") - F.col(cz)) ** 2)
+
+    c = p.groupBy(entity).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
+    p1 = attach(p, c, entity).withColumn("d1", dist("cx", "cy", "cz")).drop("cx", "cy", "cz")
+    f1 = p1.groupBy(entity).agg(F.max_by(F.struct(F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("z").alias("fz")),
+                                         F.struct("d1", (-F.col(pid)).alias("o"))).alias("f")).select(entity, "f.*")
+    p2 = attach(p1, f1, entity).withColumn("d2", dist("fx", "fy", "fz")).drop("fx", "fy", "fz")
+    f2 = p2.groupBy(entity).agg(F.max_by(F.struct(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz")),
+                                         F.struct("d2", (-F.col(pid)).alias("o"))).alias("f")).select(entity, "f.*")
+    p3 = attach(p2, f2, entity).withColumn("d3", dist("gx", "gy", "gz")).drop("gx", "gy", "gz")
+    m = p3.groupBy(entity).agg(*[F.avg(d).alias(f"m_{d}") for d in ("d1", "d2", "d3")])
+    p4 = attach(p3.select(entity, pid, "d1", "d2", "d3"), m, entity)
     aggs = []
-    for c in ("d1", "d2", "d3"):
-        dev = F.col(c) - F.col(f"m_{c}")
-        aggs += [F.first(f"m_{c}").alias(f"{c}_mean"), F.sqrt(F.avg(dev * dev)).alias(f"{c}_std"),
-                 F.avg(dev * dev * dev).alias(f"{c}_m3")]
-    g = p.groupBy(entity).agg(*aggs)
+    for d in ("d1", "d2", "d3"):
+        dev = F.col(d) - F.col(f"m_{d}")
+        aggs += [F.first(f"m_{d}").alias(f"{d}_mean"), F.sqrt(F.avg(dev * dev)).alias(f"{d}_std"),
+                 F.avg(dev * dev * dev).alias(f"{d}_m3")]
+    g = p4.groupBy(entity).agg(*aggs)
     names = []
-    for c in ("d1", "d2", "d3"):
-        g = g.withColumn(f"{c}_skew", F.col(f"{c}_m3") / (F.pow(f"{c}_std", 3) + F.lit(1e-9)))
-        names += [f"{c}_mean", f"{c}_std", f"{c}_skew"]
+    for d in ("d1", "d2", "d3"):
+        g = g.withColumn(f"{d}_skew", F.col(f"{d}_m3") / (F.pow(f"{d}_std", 3) + F.lit(1e-9)))
+        names += [f"{d}_mean", f"{d}_std", f"{d}_skew"]
     return g.select(entity, F.array(*[F.col(n) for n in names]).alias("usr"))
 
 
@@ -587,9 +603,13 @@ def typed_profile(points: DataFrame, entity: str, pid: str, type_col: str, xyz:
     # pair distances in row-major upper-triangle order need the point rank
     # point order: id, then coordinates (ids need not be unique)
     w = Window.partitionBy(entity).orderBy(pid, "x", "y", "z")
-    p = points.select(entity, pid, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-                      F.col(z).cast("double").alias("z")).withColumn("i", F.row_number().over(w) - 1)
-    npt = p.groupBy(entity).agg(F.count("*").alias("n"))
+    base = points.select(entity, pid, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+                         F.col(z).cast("double").alias("z"))
+    # only points ranked < 2·n_dist can take part in the first n_dist pairs: the
+    # constant bound lets Spark cut every group before the shuffle (group limit)
+    p = base.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= 2 * n_dist) \
+        .withColumn("i", F.col("__rn") - 1).drop("__rn")
+    npt = base.groupBy(entity).agg(F.count("*").alias("n"))
     a = p.alias("a")
     b = p.alias("b")
     # only the first n_dist pairs are used: pairs (i, j) with i < j and row-major index < n_dist
