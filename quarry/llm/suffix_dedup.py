@@ -351,8 +351,9 @@ def repeated_spans(src: DataFrame, length: int, group_rows: int = GROUP) -> Data
     covered by a string of ``length`` bytes that starts anywhere else too."""
     keys = ["__k1", "__k2"]
     runs = materialize(_runs(src, length), "runs")
-    anchors = (runs.groupBy("a").agg(F.count("*").alias("c"), F.min("r").alias("r0"), F.max("r").alias("r1"))
-               .where("c > 1").select("a", (F.col("r0") == F.col("r1")).alias("alike")))
+    # Written tables on both sides of a join let Spark split its hot keys.
+    anchors = materialize(runs.groupBy("a").agg(F.count("*").alias("c"), F.min("r").alias("r0"), F.max("r").alias("r1"))
+               .where("c > 1").select("a", (F.col("r0") == F.col("r1")).alias("alike")), "anchors")
     live = materialize(runs.join(anchors, "a"), "live")
     contents = live.groupBy("a", "r").agg(F.count("*").alias("c"), F.min(F.struct(*keys, "s", "n", "l")).alias("f"),
                                           F.first("alike").alias("alike"))
