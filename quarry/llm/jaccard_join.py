@@ -4,10 +4,11 @@ Texts with equal sets are one node.  Shingles are ordered rare first; two sets
 of the wanted similarity share one of their first n - ceil(t n) + 1 shingles.
 Such prefix shingles are shuffled once.  In each group of a shingle, every node
 is first held against one hub of about its size, so that a large group of near
-copies costs a link each; what is linked is a component.  Then all pairs of
-*different* components that share a prefix shingle and pass the length,
-positional and suffix filters are verified, each once.  Pairs inside a
-component need no test: no link between components can be missed.
+copies costs a link each; what is linked is a component.  Sets that are not in
+a group's main component are then held against some of its members.  Last, all pairs of *different*
+components that share a prefix shingle and pass the length, positional and
+suffix filters are verified, each once.  Pairs inside a component need no test:
+no link between components can be missed.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, slices
-from .jaccard_sets import quarters, shingle_sets, signature
+from .common import bucketed, materialize, row_key, slices
+from .jaccard_sets import parts, shingle_sets, signature
 
 #: Frequent shingles in the table that orders them: at most this many, for the
 #: table holds those with at least (all shingles / FREQUENT) occurrences.
@@ -29,10 +30,13 @@ FREQUENT = 1 << 20
 COUNTED, REPORTED = 2_000_000, 4
 #: Sets that a task remembers, not to send a copy's prefix again.
 SEEN = 1_000_000
+#: Turns in which sets are held against large components that they meet, and
+#: the members that one set is held against in a turn.
+PROBES, PARTNERS = 2, 8
 
 
 def _scan(src: DataFrame, size: int) -> DataFrame:
-    """One pass: a row per text (its set's signature, size and quarters) and a
+    """One pass: a row per text (its set's signature, size and parts) and a
     row per shingle that is frequent in a stretch of the scan."""
     kind = src.schema["id"].dataType.simpleString()
 
@@ -44,7 +48,7 @@ def _scan(src: DataFrame, size: int) -> DataFrame:
             u, c = u[c >= REPORTED], c[c >= REPORTED]
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), id_type),
-                 pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.list_(pa.int32()))], names)
+                 pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.binary())], names)
 
         names = ["__k1", "__k2", "id", "s", "n", "q"]
         for b in slices(it):
@@ -55,16 +59,16 @@ def _scan(src: DataFrame, size: int) -> DataFrame:
                 many += len(x)
                 s.append(signature(x))
                 n.append(len(x))
-                q.append(quarters(x))
+                q.append(parts(x))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.int64()),
-                                              pa.array(n, pa.int64()), pa.array(q, pa.list_(pa.int32()))], names)
+                                              pa.array(n, pa.int64()), pa.array(q, pa.binary())], names)
             if many > COUNTED:
                 yield counted()
                 held, many = [], 0
         if many:
             yield counted()
 
-    return src.mapInArrow(run, f"__k1 bigint, __k2 bigint, id {kind}, s bigint, n bigint, q array<int>")
+    return src.mapInArrow(run, f"__k1 bigint, __k2 bigint, id {kind}, s bigint, n bigint, q binary")
 
 
 def _frequent(scan: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +121,9 @@ def _prefixes(src: DataFrame, size: int, percent: int, frequent) -> DataFrame:
 
 
 def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Prefix rows whose shingle at least two sets have, with the hub of the
-    row's size class: the smallest set of that class.  Rows come sorted by
-    shingle, size and set, so a group streams through, however long."""
+    """Prefix rows whose shingle another set of a size that may link has, with
+    the hub of the row's size class: the smallest set of that class.  Rows come
+    sorted by shingle, size and set, so a group streams through, however long."""
     ratio = math.log(200 / (100 + percent))
 
     def run(it):
@@ -142,9 +146,10 @@ def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
             if hub is not None:
                 same = first == 0
                 hs[same], hn[same], hp[same] = hub
+            pair = (t[1:] == t[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             mates = np.zeros(len(t), bool)
-            mates[1:] = t[1:] == t[:-1]
-            mates[:-1] |= mates[1:]
+            mates[1:] = pair
+            mates[:-1] |= pair
             mates[0] |= out
             k = len(t) - 1
             keep = mates.copy()
@@ -166,19 +171,29 @@ def _may_link(percent: int, n: Column, p: Column, m: Column, q: Column) -> Colum
             & (most * (100 + percent) >= (n + m) * percent))
 
 
-def _suffix_filter(percent: int) -> Column:
-    """Sets that link differ in few shingles; parts cut by fixed pivots differ
-    at least by their sizes."""
-    apart = F.aggregate(F.zip_with("q", "q2", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-    return apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose sets' parts by fixed pivots are alike enough: sets
+    that link differ in at most (100 - percent) / (100 + percent) of their sizes."""
 
+    def run(it):
+        for b in it:
+            n, m = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 128).astype(np.int16) for i in (4, 5))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            keep = pa.array(apart * (100 + percent) <= (n + m) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
+
+    c = classes.select("s", "n", "q")
+    return (pairs.join(c.toDF("u", "n", "x"), "u").join(c.toDF("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
+            .mapInArrow(run, "u bigint, v bigint"))
 
-def _verify(pairs: DataFrame, classes: DataFrame, src: DataFrame, size: int, percent: int) -> DataFrame:
+
+def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (u, v) that link, by the sets of their nodes' texts."""
+    pairs = materialize(_suffix_filter(pairs, classes, percent), "pairs")
     need = pairs.select(F.col("u").alias("s")).union(pairs.select("v")).distinct()
-    reps = classes.select("s", "f.__k1", "f.__k2").join(need, "s")
-    texts = materialize(src.select("__k1", "__k2", "t").join(reps, ["__k1", "__k2"]).select("s", "t")
-                        .dropDuplicates(["s"]), "node-texts")
+    need = classes.select("s", "f.__k1", "f.__k2").join(need, "s", "left_semi").drop("s")
+    texts = materialize(texts.join(need, ["__k1", "__k2"], "left_semi").select("s", "t"), "pair-texts")
 
     def run(it):
         for b in slices(it):
@@ -190,8 +205,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, src: DataFrame, size: int, per
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    return (pairs.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").select("u", "v", "x", "y")
-            .mapInArrow(run, "u bigint, v bigint"))
+    return materialize(pairs.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").select("u", "v", "x", "y")
+                       .mapInArrow(run, "u bigint, v bigint"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,24 +239,49 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
         F.min(F.struct("__k1", "__k2")).alias("f"), F.first("n").cast("int").alias("n"), F.first("q").alias("q")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     shared = materialize(_shared(_prefixes(src, size, percent, _frequent(scan, total)), percent), "shared")
+    # The texts of all nodes that may link, fetched once.
+    nodes = classes.select("s", "f.__k1", "f.__k2").join(shared.select("s").distinct(), "s", "left_semi")
+    texts = bucketed(src.select("__k1", "__k2", "t").join(nodes, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]),
+                     ["__k1", "__k2"], "node_texts")
     c = F.col
     stars = (shared.where(c("s") != c("hs")).where(_may_link(percent, c("n"), c("p"), c("hn"), c("hp")))
              .select(c("s").alias("u"), c("hs").alias("v")).distinct())
-    first = materialize(_verify(materialize(stars, "stars"), classes, src, size, percent), "links")
-    label = components(first)
-    # Shingles that more than one component has.
-    placed = (shared.select("t", "s", "p").join(classes.select("s", "n", "q"), "s")
-              .join(label.withColumnRenamed("node", "s"), "s", "left")
-              .select("t", "s", "n", "p", "q", F.coalesce("label", "s").alias("c")))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("t").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("t")
-    x = placed.join(mixed, "t", "left_semi")
-    y = x.select("t", c("s").alias("v"), c("n").alias("m"), c("p").alias("p2"), c("q").alias("q2"), c("c").alias("c2"))
+    links = _verify(stars, classes, texts, size, percent)
+    for turn in range(PROBES):
+        links = links.union(_verify(_probes(_mixed(shared, links), percent, turn), classes, texts, size, percent))
+    # All that is left: pairs of different components.
+    x = _mixed(shared, links)
+    y = x.select("t", c("s").alias("v"), c("n").alias("m"), c("p").alias("p2"), c("c").alias("c2"))
     pairs = (x.join(y, "t").where((c("c") != c("c2")) & ((c("n") < c("m")) | ((c("n") == c("m")) & (c("s") < c("v"))))
-                                  & _may_link(percent, c("n"), c("p"), c("m"), c("p2")) & _suffix_filter(percent))
+                                  & _may_link(percent, c("n"), c("p"), c("m"), c("p2")))
              .select(c("s").alias("u"), "v").distinct())
-    second = _verify(materialize(pairs, "pairs"), classes, src, size, percent)
-    return rows, components(first.union(second))
+    return rows, components(links.union(_verify(pairs, classes, texts, size, percent)))
+
+
+def _probes(mixed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (u, v): each set against members of the components that most rows
+    of its shingles' groups are in, other members in every group and turn.
+    PARTNERS of a set are tried now; the rest is left to the last step."""
+    level = F.floor(F.log("n") / math.log(200 / (100 + percent)))
+    rows = mixed.withColumn("level", level)
+    main = (rows.groupBy("t", "level", "c").agg(
+                F.count("*").alias("k"), F.min_by(F.struct("n", "s", "p"), F.xxhash64("s", "t", F.lit(turn))).alias("h"))
+            .groupBy("t", "level").agg(F.max(F.struct("k", "c", "h")).alias("m")))
+    col = F.col
+    pairs = (rows.join(main, ["t", "level"]).where(col("c") != col("m.c"))
+             .where(_may_link(percent, col("n"), col("p"), col("m.h.n"), col("m.h.p")))
+             .select(col("s").alias("u"), col("m.h.s").alias("v")).distinct())
+    w = Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v")
+    return pairs.withColumn("r", F.row_number().over(w)).where(col("r") <= PARTNERS).select("u", "v")
+
+
+def _mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Prefix rows (t, s, n, p, c) of shingles that several components have."""
+    label = components(links).withColumnRenamed("node", "s")
+    placed = materialize(shared.select("t", "s", "n", "p").join(label, "s", "left")
+                         .select("t", "s", "n", "p", F.coalesce("label", "s").alias("c")), "placed")
+    mixed = placed.groupBy("t").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("t")
+    return materialize(placed.join(mixed, "t", "left_semi"), "mixed")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4,

@@ -61,6 +61,16 @@ def test_equals_brute_force(spark, seed, size, percent):
     assert sorted(map(tuple, got), key=str) == sorted(brute(rows, size, percent), key=str)
 
 
+def test_groups_over_several_batches(spark):
+    rows = rows_for(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = J.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=str) == sorted(brute(rows, 4, 85), key=str)
+
+
 def test_one_of_each_keeps_one(spark):
     rows = rows_for(5)
     df = spark.createDataFrame(rows, SCHEMA)
