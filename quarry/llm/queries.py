@@ -83,3 +83,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
     return license_scan(read(spark, sf_dir, "documents"))
+
+
+@query("op2_html_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(read(spark, sf_dir, "pages"))
+
+
+@query("op4_warc")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(read(spark, sf_dir, "pages"))
