@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 from .common import bucketed, materialize, row_key, slices
 from .jaccard_sets import parts, shingle_sets, signature
 
-#: Frequent shingles in the table that orders them: at most this many, for the
-#: table holds those with at least (all shingles / FREQUENT) occurrences.
-FREQUENT = 1 << 20
+#: Shingles in the table that orders them, at most.
+FREQUENT = 1 << 21
 #: Shingles that a task counts at once, and the least count that it reports.
-COUNTED, REPORTED = 2_000_000, 4
+COUNTED, REPORTED = 4_000_000, 2
 #: Sets that a task remembers, not to send a copy's prefix again.
 SEEN = 1_000_000
 #: Turns in which sets are held against large components that they meet, and
@@ -71,17 +70,23 @@ def _scan(src: DataFrame, size: int) -> DataFrame:
     return src.mapInArrow(run, f"__k1 bigint, __k2 bigint, id {kind}, s bigint, n bigint, q binary")
 
 
-def _frequent(scan: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their counts.  At most FREQUENT of them
-    have total / FREQUENT occurrences, so the table has a bound; a count may
-    lack occurrences in stretches where the shingle is rare, which shifts the
-    order but keeps it one order for all sets, as the join needs."""
-    least = max(16, total // FREQUENT)
-    rows = (scan.where("q is null").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            .select("s", "n").toArrow())
-    t = rows.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(t)
-    return t[order], rows.column(1).to_numpy()[order]
+def _frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and their counts: all that were reported, or
+    if these are more than FREQUENT, those above the least count that leaves so
+    many.  A count may lack occurrences in stretches where the shingle is rare,
+    which shifts the order but keeps it one order for all sets, as the join
+    needs."""
+    counts = materialize(scan.where("q is null").groupBy("s").agg(F.sum("n").alias("n")), "frequent")
+    left, least = FREQUENT, 0
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["n"]):
+        left -= r["k"]
+        if left < 0:
+            least = r["n"] + 1
+            break
+    t = counts.where(F.col("n") >= least).toArrow()
+    known = t.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return known[order], t.column(1).to_numpy()[order]
 
 
 def _prefixes(src: DataFrame, size: int, percent: int, frequent) -> DataFrame:
@@ -237,8 +242,7 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     rows = scan.where("q is not null")
     classes = materialize(rows.where("n > 0").groupBy("s").agg(
         F.min(F.struct("__k1", "__k2")).alias("f"), F.first("n").cast("int").alias("n"), F.first("q").alias("q")), "classes")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    shared = materialize(_shared(_prefixes(src, size, percent, _frequent(scan, total)), percent), "shared")
+    shared = materialize(_shared(_prefixes(src, size, percent, _frequent(scan)), percent), "shared")
     # The texts of all nodes that may link, fetched once.
     nodes = classes.select("s", "f.__k1", "f.__k2").join(shared.select("s").distinct(), "s", "left_semi")
     texts = bucketed(src.select("__k1", "__k2", "t").join(nodes, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]),
