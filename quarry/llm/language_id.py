@@ -22,7 +22,7 @@ PIECE, WORD = 16, 32
 LEARN = 1500
 ROUNDS, SMOOTH = 3, 0.02
 #: Words whose scores a process keeps.
-CACHE = 400_000
+CACHE = 600_000
 #: ASCII that is no letter becomes a space; other bytes stay.
 _CUT = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -210,18 +210,30 @@ class Scorer:
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text the summed log probabilities, and whether it has a letter."""
         out, has = np.zeros((len(texts), self.prob.shape[1])), np.zeros(len(texts), bool)
+        parts, many = [], 0
         for i, t in enumerate(texts):
             words = words_of(t)
-            for a in range(0, len(words), CACHE):
-                part = words[a:a + CACHE]
-                if len(self.at) > CACHE:
-                    self.at.clear()
-                self._add([w for w in dict.fromkeys(part) if w not in self.at])
-                rows = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
-                out[i] += self.rows[rows].sum(axis=0, dtype=np.float64)
-                has[i] |= bool(self.lettered[rows].any())
+            for a in range(0, len(words), CACHE // 2):
+                parts.append((i, words[a:a + CACHE // 2]))
+                many += len(parts[-1][1])
+                if many > CACHE // 2:
+                    self._sum(parts, out, has)
+                    parts, many = [], 0
+        self._sum(parts, out, has)
         return out, has
 
+    def _sum(self, parts, out, has):
+        """Look new words up for all parts at once, then add up each part."""
+        fresh = dict.fromkeys(w for _, x in parts for w in x if w not in self.at)
+        if len(self.at) + len(fresh) > CACHE:
+            self.at.clear()
+            fresh = dict.fromkeys(w for _, x in parts for w in x)
+        self._add(list(fresh))
+        for i, x in parts:
+            rows = np.fromiter(map(self.at.__getitem__, x), np.int64, len(x))
+            out[i] += self.rows[rows].sum(axis=0, dtype=np.float64)
+            has[i] |= bool(self.lettered[rows].any())
+
     def _add(self, words: list[bytes]):
         cut = [(k, x) for k, w in enumerate(words) for x in letters(w)]
         logs, known = np.zeros((len(words), self.prob.shape[1])), np.zeros(len(words), bool)
@@ -254,7 +266,7 @@ def identify(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
 
     def run(it):
         scorer, names = None, [*langs, "und"]
-        for b in _batches(slices(it, 2048)):
+        for b in _batches(slices(it, 512)):
             texts = b.column(2).to_pylist()
             if langs:
                 scorer = scorer or Scorer(vocab_path, bc.value)
