@@ -78,7 +78,7 @@ def bootstrap_ci(df: DataFrame, y: str, p: str, key: F.Column, n_boot: int = 100
         F.sum("w").alias("sw"), F.sum(F.col("w") * e2).alias("se"), F.sum(F.col("w") * F.col("y")).alias("sy"),
         F.sum(F.col("w") * F.col("y") * F.col("y")).alias("sq"))
     reps = s.select("b", F.sqrt(F.col("se") / F.col("sw")).alias("rmse"),
-                    (1 - F.col("se") / (F.col("sq") - F.col("sy") * F.col("sy") / F.col("sw"))).alias("r2"))
+                    (1 - F.try_divide(F.col("se"), F.col("sq") - F.col("sy") * F.col("sy") / F.col("sw"))).alias("r2"))
     lo, hi = (1 - confidence) / 2, 1 - (1 - confidence) / 2
     # B replicate values only: Spark's exact percentile is the right tool here
     return reps.select(F.inline(F.array(
@@ -152,14 +152,16 @@ def probability_metrics(df: DataFrame, y: str, score: str, eps: float = 1e-15) -
     asc = distinct_value_ranks(x, "s", ["pos", "neg"])
     auc_parts = asc.agg(F.sum(F.col("pos") * (F.col("__before") + (F.col("__cnt") + 1) / 2)).alias("r_pos"),
                         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    auc = auc_parts.select(((F.col("r_pos") - F.col("n_pos") * (F.col("n_pos") + 1) / 2)
-                            / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"))
+    # one class only: no AUC
+    auc = auc_parts.select(F.try_divide(F.col("r_pos") - F.col("n_pos") * (F.col("n_pos") + 1) / 2,
+                                        F.col("n_pos") * F.col("n_neg")).alias("roc_auc"))
     # average precision: thresholds in descending score order; at each
     # distinct score, precision = positives so far / rows so far
     from ..functions.stats import global_rank
     desc = distinct_value_ranks(x.withColumn("s", -F.col("s")), "s", ["pos", "neg"])
     tp = global_rank(desc.select("s", "pos", F.col("__cum").alias("all_cum")), ["s"], weight_col="pos")
-    ap = tp.agg((F.sum(F.col("pos") * F.col("__cum") / F.col("all_cum")) / F.sum("pos")).alias("average_precision"))
+    ap = tp.agg(F.try_divide(F.sum(F.col("pos") * F.col("__cum") / F.col("all_cum")), F.sum("pos"))
+                .alias("average_precision"))
     pc = F.least(F.greatest(F.col(score).cast("double"), F.lit(eps)), F.lit(1 - eps))
     yy = (F.col(y) == 1).cast("double")
     bl = df.agg(F.avg(F.pow(F.col(score) - yy, 2)).alias("brier"),
@@ -257,8 +259,10 @@ def ab_summary(df: DataFrame, variant: str, value: str, a, b) -> DataFrame:
                                F.stddev_pop(value).alias("sp"), F.var_samp(value).alias("vs"))
     one = s.agg(*[F.max(F.when(F.col(variant) == v, F.struct("n", "m", "sp", "vs"))).alias(t) for v, t in ((a, "A"), (b, "B"))])
     n1, n2 = F.col("A.n"), F.col("B.n")
-    sp2 = ((n1 - 1) * F.col("A.vs") + (n2 - 1) * F.col("B.vs")) / (n1 + n2 - 2)
-    t = (F.col("A.m") - F.col("B.m")) / F.sqrt(sp2 * (1.0 / n1 + 1.0 / n2))
+    sp2 = F.try_divide((n1 - 1) * F.col("A.vs") + (n2 - 1) * F.col("B.vs"), n1 + n2 - 2)
+    # constant values have no spread and no t
+    t = F.try_divide(F.col("A.m") - F.col("B.m"),
+                     F.sqrt(sp2 * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))))
     ranks = distinct_value_ranks(x.select(F.col(value).alias("v"), (F.col(variant) == a).alias("fa"),
                                           (F.col(variant) == b).alias("fb")), "v", ["fa", "fb"])
     u = ranks.agg(F.sum(F.col("fa") * (F.col("__before") + (F.col("__cnt") + 1) / 2)).alias("r1"),

@@ -139,12 +139,14 @@ def binarize(col: str, threshold: float = 0.0) -> Column:
 
 
 def auto_scale_method(df: DataFrame, cols: Sequence[str], z: float = 3.0) -> DataFrame:
-    """Robust if any |z| (sample std) exceeds ``z`` else standard."""
+    """Robust if any |z| (sample std) exceeds ``z`` else standard; a
+    constant column has no z."""
     s = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols])
     x = bind_stats(df, s, "_a")
-    mx = x.agg(F.greatest(*[F.max(F.abs((F.col(c) - F.col(f"_a.{c}.m")) / F.col(f"_a.{c}.s"))) for c in cols]
+    mx = x.agg(F.greatest(*[F.max(F.abs(F.try_divide(F.col(c) - F.col(f"_a.{c}.m"), F.col(f"_a.{c}.s")))) for c in cols]
                           ).alias("max_abs_z") if len(cols) > 1 else
-               F.max(F.abs((F.col(cols[0]) - F.col(f"_a.{cols[0]}.m")) / F.col(f"_a.{cols[0]}.s"))).alias("max_abs_z"))
+               F.max(F.abs(F.try_divide(F.col(cols[0]) - F.col(f"_a.{cols[0]}.m"),
+                                        F.col(f"_a.{cols[0]}.s")))).alias("max_abs_z"))
     return mx.withColumn("method", F.when(F.col("max_abs_z") > z, "robust").otherwise("standard"))
 
 

@@ -175,7 +175,8 @@ def f_classif(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     for c in cols:
         ssb = F.col(f"{c}__B") - F.col(f"{c}__S") ** 2 / F.col("__n")
         ssw = F.col(f"{c}__SS") - F.col(f"{c}__B")
-        outs[f"{c}__score"] = (ssb / (F.col("__k") - 1)) / (ssw / (F.col("__n") - F.col("__k")))
+        outs[f"{c}__score"] = F.try_divide(F.try_divide(ssb, F.col("__k") - 1),
+                                          F.try_divide(ssw, F.col("__n") - F.col("__k")))
         outs[f"{c}__df1"] = (F.col("__k") - 1).cast("double")
         outs[f"{c}__df2"] = (F.col("__n") - F.col("__k")).cast("double")
         outs[f"{c}__n"] = F.col("__n")
@@ -192,7 +193,7 @@ def chi2_classif(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     exprs = []
     for c in cols:
         e = F.col("nk") / F.lit(trow["__n"]) * F.lit(trow[f"{c}__T"])
-        exprs.append(F.sum((F.col(c) - e) ** 2 / e).alias(f"{c}__score"))
+        exprs.append(F.sum(F.try_divide((F.col(c) - e) ** 2, e)).alias(f"{c}__score"))
     one = g.agg(*exprs).withColumns({**{f"{c}__df1": F.lit(float(trow["__k"] - 1)) for c in cols},
                                      **{f"{c}__df2": F.lit(None).cast("double") for c in cols},
                                      **{f"{c}__n": F.lit(trow["__n"]).cast("long") for c in cols}})

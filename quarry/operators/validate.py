@@ -145,20 +145,20 @@ def validate_table(df: DataFrame, required: Sequence[str] = (), numeric: Sequenc
                if c in df.columns and not isinstance(df.schema[c].dataType, NUMERIC)]
     static = spark.createDataFrame(issues, "level string, code string, value double")
     cells = sum((F.count_if(is_missing(c, df.schema[c].dataType)) for c in df.columns), F.lit(0))
-    st = df.agg(F.count(F.lit(1)).alias("n"), cells.alias("m"))
-    dups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c")).agg(
-        F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("d"))
+    st = df.agg(F.count(F.lit(1)).alias("__n"), cells.alias("__m"))
+    dups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__c")).agg(
+        F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).alias("__d"))
     from ..functions.bind import bind_stats
     row = bind_stats(st, dups, "_d")
-    pct_m = F.col("m") / (F.col("n") * F.lit(max(len(df.columns), 1))) * 100
-    pct_d = F.col("_d.d") / F.col("n") * 100
+    pct_m = F.try_divide(F.col("__m"), F.col("__n") * F.lit(max(len(df.columns), 1))) * 100
+    pct_d = F.try_divide(F.col("_d.__d"), F.col("__n")) * 100
     dyn = row.select(F.inline(F.array(
         F.struct(F.lit("error").alias("level"), F.lit("too_few_rows").alias("code"),
-                 F.col("n").cast("double").alias("value"), (F.col("n") < min_rows).alias("hit")),
+                 F.col("__n").cast("double").alias("value"), (F.col("__n") < min_rows).alias("hit")),
         F.struct(F.lit("warning").alias("level"), F.lit("high_missing_rate").alias("code"),
-                 pct_m.cast("double").alias("value"), ((F.col("n") > 0) & (pct_m > missing_warn)).alias("hit")),
+                 pct_m.cast("double").alias("value"), ((F.col("__n") > 0) & (pct_m > missing_warn)).alias("hit")),
         F.struct(F.lit("warning").alias("level"), F.lit("duplicates").alias("code"),
-                 pct_d.cast("double").alias("value"), ((F.col("n") > 0) & (pct_d > dup_warn)).alias("hit")),
+                 pct_d.cast("double").alias("value"), ((F.col("__n") > 0) & (pct_d > dup_warn)).alias("hit")),
     ))).where("hit").drop("hit")
     return static.unionByName(dyn)
 

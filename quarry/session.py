@@ -4,6 +4,7 @@ checkpoint folder lookup that every iterative operator uses."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in _DEFAULTS.items():
-        b = b.config(k, v)
+        for k, v in _DEFAULTS.items():
+            b = b.config(k, v)
+        b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEM", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEM", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -43,10 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points to a shared file system and is used
-    as is.  Only when it is unset (local tests) a scratch folder is made.
+    as is.  Only when it is unset in local mode (tests) a scratch folder is
+    made; on a cluster that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext

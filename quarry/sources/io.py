@@ -68,9 +68,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
     raw = spark.read.text(path).select(F.col("value").alias("line"),
                                        F.input_file_name().alias("file"))
     raw = raw.where(F.length(F.trim("line")) > 0)
-    parsed = raw.withColumn("rec", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
-    ok = F.col("rec").isNotNull() & F.trim("line").startswith("{") & F.trim("line").endswith("}")
-    good = parsed.where(ok).select("rec.*")
+    bad_field = "__malformed"
+    wide = T.StructType([*schema.fields, T.StructField(bad_field, T.StringType())])
+    parsed = raw.withColumn("rec", F.from_json("line", wide, {"mode": "PERMISSIVE",
+                                                              "columnNameOfCorruptRecord": bad_field}))
+    ok = (F.col("rec").isNotNull() & F.col(f"rec.{bad_field}").isNull()
+          & F.trim("line").startswith("{") & F.trim("line").endswith("}"))
+    good = parsed.where(ok).select("rec.*").drop(bad_field)
     bad = parsed.where(~ok).select("file", "line", F.lit("invalid json").alias("error"))
     return _require(good, key_column), bad
 
@@ -86,7 +90,12 @@ def read_records(spark: SparkSession, path: str, property_names: Sequence[str] |
     body = F.regexp_replace(F.col("value"), r"^\n+", "")
     names = F.regexp_extract_all(body, F.lit(r"> *<([^>\n]+)>[^\n]*\n([^\n]*)"), 1)
     vals = F.regexp_extract_all(body, F.lit(r"> *<([^>\n]+)>[^\n]*\n([^\n]*)"), 2)
-    props = F.map_from_arrays(names, vals)
+    # A repeated property name keeps its last value.
+    entries = F.transform(names, lambda n, i: F.struct(
+        n.alias("key"), F.get(vals, i).alias("value"),
+        (F.array_position(F.reverse(names), n) == F.size(names) - i).alias("last")))
+    props = F.map_from_entries(F.transform(F.filter(entries, lambda e: e["last"]),
+                                           lambda e: F.struct(e["key"], e["value"])))
     if property_names:
         keep = F.array(*[F.lit(p) for p in property_names])
         props = F.map_filter(props, lambda k, v: F.array_contains(keep, k))
