@@ -7,7 +7,8 @@ is first held against one hub of about its size, so that a large group of near
 copies costs a link each; what is linked is a component.  Sets that are not in
 a group's main component are then held against some of its members.  Last, all pairs of *different*
 components that share a prefix shingle and pass the length, positional and
-suffix filters are verified, each once.  Pairs inside a component need no test:
+suffix filters (within the join by sketches of the sets' parts, then by the
+parts) are verified, each once.  Pairs inside a component need no test:
 no link between components can be missed.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, materialize, row_key, slices
-from .jaccard_sets import parts, shingle_sets, signature
+from .jaccard_sets import parts, shingle_sets, signature, sketches
 
 #: Shingles in the table that orders them, at most.
 FREQUENT = 1 << 21
@@ -32,6 +33,8 @@ SEEN = 1_000_000
 #: Turns in which sets are held against large components that they meet, and
 #: the members that one set is held against in a turn.
 PROBES, PARTNERS = 2, 8
+#: Columns of a set's sketch.
+SKETCH = ["h0", "h1", "h2", "h3"]
 
 
 def _scan(src: DataFrame, size: int) -> DataFrame:
@@ -176,6 +179,23 @@ def _may_link(percent: int, n: Column, p: Column, m: Column, q: Column) -> Colum
             & (most * (100 + percent) >= (n + m) * percent))
 
 
+def _sketched(classes: DataFrame) -> DataFrame:
+    """(s, SKETCH): the sketch of each set's parts."""
+
+    def run(it):
+        for b in it:
+            q = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 128)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sketches(q).T)], ["s", *SKETCH])
+
+    return classes.select("s", "q").mapInArrow(run, "s bigint, " + ", ".join(f"{h} bigint" for h in SKETCH))
+
+
+def _alike(percent: int) -> Column:
+    """The suffix filter on sketches: sets that link differ in no more bits than shingles."""
+    apart = sum((F.bit_count(F.col(h).bitwiseXOR(F.col(f"{h}_2"))) for h in SKETCH), F.lit(0))
+    return apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+
+
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose sets' parts by fixed pivots are alike enough: sets
     that link differ in at most (100 - percent) / (100 + percent) of their sizes."""
@@ -254,10 +274,10 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     for turn in range(PROBES):
         links = links.union(_verify(_probes(_mixed(shared, links), percent, turn), classes, texts, size, percent))
     # All that is left: pairs of different components.
-    x = _mixed(shared, links)
-    y = x.select("t", c("s").alias("v"), c("n").alias("m"), c("p").alias("p2"), c("c").alias("c2"))
+    x = materialize(_mixed(shared, links).join(_sketched(classes), "s"), "sketched")
+    y = x.select("t", c("s").alias("v"), c("n").alias("m"), c("p").alias("p2"), c("c").alias("c2"), *[c(h).alias(f"{h}_2") for h in SKETCH])
     pairs = (x.join(y, "t").where((c("c") != c("c2")) & ((c("n") < c("m")) | ((c("n") == c("m")) & (c("s") < c("v"))))
-                                  & _may_link(percent, c("n"), c("p"), c("m"), c("p2")))
+                                  & _may_link(percent, c("n"), c("p"), c("m"), c("p2")) & _alike(percent))
              .select(c("s").alias("u"), "v").distinct())
     return rows, components(links.union(_verify(pairs, classes, texts, size, percent)))
 

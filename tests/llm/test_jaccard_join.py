@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import jaccard_join as J
+from quarry.llm.jaccard_sets import parts, sketches
 
 SCHEMA = "doc_id bigint, text string, s bigint, id string, q int"
 
@@ -93,3 +95,13 @@ def test_near_copies_cost_a_pair_each(spark):
     rows = [(i, " ".join([*base[:i % 100], f"e{i}", *base[i % 100 + 1:]]), 1, "x", 1) for i in range(300)]
     got = J.jaccard_components(spark.createDataFrame(rows, SCHEMA), percent=80).collect()
     assert {r["component_id"] for r in got} == {0}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(5)
+    for n, apart in [(20, 3), (300, 40), (2000, 300), (60_000, 9_000)]:
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        y = np.concatenate([x[apart:], rng.integers(0, 1 << 63, apart // 2, dtype=np.uint64)])
+        a, b = (sketches(np.frombuffer(parts(np.unique(s)), np.uint8).reshape(1, -1)) for s in (x, y))
+        assert a.shape == (1, 4)
+        assert int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= len(np.setxor1d(x, y))
