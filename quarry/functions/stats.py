@@ -71,7 +71,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     w_cum = W.partitionBy("pid", "column_name").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     cum = (vc.join(F.broadcast(offs.select("pid", "column_name", "off")), ["pid", "column_name"])
            .withColumn("cum", F.col("off") + F.sum("cnt").over(w_cum)))
-    hit = (cum.join(F.broadcast(need), "column_name")
+    # the range that holds each wanted rank: 2 × probabilities × columns rows
+    place = (offs.join(F.broadcast(need), "column_name")
+             .where((F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("tot")))
+             .select("pid", "column_name", "p", "r", "side"))
+    hit = (cum.join(F.broadcast(place), ["pid", "column_name"])
            .where((F.col("r") >= F.col("cum") - F.col("cnt")) & (F.col("r") < F.col("cum")))
            .groupBy("column_name", "p")
            .agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("x_lo"),

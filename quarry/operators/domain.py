@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import quantiles
 from ..session import cut_lineage
 from .similarity import dense_topk, zscale, zscore_stats
 
@@ -30,7 +31,8 @@ def _mean_knn(q: DataFrame, d: DataFrame, id_col: str, k: int, exclude_self: boo
 
 
 def _percentile(df: DataFrame, col: str, p: float) -> float:
-    return df.agg(F.percentile(col, p)).first()[0]
+    row = quantiles(df, [col], [p]).first()
+    return None if row is None else row["q"]
 
 
 def distance_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,

@@ -29,12 +29,12 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 # ---------------------------------------------------------------- J06
-def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_samples: int = 5,
-           max_iter: int = 50) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """J06 DBSCAN: ε-neighbourhood join (blocked kernel), core rows have
     ≥ min_samples neighbours (self included, as sklearn); clusters are the
-    connected components of core–core edges by iterative min-label
-    propagation (checkpoint per round); a border row takes the smallest
+    connected components of core–core edges: min-label propagation with
+    pointer jumping (a row also takes its label's label), until nothing
+    changes (checkpoint per round); a border row takes the smallest
     label of its core neighbours; noise is −1.  Label = smallest core id."""
     x = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     e = dense_radius(x, x, "id", "id", "v", eps, exclude_self=True)
@@ -46,14 +46,16 @@ def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_sampl
         core.withColumnRenamed("id", "did"), "did", "left_semi").select("qid", "did")
     cc_e = cut_lineage(cc_e)
     lab = core.select("id", F.col("id").alias("label"))
-    for _ in range(max_iter):
+    while True:
         nb = cc_e.join(lab.withColumnRenamed("id", "did"), "did").groupBy(F.col("qid").alias("id")).agg(
             F.min("label").alias("nl"))
         new = lab.join(nb, "id", "left").select("id", F.least("label", F.coalesce("nl", "label")).alias("label"))
         new = cut_lineage(new)
-        changed = new.join(lab.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).limit(1).count()
+        up = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        new = cut_lineage(new.join(up, "label").select("id", F.col("up").alias("label")))
+        same = new.join(lab.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).isEmpty()
         lab = new
-        if changed == 0:
+        if same:
             break
     border = e.join(lab.withColumnRenamed("id", "did"), "did").groupBy(F.col("qid").alias("id")).agg(
         F.min("label").alias("bl"))

@@ -223,14 +223,14 @@ def similarity_matrix(df: DataFrame, id_col: str, tok_col: str = "toks",
     return pairs.select(F.col("qid").alias("i"), F.col("did").alias("j"), "sim").unionByName(diag)
 
 
-def pairwise_stats(sample: DataFrame, id_col: str, tok_col: str = "toks",
+def pairwise_stats(df: DataFrame, id_col: str, tok_col: str = "toks",
                    metric: str = "tanimoto") -> DataFrame:
     """Mean / population std of the similarity over all pairs i<j of a
-    (sampled) table, zero-overlap pairs included, pairs whose union is empty
+    table, zero-overlap pairs included, pairs whose union is empty
     skipped — without emitting the zero pairs: their count is closed-form."""
-    sets = sample.select(id_col, F.size(tok_col).alias("n"))
+    sets = df.select(id_col, F.size(tok_col).alias("n"))
     counts = sets.agg(F.count("*").alias("m"), F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("z"))
-    pairs = set_join(sample, sample, id_col, id_col, tok_col, 0.0, metric, self_join=True)
+    pairs = set_join(df, df, id_col, id_col, tok_col, 0.0, metric, self_join=True)
     s = pairs.agg(F.sum("sim").alias("s1"), F.sum(F.col("sim") * F.col("sim")).alias("s2"))
     n_pairs = (F.col("m") * (F.col("m") - 1) / 2 - F.col("z") * (F.col("z") - 1) / 2)
     mean = F.coalesce(F.col("s1"), F.lit(0.0)) / n_pairs

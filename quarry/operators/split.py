@@ -50,24 +50,45 @@ def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     return df.join(g, group)
 
 
-def group_lpt(df: DataFrame, group: str, k: int = 5, max_groups: int = 1_000_000) -> DataFrame:
-    """Each group (largest first) goes to the currently smallest fold.
-    The greedy pass runs on the aggregated group-size table; beyond
-    ``max_groups`` groups the serpentine deal of H03 is used instead."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    n_groups = sizes.count()
-    if n_groups > max_groups:
-        return group_kfold(df, group, k)
-    rows = sizes.orderBy(F.desc("__size"), group).collect()
-    load = [0] * k
-    assign = []
-    for row in rows:
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += row["__size"]
-        assign.append((row[group], f))
+def _deal_class(load: list[int], size: int, count: int) -> list[tuple[int, int, list[int]]]:
+    """Deals ``count`` groups of one ``size``, each to the fold of least load
+    (ties: smaller fold), and adds them to ``load``.  Fold i takes its j-th
+    group when its load stands at load_i + j·size, so groups go out in levels:
+    fold i joins at level (load_i − min) div size, and within a level the folds
+    follow their remainders.  Returns (first position, end, folds in turn)."""
+    base = min(load)
+    level = [(x - base) // size for x in load]
+    turn = sorted(range(len(load)), key=lambda i: ((load[i] - base) % size, i))
+    out, pos = [], 0
+    starts = sorted(set(level))
+    for at, nxt in zip(starts, [*starts[1:], None]):
+        folds = [i for i in turn if level[i] <= at]
+        n = count - pos if nxt is None else min(count - pos, (nxt - at) * len(folds))
+        if n:
+            out.append((pos, pos + n, folds))
+            for j, i in enumerate(folds):
+                load[i] += size * (n // len(folds) + (j < n % len(folds)))
+        pos += n
+    return out
+
+
+def group_lpt(df: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """Each group (largest first, then by key) goes to the currently
+    smallest fold.  Groups of one size are interchangeable, so the greedy pass
+    on the driver sees the distinct sizes only (at most about the root of twice
+    the rows); a group finds its fold by its rank among the groups of its size."""
     spark = df.sparkSession
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, fold int"
-    return df.join(F.broadcast(spark.createDataFrame(assign, schema)), group)
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__size"))
+    ranked = global_rank(sizes, ["__g"], ["__size"]).select("__g", "__size", (F.col("__rn") - 1).alias("__pos"))
+    classes = sizes.groupBy("__size").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("__size")).collect()
+    load = [0] * k
+    deals = [(r["__size"], _deal_class(load, r["__size"], r["c"])) for r in classes]
+    plan = spark.createDataFrame(deals, "__size bigint, __runs array<struct<a: bigint, b: bigint, folds: array<int>>>")
+    run = F.filter("__runs", lambda x: (F.col("__pos") >= x["a"]) & (F.col("__pos") < x["b"]))[0]
+    folds = (ranked.join(plan, "__size").withColumn("__run", run)
+             .select("__g", F.col("__run.folds")[((F.col("__pos") - F.col("__run.a"))
+                                                  % F.size("__run.folds")).cast("int")].alias("fold")))
+    return df.join(folds, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def group_shuffle_split(df: DataFrame, group: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:

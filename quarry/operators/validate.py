@@ -22,31 +22,25 @@ def alphabet_regex(alphabet: str = KEY_ALPHABET) -> str:
     return f"^[{esc}]+$"
 
 
-def first_values(df: DataFrame, col: str, order_col: str, n: int) -> DataFrame:
-    """The first ``n`` non-null values of ``col`` by ``order_col``: a
-    distributed top-n (each task keeps n rows)."""
-    return df.where(F.col(col).isNotNull()).select(order_col, col).orderBy(order_col).limit(n)
-
-
-def key_column_scores(df: DataFrame, order_col: str, n: int = 5,
-                      pattern: str | None = None) -> DataFrame:
-    """Per string column, whether its first ``n`` non-null values all
-    match the key alphabet → (column_name, position, looks_like_key)."""
+def key_column_scores(df: DataFrame, order_col: str, pattern: str | None = None) -> DataFrame:
+    """Per string column but ``order_col``, whether all its non-null
+    values match the key alphabet → (column_name, position, looks_like_key).
+    One aggregate over the whole table; a column without values is no key."""
     pattern = pattern or alphabet_regex()
-    parts = []
-    for i, c in enumerate(string_columns(df, [order_col])):
-        s = first_values(df, c, order_col, n).agg(
-            F.coalesce(F.bool_and(F.col(c).rlike(pattern)), F.lit(False)).alias("looks_like_key"))
-        parts.append(s.select(F.lit(c).alias("column_name"), F.lit(i).alias("position"), "looks_like_key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cols = string_columns(df, [order_col])
+    one = df.agg(F.lit(0).alias("__none"),
+                 *[F.coalesce(F.bool_and(F.col(c).rlike(pattern)), F.lit(False)).alias(f"__k{i}")
+                   for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
+                     F.col(f"__k{i}").alias("looks_like_key")) for i, c in enumerate(cols)]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column_name string, position int, looks_like_key boolean")
+    return one.select(F.inline(F.array(*rows)))
 
 
 def detect_key_column(df: DataFrame, order_col: str, candidates: Sequence[str] = KEY_NAME_CANDIDATES) -> DataFrame:
-    """A candidate name wins; else the first string column whose first
-    5 values look like keys.  One-row frame (key_column)."""
+    """A candidate name wins; else the first string column all of whose
+    values look like keys.  One-row frame (key_column)."""
     for c in candidates:
         if c in df.columns:
             return df.sparkSession.createDataFrame([(c,)], "key_column string")
@@ -55,19 +49,20 @@ def detect_key_column(df: DataFrame, order_col: str, candidates: Sequence[str] =
 
 
 def key_columns_by_validity(df: DataFrame, order_col: str, validator, name_token: str = "smiles",
-                            n: int = 10, min_rate: float = 0.8) -> DataFrame:
-    """String columns whose name contains the token or whose first ``n``
-    non-null values pass ``validator(col)`` at a rate above ``min_rate``."""
-    parts = []
-    for c in string_columns(df, [order_col]):
-        s = first_values(df, c, order_col, n).agg(F.avg(validator(F.col(c)).cast("double")).alias("valid_rate"))
-        parts.append(s.select(F.lit(c).alias("column_name"), "valid_rate",
-                              (F.lit(name_token.lower() in c.lower()) | (F.col("valid_rate") > min_rate))
-                              .alias("is_key")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                            min_rate: float = 0.8) -> DataFrame:
+    """String columns whose name contains the token or whose non-null
+    values pass ``validator(col)`` at a rate above ``min_rate``; one aggregate
+    over the whole table.  Without values the rate is null."""
+    cols = string_columns(df, [order_col])
+    one = df.agg(F.lit(0).alias("__none"),
+                 *[F.avg(F.when(F.col(c).isNotNull(), validator(F.col(c)).cast("double"))).alias(f"__r{i}")
+                   for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"__r{i}").alias("valid_rate"),
+                     (F.lit(name_token.lower() in c.lower()) | (F.col(f"__r{i}") > min_rate)).alias("is_key"))
+            for i, c in enumerate(cols)]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column_name string, valid_rate double, is_key boolean")
+    return one.select(F.inline(F.array(*rows)))
 
 
 def prepare_xy(df: DataFrame, target: str, key_col: str | None = None,

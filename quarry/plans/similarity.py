@@ -165,12 +165,8 @@ def d05(spark, sf):
     return out.withColumn("sim", r6(F.col("sim")))
 
 
-_SAMPLE = 500
-
-
 @query("d06_pairwise_stats", f"""
-WITH smp AS (SELECT * FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {_SAMPLE}),
-ds AS (SELECT doc_id, {shingles_sql('ws')} AS toks FROM (SELECT doc_id, {words_sql('text')} AS ws FROM smp)),
+WITH {DOC_SETS},
 {DOC_PAIRS},
 cnt AS (SELECT count(*) AS m, sum(CASE WHEN len(toks) = 0 THEN 1 ELSE 0 END) AS z FROM ds),
 agg AS (SELECT sum(sim) AS s1, sum(sim * sim) AS s2 FROM pairs)
@@ -179,10 +175,7 @@ SELECT CAST(m * (m - 1) / 2 - z * (z - 1) / 2 AS BIGINT) AS n_pairs,
   round(sqrt(greatest(coalesce(s2, 0) / (m * (m - 1) / 2 - z * (z - 1) / 2) - pow(coalesce(s1, 0) / (m * (m - 1) / 2 - z * (z - 1) / 2), 2), 0)), 6) + 0.0 AS std_similarity
 FROM cnt, agg""")
 def d06(spark, sf):
-    d = table(spark, sf, "documents")
-    smp = d.orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id").limit(_SAMPLE)
-    smp = smp.select("doc_id", S.shingles(F.col("text")).alias("toks"))
-    out = S.pairwise_stats(smp, "doc_id")
+    out = S.pairwise_stats(docs(spark, sf).select("doc_id", "toks"), "doc_id")
     return out.withColumns({c: r6(F.col(c)) for c in ("mean_similarity", "std_similarity")})
 
 

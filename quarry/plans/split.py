@@ -45,7 +45,13 @@ def h03b(spark, sf):
     return H.leave_one_group_out(n, "n_regionkey").select("n_nationkey", "n_regionkey", "fold")
 
 
-@query("h04_group_lpt")
+@query("h04_group_lpt", """
+WITH RECURSIVE s AS (SELECT p_type, count(*) AS sz, row_number() OVER (ORDER BY count(*) DESC, p_type) AS rn FROM part GROUP BY p_type),
+d AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, -1 AS fold
+UNION ALL SELECT s.rn, q.a + CASE WHEN q.f = 0 THEN s.sz ELSE 0 END, q.b + CASE WHEN q.f = 1 THEN s.sz ELSE 0 END,
+  q.c + CASE WHEN q.f = 2 THEN s.sz ELSE 0 END, q.f
+  FROM (SELECT *, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f FROM d) q JOIN s ON s.rn = q.rn + 1)
+SELECT p_partkey, p_type, fold FROM part JOIN s USING (p_type) JOIN d USING (rn)""")
 def h04(spark, sf):
     return H.group_lpt(table(spark, sf, "part").select("p_partkey", "p_type"), "p_type", 3)
 

@@ -15,16 +15,15 @@ from .registry import query
 _KEY_RE = V.alphabet_regex()
 
 
-def _first5_sql(col: str, tbl: str, order: str, n: int = 5) -> str:
-    return (f"(SELECT coalesce(bool_and(regexp_matches({col}, '{_KEY_RE}')), false) FROM "
-            f"(SELECT {col} FROM {tbl} WHERE {col} IS NOT NULL ORDER BY {order} LIMIT {n}))")
+def _all_keys_sql(col: str, tbl: str) -> str:
+    return f"(SELECT coalesce(bool_and(regexp_matches({col}, '{_KEY_RE}')), false) FROM {tbl})"
 
 
 _PART_CODE = "part_c AS (SELECT *, 'C' || CAST(p_size AS VARCHAR) || 'N' AS code FROM part)"
 
 
 @query("b01_key_column_scores", f"WITH {_PART_CODE} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, {i} AS position, {_first5_sql(c, 'part_c', 'p_partkey')} AS looks_like_key"
+    f"SELECT '{c}' AS column_name, {i} AS position, {_all_keys_sql(c, 'part_c')} AS looks_like_key"
     for i, c in enumerate(["p_name", "p_brand", "p_type", "code"])))
 def b01(spark, sf):
     p = table(spark, sf, "part").withColumn("code", F.concat(F.lit("C"), F.col("p_size").cast("string"), F.lit("N")))
@@ -39,7 +38,7 @@ def b01b(spark, sf):
 
 def _rate_sql(col: str) -> str:
     return (f"(SELECT avg(CASE WHEN regexp_matches({col}, '^Customer#[0-9]+$') THEN 1.0 ELSE 0.0 END) FROM "
-            f"(SELECT {col} FROM customer WHERE {col} IS NOT NULL ORDER BY c_custkey LIMIT 10))")
+            f"customer WHERE {col} IS NOT NULL)")
 
 
 @query("b02_key_columns_by_validity", " UNION ALL ".join(
