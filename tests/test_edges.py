@@ -1,6 +1,13 @@
 """Plain edge inputs: empty and constant tables, clashing names, malformed lines, long paths."""
 
-from quarry.operators import graph, metrics, preprocess, select, validate
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.functions.stats import quantiles
+from quarry.operators import graph, metrics, model, preprocess, select, split, validate
 from quarry.sources import io
 
 
@@ -37,3 +44,56 @@ def test_long_path(spark):
     adj = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(9)], "node string, neighbor string")
     row = graph.shortest_path(adj, "n00", "n09").first()
     assert row["hops"] == 9
+
+
+def test_deal_by_size_classes_equals_greedy_deal():
+    rnd = random.Random(5)
+    for _ in range(200):
+        k = rnd.randrange(1, 6)
+        classes = [(s, rnd.randrange(1, 9)) for s in sorted(rnd.sample(range(1, 40), rnd.randrange(1, 8)), reverse=True)]
+        load, want, dealt = [0] * k, [0] * k, []
+        for size, count in classes:
+            runs = split._deal_class(load, size, count)
+            got = [folds[(i - a) % len(folds)] for a, b, folds in runs for i in range(a, b)]
+            greedy = []
+            for _ in range(count):
+                f = min(range(k), key=lambda i: (want[i], i))
+                want[f] += size
+                greedy.append(f)
+            dealt.append((got, greedy))
+        assert load == want and all(a == b for a, b in dealt)
+
+
+def test_group_lpt_keeps_null_groups_and_rows(spark):
+    rows = [(i, g) for i, g in enumerate([None, "a", "a", "b", None, None, "c"])]
+    out = split.group_lpt(spark.createDataFrame(rows, "id int, g string"), "g", 2).collect()
+    assert sorted(r["id"] for r in out) == list(range(7))
+    assert {r["g"]: r["fold"] for r in out} == {None: 0, "a": 1, "b": 1, "c": 0}
+
+
+def test_key_detection_reads_every_value(spark):
+    df = spark.createDataFrame([(i, "CCO" if i < 30 else "no key", "CN", None) for i in range(31)],
+                               "id int, a string, b string, c string")
+    got = {r["column_name"]: r["looks_like_key"] for r in validate.key_column_scores(df, "id").collect()}
+    assert got == {"a": False, "b": True, "c": False}
+    rates = {r["column_name"]: r["valid_rate"]
+             for r in validate.key_columns_by_validity(df, "id", lambda x: x == "CCO").collect()}
+    assert rates["a"] == pytest.approx(30 / 31) and rates["c"] is None
+    assert validate.key_column_scores(df.select("id"), "id").collect() == []
+
+
+def test_dbscan_long_chain_is_one_cluster(spark):
+    df = spark.range(130).select("id", F.array(F.col("id") * 0.4, F.lit(0.0)).alias("v"))
+    out = model.dbscan(df, "id", "v", eps=0.5, min_samples=2)
+    assert {r["cluster"] for r in out.collect()} == {0}
+
+
+def test_quantiles_equal_numpy(spark):
+    rnd = np.random.default_rng(2)
+    x = np.round(rnd.normal(size=500), 2)
+    df = spark.createDataFrame([(float(v), 1.0) for v in x], "x double, one double")
+    probs = [0.0, 0.05, 0.31, 0.5, 0.95, 1.0]
+    got = {(r["column_name"], r["p"]): r["q"] for r in quantiles(df, ["x", "one"], probs).collect()}
+    assert len(got) == 12
+    for p in probs:
+        assert got["x", p] == pytest.approx(np.quantile(x, p)) and got["one", p] == 1.0
