@@ -3,9 +3,10 @@
 Markup is cut into blocks with the role of the element that holds them.  What
 stands in an article container is the article, less menus, notices, forms,
 adverts and comments in it.  Text outside of a container is judged by a suffix
-array: the token streams of a host's pages are concatenated and sorted by
-suffix; a run of tokens that another page of the host has too is boilerplate.
-A page without container keeps its unique runs.
+array: the streams of a host's pages are concatenated and sorted by suffix; a
+run of whole blocks that a share of the host's pages has is boilerplate.  Pages
+that are near copies of each other (connected by equal bands of MinHash values
+of their text) count as one.  A page without container keeps its other blocks.
 
 A host's pages are dealt to chunks of bounded size, each sorted by one task;
 windows of a host with several chunks are then counted by hash, so that a hot
@@ -25,8 +26,14 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 from .suffix_dedup import mix, prefix_hash, span_hash, suffix_sort
 
-#: Tokens of a run that makes it boilerplate when another page has it.
+#: Least tokens of a run of whole blocks that is judged.
 RUN = 6
+#: Least share of a host's pages, and least number, that make a run of theirs
+#: boilerplate; near copies are one page.
+SHARE, PAGES = 0.1, 2
+#: MinHash values of 5-token windows: pages that agree in a whole band are near
+#: copies (with a Jaccard similarity of 0.9 all but 1 pair in 10,000, of 0.5 6 %).
+BANDS, ROWS, SHINGLE = 16, 8, 5
 #: Bytes of a host's streams that one task sorts.
 CHUNK = 1 << 20
 
@@ -147,37 +154,96 @@ def _key(d: DataFrame, id_col: str, url_col: str, html_col: str) -> list:
     return [F.xxhash64(*c).alias("__k1"), F.xxhash64(F.lit(7), *c[::-1]).alias("__k2")]
 
 
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def sketch(text: bytes) -> tuple[int, list[int]]:
+    """Hash of a text of blocks that end in a line end, and its bands."""
+    data = np.frombuffer(text, np.uint8)
+    p = prefix_hash(data)
+    end = np.flatnonzero((data == 32) | (data == 10))  # each ends a token
+    start = np.concatenate([[0], end[:-1] + 1])
+    n = max(1, len(end) - SHINGLE + 1)
+    last = end[min(SHINGLE, len(end)) - 1:][:n]
+    h = np.unique(mix(span_hash(p, start[:n], last) + (last - start[:n]).astype(np.uint64)))
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        low = np.minimum(low, (h[i:i + (1 << 12), None] * _FACTORS).min(axis=0))
+    bands = mix((mix(low) * _FACTORS).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64))
+    whole = span_hash(p, np.array([0]), np.array([len(data)]))
+    return int(whole.view(np.int64)[0]), bands.view(np.int64).tolist()
+
+
 def _streams(pages: DataFrame, keys: list, url_col: str, html_col: str) -> DataFrame:
-    """(__k1, __k2, host, stream, open): what stands outside of containers; open
-    if the page has none.  Tokens are joined by one space, blocks by a line end
-    and a space, so that no token is another's prefix."""
+    """(__k1, __k2, host, stream, judged, same, bands): what stands outside of
+    containers; the first ``judged`` bytes are the text of a page that has none.
+    Blocks end in a line end; same and bands are the sketch of the page's text."""
 
     def run(it):
         for b in slices(it):
-            host, stream, free = [], [], []
+            host, stream, size, same, bands = [], [], [], [], []
             for url, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 article, plain, dropped = blocks(page)
+                text = "".join(f"{x}\n" for x in article or plain or dropped).encode()
                 host.append(host_of(url))
-                free.append(not article)
-                stream.append("".join(f"{x} " for x in plain + ([] if not article and plain else dropped)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(stream, pa.string()),
-                                              pa.array(free, pa.bool_())], ["__k1", "__k2", "host", "stream", "open"])
+                size.append(0 if article else len(text))
+                stream.append("".join(f"{x}\n" for x in plain + dropped))
+                s, k = sketch(text) if text else (0, [])
+                same.append(s)
+                bands.append(k)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(stream, pa.string()), pa.array(size, pa.int32()),
+                 pa.array(same, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["__k1", "__k2", "host", "stream", "judged", "same", "bands"])
 
     src = pages.select(*keys, F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return src.mapInArrow(run, "__k1 bigint, __k2 bigint, host string, stream string, open boolean").where("stream <> ''")
-
-
-def repeated_windows(streams: list[bytes], run: int) -> tuple[np.ndarray, ...]:
+    return src.mapInArrow(run, "__k1 bigint, __k2 bigint, host string, stream string, judged int, same bigint, "
+                               "bands array<bigint>").where("stream <> ''")
+
+
+def near_copies(streams: DataFrame) -> DataFrame:
+    """(host, same, copy): the least hash among the pages of a host that bands
+    connect with the page; pages that share none are left out."""
+    rows = streams.select("host", "same", F.explode("bands").alias("band")).distinct()
+    shared = rows.groupBy("host", "band").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b")
+    edges = materialize(rows.join(shared.select("host", "band"), ["host", "band"], "left_semi"), "copies")
+    now = edges.select("host", "same", F.col("same").alias("copy")).distinct()
+    if edges.isEmpty():
+        return now
+    while True:
+        least = edges.join(now, ["host", "same"]).groupBy("host", "band").agg(F.min("copy").alias("copy"))
+        new = materialize(edges.join(least, ["host", "band"]).groupBy("host", "same").agg(F.min("copy").alias("copy")), "copy")
+        if new.join(now.withColumnRenamed("copy", "old"), ["host", "same"]).where("copy <> old").isEmpty():
+            return new
+        now = new
+
+
+def repeated_windows(streams: list[bytes], run: int, breaks: list[int] | None = None) -> tuple[np.ndarray, ...]:
     """Windows of ``run`` tokens: page, first byte, end, a number per content,
-    by a suffix array over the concatenated streams."""
+    by a suffix array over the concatenated streams.  With ``breaks``, places
+    that no window of a stream crosses, the windows are the shortest runs of
+    whole blocks with so many tokens."""
     data = np.frombuffer(b"".join(streams), np.uint8)
     ends = np.cumsum([len(s) for s in streams])
-    space = np.flatnonzero(data == 32)  # each ends a token
-    start = np.concatenate([[0], space[:-1] + 1]) if len(space) else space
-    page = np.searchsorted(ends, start, side="right")
-    n = max(0, len(start) - run + 1)
-    begin, end = start[:n], space[run - 1:]
-    whole = page[:n] == page[run - 1:]
+    if breaks is None:
+        space = np.flatnonzero(data == 32)  # each ends a token
+        start = np.concatenate([[0], space[:-1] + 1]) if len(space) else space
+        page = np.searchsorted(ends, start, side="right")
+        n = max(0, len(start) - run + 1)
+        begin, end = start[:n], space[run - 1:]
+        whole = page[:n] == page[run - 1:]
+    else:
+        line = np.flatnonzero(data == 10)  # each ends a block
+        start = np.concatenate([[0], line[:-1] + 1]) if len(line) else line
+        page = np.searchsorted(ends, start, side="right")
+        spaces = np.cumsum(data == 32)
+        tokens = np.cumsum(spaces[line] - spaces[start] + 1)
+        last = np.searchsorted(tokens, np.concatenate([[0], tokens[:-1]]) + run) if len(line) else line
+        n = int(np.count_nonzero(last < len(line)))
+        last = last[:n]
+        begin, end = start[:n], line[last]
+        part = start >= (ends - [len(s) for s in streams] + np.asarray(breaks))[page] if len(line) else start
+        whole = (page[:n] == page[last]) & (part[:n] == part[last])
     begin, end, page = begin[whole], end[whole] + 1, page[:n][whole]
     if not len(begin):
         return begin, begin, begin, begin
@@ -191,36 +257,43 @@ def repeated_windows(streams: list[bytes], run: int) -> tuple[np.ndarray, ...]:
 
 
 def boilerplate(streams: DataFrame, run: int = RUN, chunk_bytes: int = CHUNK) -> DataFrame:
-    """(__k1, __k2, spans): byte spans (start, end) of the streams that another
-    page of the host repeats, ``run`` tokens at least."""
+    """(__k1, __k2, spans): byte spans (start, end) of the judged texts: whole
+    blocks, ``run`` tokens at least, that SHARE of the host's pages have."""
     streams = materialize(streams, "streams")
-    sizes = streams.groupBy("host").agg(F.sum(F.octet_length("stream")).alias("b"))
-    sizes = materialize(sizes.select("host", F.ceil(F.col("b") / chunk_bytes).cast("int").alias("chunks")), "hosts")
-    dealt = (streams.join(sizes, "host")
+    copies = near_copies(streams)
+    sizes = (streams.select("host", "same", F.octet_length("stream").alias("b")).join(copies, ["host", "same"], "left")
+             .groupBy("host", F.coalesce("copy", "same").alias("same")).agg(F.sum("b").alias("b"))
+             .groupBy("host").agg(F.sum("b").alias("b"), F.count("*").alias("n")))
+    sizes = materialize(sizes.select("host", F.ceil(F.col("b") / chunk_bytes).cast("int").alias("chunks"),
+                                     F.greatest(F.lit(PAGES), F.ceil(SHARE * F.col("n"))).cast("long").alias("need")), "hosts")
+    dealt = (streams.join(sizes, "host").join(copies, ["host", "same"], "left")
              .withColumn("chunk", F.pmod(F.xxhash64("__k1", "__k2"), F.col("chunks")))
-             .select("host", "chunk", "chunks", "__k1", "__k2", "stream", "open"))
+             .select("host", "chunk", "chunks", "__k1", "__k2", "stream", "judged", F.coalesce("copy", "same").alias("same"), "need"))
 
     def solve(rows):
         data = [r[5].encode() for r in rows]
         first = np.cumsum([0, *map(len, data)])
-        page, begin, end, content = repeated_windows(data, run)
+        judged = np.array([r[6] for r in rows])
+        page, begin, end, content = repeated_windows(data, run, judged)
         p = prefix_hash(np.frombuffer(b"".join(data), np.uint8))
-        same = span_hash(p, first[:-1], first[1:]).view(np.int64)  # equal streams are one page
-        low = np.full(len(content), np.iinfo(np.int64).max)
-        high = np.full(len(content), np.iinfo(np.int64).min)
-        np.minimum.at(low, content, same[page])
-        np.maximum.at(high, content, same[page])
-        here = low[content] < high[content]
-        more = rows[0][2] > 1  # other chunks may have the window too
-        keep = here if not more else np.ones(len(content), bool)
+        same = np.array([r[7] for r in rows], np.int64)
+        need = rows[0][8]
+        own = end <= (first[:-1] + judged)[page]
+        here = rows[0][2] == 1  # no other chunk may have the window too
+        if here:
+            _, number = np.unique(same, return_inverse=True)
+            held = np.unique(content * len(rows) + number[page]) // len(rows)
+            keep = own & (np.bincount(held, minlength=len(content))[content] >= need)
+        else:
+            keep = np.ones(len(content), bool)
         h = mix(span_hash(p, begin, end) + (end - begin).astype(np.uint64)).view(np.int64)
         k = np.array([[r[3], r[4]] for r in rows], np.int64)[page[keep]]
-        free = np.array([r[6] for r in rows])[page[keep]]
         at = first[page[keep]]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[0][0]] * len(k), pa.string()), pa.array(h[keep]), pa.array(here[keep]), pa.array(same[page[keep]]), pa.array(k[:, 0]), pa.array(k[:, 1]),
-             pa.array((begin[keep] - at).astype(np.int32)), pa.array((end[keep] - at).astype(np.int32)), pa.array(free)],
-            ["host", "h", "here", "same", "__k1", "__k2", "s", "e", "open"])
+            [pa.array([rows[0][0]] * len(k), pa.string()), pa.array(h[keep]), pa.array([here] * len(k), pa.bool_()), pa.array(same[page[keep]]),
+             pa.array([need] * len(k), pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]),
+             pa.array((begin[keep] - at).astype(np.int32)), pa.array((end[keep] - at).astype(np.int32)), pa.array(own[keep])],
+            ["host", "h", "here", "same", "need", "__k1", "__k2", "s", "e", "own"])
 
     def sort(it):
         rows: list[tuple] = []
@@ -234,12 +307,12 @@ def boilerplate(streams: DataFrame, run: int = RUN, chunk_bytes: int = CHUNK) ->
             yield solve(rows)
 
     windows = (dealt.repartition("host", "chunk").sortWithinPartitions("host", "chunk")
-               .mapInArrow(sort, "host string, h bigint, here boolean, same bigint, __k1 bigint, __k2 bigint, s int, e int, open boolean"))
+               .mapInArrow(sort, "host string, h bigint, here boolean, same bigint, need bigint, __k1 bigint, __k2 bigint, s int, e int, own boolean"))
     windows = materialize(windows, "windows")
-    across = (windows.groupBy("host", "h").agg(F.min("same").alias("a"), F.max("same").alias("b"), F.max("here").alias("here"))
-              .where("here or a <> b").select("host", "h"))
-    alone = windows.where("open and not here").join(across, ["host", "h"], "left_semi")
-    spans = windows.where("open and here").select("__k1", "__k2", "s", "e").unionByName(alone.select("__k1", "__k2", "s", "e"))
+    across = (windows.where("not here").groupBy("host", "h", "same").agg(F.max("need").alias("need"))
+              .groupBy("host", "h").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("host", "h"))
+    alone = windows.where("own and not here").join(across, ["host", "h"], "left_semi")
+    spans = windows.where("own and here").select("__k1", "__k2", "s", "e").unionByName(alone.select("__k1", "__k2", "s", "e"))
     return spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
@@ -249,7 +322,7 @@ def unique_runs(stream: bytes, spans: list[tuple[int, int]]) -> str:
         left.append(stream[at:s])
         at = max(at, e)
     left.append(stream[at:])
-    return b" ".join(x for x in (y.strip() for y in left) if x).decode()
+    return b" ".join(x for x in (y.strip() for y in left) if x).replace(b"\n", b" ").decode()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
@@ -257,11 +330,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Character references are decoded, white space inside a block is one space,
     blocks are joined by one space in page order.  A page with an article
-    container gives the container's text; another one the runs of tokens that
-    no other page of its host repeats, or if it has no text but in menus and
-    the like, the unique runs of these.  A null html has no text; pages without
-    host form a group of their own; pages that are equal outside of containers
-    count as one page; an empty table gives no rows; other columns are not read."""
+    container gives the container's text; another one its blocks but for runs
+    that SHARE of its host's pages have.  A null html has no text; pages without
+    host form a group of their own; near copies count as one page; an empty
+    table gives no rows; other columns are not read."""
     kind = pages.schema[id_col].dataType.simpleString()
     keys = _key(pages, id_col, url_col, html_col)
     spans = boilerplate(_streams(pages, keys, url_col, html_col), run)
@@ -272,7 +344,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             for page in b.column(4).to_pylist():
                 article, plain, dropped = blocks(page)
                 free.append(not article)
-                out.append(" ".join(article) if article else "".join(f"{x} " for x in plain))
+                out.append(" ".join(article) if article else "".join(f"{x}\n" for x in plain))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.string()), pa.array(free, pa.bool_())],
                                              ["__k1", "__k2", "id", "url", "t", "open"])
 

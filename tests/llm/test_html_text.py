@@ -53,3 +53,18 @@ def test_windows_equal_brute_force():
     want = [b"".join(t + b" " for t in s.split()[i:i + 3]) for s in streams for i in range(len(s.split()) - 2)]
     assert cut == want
     assert len({(c, t) for c, t in zip(content.tolist(), cut, strict=True)}) == len(set(cut)) == len(set(content.tolist()))
+
+
+def test_phrases_and_near_copies_are_no_boilerplate(spark):
+    import random
+
+    rnd = random.Random(5)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    menu, phrase, paras = say(9), "as far as we know today it", [say(60) for _ in range(4)]
+    own = [f"{say(20)} {phrase} {say(20)}" for _ in range(8)]
+    rows = [(i, f"http://h.example/{i}", page(f"<div>{menu}</div><p>{own[i]}</p>")) for i in range(8)]
+    copies = [[*paras[:3], paras[3] + x] for x in (" one", " two")]
+    rows += [(20 + i, f"http://h.example/c{i}", page(f"<div>{menu}</div>" + "".join(f"<p>{x}</p>" for x in c))) for i, c in enumerate(copies)]
+    got = texts(spark, rows)
+    assert [got[i][0] for i in range(8)] == own
+    assert [got[20 + i][0] for i in range(2)] == [" ".join(c) for c in copies]
