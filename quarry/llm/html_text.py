@@ -1,12 +1,13 @@
 """Operator 2: main text of pages, with a suffix array of each host.
 
 Markup is cut into blocks with the role of the element that holds them.  What
-stands in an article container is the article, less menus, notices, forms,
-adverts and comments in it.  Text outside of a container is judged by a suffix
-array: the streams of a host's pages are concatenated and sorted by suffix; a
-run of whole blocks that a share of the host's pages has is boilerplate.  Pages
-that are near copies of each other (connected by equal bands of MinHash values
-of their text) count as one.  A page without container keeps its other blocks.
+stands in an article container is the page's text, less menus, notices, forms,
+adverts and comments in it; else what stands outside of such parts; else all.
+This text is judged by a suffix array: the streams of a host's pages, a 64-bit
+hash per block, are concatenated and sorted by suffix; a run of whole blocks that a share of the
+host's pages has, anywhere on them, is boilerplate and cut.  Pages that are near
+copies of each other (connected by equal bands of MinHash values of their text)
+count as one.
 
 A host's pages are dealt to chunks of bounded size, each sorted by one task;
 windows of a host with several chunks are then counted by hash, so that a hot
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ SHARE, PAGES = 0.1, 2
 #: copies (with a Jaccard similarity of 0.9 all but 1 pair in 10,000, of 0.5 6 %).
 BANDS, ROWS, SHINGLE = 16, 8, 5
 #: Bytes of a host's streams that one task sorts.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas title select".split())
@@ -131,6 +133,11 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
             r = _role(tag, m[4])
             if r == "header":
                 r = "" if deep else "drop"
+            if r == "article" and tag in ("article", "main"):  # a form that wraps the article is no part to drop
+                for i, e in enumerate(open_):
+                    if e == ("form", "drop"):
+                        open_[i] = ("form", "")
+                        drop -= 1
             if r or tag in ("div", "section", "header", "td", "ul", "ol", "dl", "table"):
                 open_.append((tag, r))
                 deep += r == "article"
@@ -141,6 +148,13 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
     return article, plain, dropped
 
 
+def parts(page: str) -> tuple[str, str]:
+    """The page's text before it is judged, and the rest, blocks ended by a line
+    end.  A page that has text only in parts to drop has the text of these."""
+    found = [x for x in blocks(page) if x]
+    return "".join(f"{x}\n" for x in found[0]) if found else "", "".join(f"{x}\n" for y in found[1:] for x in y)
+
+
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -174,58 +188,74 @@ def sketch(text: bytes) -> tuple[int, list[int]]:
     return int(whole.view(np.int64)[0]), bands.view(np.int64).tolist()
 
 
+def block_hashes(text: bytes) -> tuple[bytes, np.ndarray]:
+    """Hashes of the blocks, 8 bytes each, and their numbers of tokens."""
+    data = np.frombuffer(text, np.uint8)
+    line = np.flatnonzero(data == 10)
+    if not len(line):
+        return b"", np.zeros(0, np.int32)
+    start = np.concatenate([[0], line[:-1] + 1])
+    spaces = np.cumsum(data == 32)
+    h = mix(span_hash(prefix_hash(data), start, line) + (line - start).astype(np.uint64))
+    return h.tobytes(), (spaces[line] - spaces[start] + 1).astype(np.int32)
+
+
 def _streams(pages: DataFrame, keys: list, url_col: str, html_col: str) -> DataFrame:
-    """(__k1, __k2, host, stream, judged, same, bands): what stands outside of
-    containers; the first ``judged`` bytes are the text of a page that has none.
-    Blocks end in a line end; same and bands are the sketch of the page's text."""
+    """(__k1, __k2, host, stream, tokens, judged, same, bands): 8-byte hashes and
+    token counts of all blocks, the page's text first, which has ``judged``
+    blocks; same and bands are the sketch of the page's text."""
 
     def run(it):
         for b in slices(it):
-            host, stream, size, same, bands = [], [], [], [], []
+            host, stream, tokens, size, same, bands = [], [], [], [], [], []
             for url, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                article, plain, dropped = blocks(page)
-                text = "".join(f"{x}\n" for x in article or plain or dropped).encode()
+                text, rest = parts(page)
                 host.append(host_of(url))
-                size.append(0 if article else len(text))
-                stream.append("".join(f"{x}\n" for x in plain + dropped))
-                s, k = sketch(text) if text else (0, [])
+                size.append(text.count("\n"))
+                hashes, n = block_hashes((text + rest).encode())
+                stream.append(hashes)
+                tokens.append(n)
+                s, k = sketch(text.encode()) if text else (0, [])
                 same.append(s)
                 bands.append(k)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(stream, pa.string()), pa.array(size, pa.int32()),
-                 pa.array(same, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["__k1", "__k2", "host", "stream", "judged", "same", "bands"])
+                [b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(stream, pa.binary()), pa.array(tokens, pa.list_(pa.int32())),
+                 pa.array(size, pa.int32()), pa.array(same, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["__k1", "__k2", "host", "stream", "tokens", "judged", "same", "bands"])
 
     src = pages.select(*keys, F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return src.mapInArrow(run, "__k1 bigint, __k2 bigint, host string, stream string, judged int, same bigint, "
-                               "bands array<bigint>").where("stream <> ''")
+    return src.mapInArrow(run, "__k1 bigint, __k2 bigint, host string, stream binary, tokens array<int>, judged int, "
+                               "same bigint, bands array<bigint>").where("judged > 0")
 
 
 def near_copies(streams: DataFrame) -> DataFrame:
     """(host, same, copy): the least hash among the pages of a host that bands
     connect with the page; pages that share none are left out."""
-    rows = streams.select("host", "same", F.explode("bands").alias("band")).distinct()
-    shared = rows.groupBy("host", "band").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b")
-    edges = materialize(rows.join(shared.select("host", "band"), ["host", "band"], "left_semi"), "copies")
+    # Dealt by band once: all that follows up to the edges lies as it is.
+    rows = (streams.select("host", "same", F.explode("bands").alias("band"))
+            .select("host", "same", F.xxhash64("host", "band").alias("band")).repartition("band").select("band", "host", "same").distinct())
+    shared = rows.groupBy("band").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b")
+    edges = materialize(rows.join(shared.select("band"), "band", "left_semi"), "copies")
     now = edges.select("host", "same", F.col("same").alias("copy")).distinct()
     if edges.isEmpty():
         return now
     while True:
-        least = edges.join(now, ["host", "same"]).groupBy("host", "band").agg(F.min("copy").alias("copy"))
-        new = materialize(edges.join(least, ["host", "band"]).groupBy("host", "same").agg(F.min("copy").alias("copy")), "copy")
+        least = edges.join(now, ["host", "same"]).groupBy("band").agg(F.min("copy").alias("copy"))
+        new = materialize(edges.join(least, "band").groupBy("host", "same").agg(F.min("copy").alias("copy")), "copy")
         if new.join(now.withColumnRenamed("copy", "old"), ["host", "same"]).where("copy <> old").isEmpty():
             return new
         now = new
 
 
-def repeated_windows(streams: list[bytes], run: int, breaks: list[int] | None = None) -> tuple[np.ndarray, ...]:
+def repeated_windows(streams: list[bytes], run: int, tokens: np.ndarray | None = None,
+                     breaks: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Windows of ``run`` tokens: page, first byte, end, a number per content,
-    by a suffix array over the concatenated streams.  With ``breaks``, places
-    that no window of a stream crosses, the windows are the shortest runs of
-    whole blocks with so many tokens."""
+    by a suffix array over the concatenated streams.  With ``tokens`` of each
+    block, streams are 8-byte hashes of blocks, and windows the shortest runs
+    of blocks with so many tokens, none across block ``breaks`` of its stream."""
     data = np.frombuffer(b"".join(streams), np.uint8)
     ends = np.cumsum([len(s) for s in streams])
-    if breaks is None:
+    if tokens is None:
         space = np.flatnonzero(data == 32)  # each ends a token
         start = np.concatenate([[0], space[:-1] + 1]) if len(space) else space
         page = np.searchsorted(ends, start, side="right")
@@ -233,16 +263,14 @@ def repeated_windows(streams: list[bytes], run: int, breaks: list[int] | None =
         begin, end = start[:n], space[run - 1:]
         whole = page[:n] == page[run - 1:]
     else:
-        line = np.flatnonzero(data == 10)  # each ends a block
-        start = np.concatenate([[0], line[:-1] + 1]) if len(line) else line
+        start = np.arange(0, len(data), 8)
         page = np.searchsorted(ends, start, side="right")
-        spaces = np.cumsum(data == 32)
-        tokens = np.cumsum(spaces[line] - spaces[start] + 1)
-        last = np.searchsorted(tokens, np.concatenate([[0], tokens[:-1]]) + run) if len(line) else line
-        n = int(np.count_nonzero(last < len(line)))
-        last = last[:n]
-        begin, end = start[:n], line[last]
-        part = start >= (ends - [len(s) for s in streams] + np.asarray(breaks))[page] if len(line) else start
+        total = np.cumsum(tokens)
+        last = np.searchsorted(total, total - tokens + run)
+        last = last[last < len(start)]
+        n = len(last)
+        begin, end = start[:n], start[last] + 7
+        part = start >= (ends - [len(s) for s in streams] + 8 * breaks)[page]
         whole = (page[:n] == page[last]) & (part[:n] == part[last])
     begin, end, page = begin[whole], end[whole] + 1, page[:n][whole]
     if not len(begin):
@@ -257,8 +285,8 @@ def repeated_windows(streams: list[bytes], run: int, breaks: list[int] | None =
 
 
 def boilerplate(streams: DataFrame, run: int = RUN, chunk_bytes: int = CHUNK) -> DataFrame:
-    """(__k1, __k2, spans): byte spans (start, end) of the judged texts: whole
-    blocks, ``run`` tokens at least, that SHARE of the host's pages have."""
+    """(__k1, __k2, spans): runs (first block, end) of the judged texts, ``run``
+    tokens at least, that SHARE of the host's pages have."""
     streams = materialize(streams, "streams")
     copies = near_copies(streams)
     sizes = (streams.select("host", "same", F.octet_length("stream").alias("b")).join(copies, ["host", "same"], "left")
@@ -268,17 +296,17 @@ def boilerplate(streams: DataFrame, run: int = RUN, chunk_bytes: int = CHUNK) ->
                                      F.greatest(F.lit(PAGES), F.ceil(SHARE * F.col("n"))).cast("long").alias("need")), "hosts")
     dealt = (streams.join(sizes, "host").join(copies, ["host", "same"], "left")
              .withColumn("chunk", F.pmod(F.xxhash64("__k1", "__k2"), F.col("chunks")))
-             .select("host", "chunk", "chunks", "__k1", "__k2", "stream", "judged", F.coalesce("copy", "same").alias("same"), "need"))
+             .select("host", "chunk", "chunks", "__k1", "__k2", "stream", "judged", F.coalesce("copy", "same").alias("same"), "need", "tokens"))
 
     def solve(rows):
-        data = [r[5].encode() for r in rows]
+        data = [r[5] for r in rows]
         first = np.cumsum([0, *map(len, data)])
         judged = np.array([r[6] for r in rows])
-        page, begin, end, content = repeated_windows(data, run, judged)
+        page, begin, end, content = repeated_windows(data, run, np.concatenate([r[9] for r in rows]).astype(np.int64), judged)
         p = prefix_hash(np.frombuffer(b"".join(data), np.uint8))
         same = np.array([r[7] for r in rows], np.int64)
         need = rows[0][8]
-        own = end <= (first[:-1] + judged)[page]
+        own = end <= (first[:-1] + 8 * judged)[page]
         here = rows[0][2] == 1  # no other chunk may have the window too
         if here:
             _, number = np.unique(same, return_inverse=True)
@@ -292,7 +320,7 @@ def boilerplate(streams: DataFrame, run: int = RUN, chunk_bytes: int = CHUNK) ->
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[0][0]] * len(k), pa.string()), pa.array(h[keep]), pa.array([here] * len(k), pa.bool_()), pa.array(same[page[keep]]),
              pa.array([need] * len(k), pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]),
-             pa.array((begin[keep] - at).astype(np.int32)), pa.array((end[keep] - at).astype(np.int32)), pa.array(own[keep])],
+             pa.array(((begin[keep] - at) // 8).astype(np.int32)), pa.array(((end[keep] - at) // 8).astype(np.int32)), pa.array(own[keep])],
             ["host", "h", "here", "same", "need", "__k1", "__k2", "s", "e", "own"])
 
     def sort(it):
@@ -316,22 +344,19 @@ def boilerplate(streams: DataFrame, run: int = RUN, chunk_bytes: int = CHUNK) ->
     return spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def unique_runs(stream: bytes, spans: list[tuple[int, int]]) -> str:
-    left, at = [], 0
-    for s, e in sorted(spans):
-        left.append(stream[at:s])
-        at = max(at, e)
-    left.append(stream[at:])
-    return b" ".join(x for x in (y.strip() for y in left) if x).replace(b"\n", b" ").decode()
+def unique_runs(text: str, spans: list[tuple[int, int]]) -> str:
+    cut = {i for s, e in spans for i in range(s, e)}
+    return " ".join(x for i, x in enumerate(text.split("\n")) if i not in cut).strip()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
     """Per page: ``id_col``, ``url_col``, text, n_chars.
 
     Character references are decoded, white space inside a block is one space,
-    blocks are joined by one space in page order.  A page with an article
-    container gives the container's text; another one its blocks but for runs
-    that SHARE of its host's pages have.  A null html has no text; pages without
+    blocks are joined by one space in page order.  The text is that of article
+    containers, or of a page without one what stands outside of menus and the
+    like, or if there is none the text of these; less runs of whole blocks that
+    SHARE of its host's pages have.  A null html has no text; pages without
     host form a group of their own; near copies count as one page; an empty
     table gives no rows; other columns are not read."""
     kind = pages.schema[id_col].dataType.simpleString()
@@ -340,24 +365,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def texts(it):
         for b in slices(it):
-            out, free = [], []
-            for page in b.column(4).to_pylist():
-                article, plain, dropped = blocks(page)
-                free.append(not article)
-                out.append(" ".join(article) if article else "".join(f"{x}\n" for x in plain))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.string()), pa.array(free, pa.bool_())],
-                                             ["__k1", "__k2", "id", "url", "t", "open"])
+            out = [zlib.compress(parts(page)[0].encode(), 1) for page in b.column(4).to_pylist()]  # the join moves it
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], ["__k1", "__k2", "id", "url", "t"])
 
     src = pages.select(*keys, F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = src.mapInArrow(texts, f"__k1 bigint, __k2 bigint, id {kind}, url string, t string, open boolean")
+    rows = src.mapInArrow(texts, f"__k1 bigint, __k2 bigint, id {kind}, url string, t binary")
 
     def cut(it):
         for b in slices(it):
-            out = [unique_runs(t.encode(), [(x["s"], x["e"]) for x in s or ()])
+            out = [unique_runs(zlib.decompress(t).decode(), [(x["s"], x["e"]) for x in s or ()])
                    for t, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
-    bare = (rows.where("open").join(spans, ["__k1", "__k2"], "left").select("id", "url", "t", "spans")
-            .mapInArrow(cut, f"id {kind}, url string, text string"))
-    out = rows.where("not open").select("id", "url", F.col("t").alias("text")).unionByName(bare)
+    out = (rows.join(spans, ["__k1", "__k2"], "left").select("id", "url", "t", "spans")
+           .mapInArrow(cut, f"id {kind}, url string, text string"))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

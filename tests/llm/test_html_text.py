@@ -68,3 +68,15 @@ def test_phrases_and_near_copies_are_no_boilerplate(spark):
     got = texts(spark, rows)
     assert [got[i][0] for i in range(8)] == own
     assert [got[20 + i][0] for i in range(2)] == [" ".join(c) for c in copies]
+
+
+def test_container_is_judged_and_dropped_bodies_have_text(spark):
+    advert = "buy the new thing today at half the price"
+    rows = [(i, f"http://h.example/{i}", page(f"<main><div>{advert}</div><p>text number {i} of page n{i} stays here</p></main>")) for i in range(5)]
+    rows += [(10, "http://f.example/", page('<form><article><p>text in a form</p></article><p>more</p></form>')),
+             (11, "http://g.example/", page("<div class='side wide'><article><p>text in a side</p></article></div>"))]
+    rows += [(20 + i, f"http://k.example/{i}", page(f"<article><p>one article that is copied on five pages of a host</p></article><p>x{i}</p>")) for i in range(5)]
+    got = {i: t for i, (t, _) in texts(spark, rows).items()}
+    assert [got[i] for i in range(5)] == [f"text number {i} of page n{i} stays here" for i in range(5)]
+    assert got[10] == "text in a form" and got[11] == "text in a side"
+    assert {got[20 + i] for i in range(5)} == {"one article that is copied on five pages of a host"}
