@@ -1,8 +1,9 @@
 """Operator 7: licence scan by an exact set-similarity join, in DataFrame
 functions only.
 
-Phrases are counted in every text.  Besides, lines are text blocks that are
-joined with licence templates by containment: template tokens are ordered by
+Phrases are counted in every text.  Besides, text blocks are joined with licence
+templates by containment: lines, and all windows of as many words as the
+template has, whatever line breaks they hold.  Template tokens are ordered by
 their frequency in all documents, rarest first; a block that has enough of a
 template's tokens has one of the template's prefix tokens; blocks are joined on
 these, pass the length and positional filters and are verified exactly.
@@ -97,7 +98,8 @@ def _blocks(docs: DataFrame, text_col: str, templates: dict[str, str], percent:
     # A fixed number of rows: the templates'.
     table = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(w).alias("token"), F.lit(name).alias("template"), F.lit(i).alias("place"), F.lit(n).alias("size"),
-                 F.lit(need).alias("need"), F.array(*[F.lit(x) for x in sorted(set(templates[name].split()))]).alias("tokens"))
+                 F.lit(need).alias("need"), F.array(*[F.lit(x) for x in sorted(set(templates[name].split()))]).alias("tokens"),
+                 F.lit(len(templates[name].split())).alias("length"))
         for w, name, i, n, need in prefixes]))))
     lines = (d.where(F.arrays_overlap(F.split("norm", " "), rare))
              .select("__k1", "__k2", F.posexplode(F.split("raw", "\n")).alias("line", "block"))
@@ -105,15 +107,30 @@ def _blocks(docs: DataFrame, text_col: str, templates: dict[str, str], percent:
     found = (lines.select("*", F.explode(F.array_intersect("w", rare)).alias("token")).join(table, "token")
              .where((F.size("w") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need"))))
     share = F.size(F.array_intersect("w", "tokens")) / F.col("size")
-    return (found.withColumn("share", share).where(F.col("share") * F.col("size") >= F.col("need"))
-            .select("__k1", "__k2", "template", "share"))
+    by_line = found.withColumn("share", share).where(F.size(F.array_intersect("w", "tokens")) >= F.col("need"))
+    # The words around each place of a prefix token hold all windows with it.
+    # Exploded, so that the split is not repeated for each word.
+    longest = max(len(t.split()) for t in templates.values())
+    words = (d.where(F.arrays_overlap(F.split("norm", " "), rare))
+             .select("__k1", "__k2", F.explode(F.array(F.split("norm", " "))).alias("words")))
+    places = F.filter(F.transform("words", lambda x, i: F.struct(x.alias("token"), i.alias("i"))),
+                      lambda h: F.array_contains(rare, h["token"]))
+    near = words.select("__k1", "__k2", F.inline(F.transform(places, lambda h: F.struct(h["token"].alias("token"), F.slice(
+        "words", F.greatest(h["i"] + 2 - longest, F.lit(1)), F.lit(2 * longest - 1)).alias("near")))))
+    found = near.join(table, "token").where(F.size(F.array_intersect("near", "tokens")) >= F.col("need"))
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("length") + 1, F.lit(1))),
+                                   lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("length")), F.col("tokens")))))
+    by_window = found.withColumn("most", most).where("most >= need").withColumn("share", F.col("most") / F.col("size"))
+    out = by_line.select("__k1", "__k2", "template", "share")
+    return out.unionByName(by_window.select("__k1", "__k2", "template", "share"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  templates: dict[str, str] | None = None, percent: int = CONTAINMENT) -> DataFrame:
     """Per document: ``id_col``, n_words, n_base (places of the phrases),
     first_word and last_word (their least and greatest start), base_labels,
-    labels (with the names of templates that a line contains by ``percent``),
+    labels (with the names of templates that a line or a window of the template's
+    length contains by ``percent``),
     score (1 with a phrase, else the greatest containment that meets the
     threshold, else 0).
 

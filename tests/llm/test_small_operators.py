@@ -137,6 +137,16 @@ def test_licences(spark):
     assert r["labels"] == "mit-grant" and 0.6 <= r["score"] < 1 and r["n_base"] == 0
 
 
+def test_license_templates_over_line_breaks(spark):
+    mit = ("x y\n# Permission is hereby granted, free of charge, to any\n# person obtaining a copy\n"
+           "# of this software and associated documentation files (the\n# Software)")
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    apart = " ".join(f"{w} a b c d\n" for w in "permission is hereby granted free of charge to any person obtaining a copy".split())
+    got = {r["doc_id"]: r for r in license_scan(frame(spark, [(i, t, "en", "a") for i, t in enumerate([mit, bsd, apart])])).collect()}
+    assert [got[i]["labels"] for i in range(3)] == ["mit-grant", "bsd-clause", ""]
+    assert got[0]["score"] == got[1]["score"] == 1.0 and got[2]["score"] == 0.0
+
+
 def test_quality_base_and_outliers(spark):
     rnd = random.Random(4)
     say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8))) for _ in range(n))
