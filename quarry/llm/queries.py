@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op11_periodic_runs", oracle.PERIODIC_RUNS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import digests, periodic_runs, planted
+
+    return digests(periodic_runs(read(spark, sf_dir, "documents"), rewrite=planted))
