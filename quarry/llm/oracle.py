@@ -41,3 +41,23 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l:
        (1000 * b.l // b.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM worded LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
 """
+
+_TERMS = (r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+LEXICAL_SEARCH = f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_TERMS.format('text')}, []) AS w FROM documents),
+item AS (SELECT row_number() OVER () AS iid, item_id, coalesce({_TERMS.format('text')}, []) AS w FROM benchmark),
+stats AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS total FROM doc),
+tf AS (SELECT rid, x, count(*) AS tf FROM (SELECT rid, unnest(w) AS x FROM doc) GROUP BY rid, x),
+df AS (SELECT x, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+       FROM tf, stats GROUP BY x, n_docs),
+term AS (SELECT iid, x, count(*) AS times FROM (SELECT iid, unnest(w) AS x FROM item) GROUP BY iid, x),
+norm AS (SELECT rid, doc_id, 25 + (75 * len(w) * n_docs) // total AS m FROM doc, stats),
+scored AS (
+  SELECT iid, rid, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM term JOIN df USING (x) JOIN tf USING (x) JOIN norm USING (rid) GROUP BY iid, rid)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id)::INT AS rank
+  FROM scored JOIN norm USING (rid) WHERE score > 0) JOIN item USING (iid) WHERE rank <= 10
+"""

@@ -105,3 +105,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import digests, periodic_runs, planted
 
     return digests(periodic_runs(read(spark, sf_dir, "documents"), rewrite=planted))
+
+
+@query("op12_lexical_search", oracle.LEXICAL_SEARCH)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import lexical_search
+
+    return lexical_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op13_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests, personal_data
+
+    return digests(personal_data(read(spark, sf_dir, "documents")))
