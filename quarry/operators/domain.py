@@ -1,6 +1,7 @@
 """Applicability domain (J01–J05): does a new row lie inside the training
 data's domain?  Every method is a DataFrame job: k-NN edges come from the
-blocked dense kernel, thresholds are exact percentiles over the training
+exact pivot-cell join (null features are left out of a distance; a row without
+any is outside the domain with a null distance), thresholds are exact percentiles over the training
 edges, and covariance-based methods ship a p×p inverse as literals.
 """
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
 from ..session import cut_lineage
-from .similarity import dense_topk, zscale, zscore_stats
+from .neighbors import dense_topk
+from .similarity import zscale, zscore_stats
 
 
 def _z(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str]):
@@ -26,15 +28,22 @@ def _z(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str]):
 
 
 def _mean_knn(q: DataFrame, d: DataFrame, id_col: str, k: int, exclude_self: bool) -> DataFrame:
+    """Mean distance to the k nearest rows; null for a row that has no neighbour,
+    as one without any feature."""
     nn = dense_topk(q, d, id_col, id_col, "vec", k, "euclidean", exclude_self=exclude_self)
-    return nn.groupBy(F.col("qid").alias(id_col)).agg(F.avg("score").alias("distance"))
+    return q.select(id_col).join(nn.groupBy(F.col("qid").alias(id_col)).agg(F.avg("score").alias("distance")), id_col, "left")
 
 
 def _percentile(df: DataFrame, col: str, p: float) -> float:
-    row = quantiles(df, [col], [p]).first()
+    row = quantiles(df.where(F.col(col).isNotNull()), [col], [p]).first()
     return None if row is None else row["q"]
 
 
+def _known(c, otherwise):
+    """``c``, or ``otherwise`` for a row without a distance."""
+    return F.when(F.col("distance").isNull(), F.lit(otherwise)).otherwise(c)
+
+
 def distance_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str], k: int = 5,
                 threshold_percentile: float = 95, compat_k_plus_1: bool = False) -> DataFrame:
     """Z-scale on train, mean distance to the k nearest training rows
@@ -50,7 +59,7 @@ def distance_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[s
     inside = F.col("distance") <= F.lit(thr)
     conf = F.when(inside, F.least(F.lit(1.0), F.greatest(F.lit(0.5), 1 - ratio * 0.5))).otherwise(
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (ratio - 1))))
-    return pred.select(id_col, "distance", inside.alias("in_domain"), conf.alias("confidence"),
+    return pred.select(id_col, "distance", _known(inside, False).alias("in_domain"), _known(conf, 0.0).alias("confidence"),
                        F.lit(thr).alias("threshold"))
 
 
@@ -65,8 +74,8 @@ def knn_ad_v2(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str
     pred = _mean_knn(te, tr, id_col, k, False)
     z = (F.col("distance") - F.lit(thr)) / F.lit(thr + 1e-9)
     conf = F.when(z > 0, F.greatest(F.lit(0.0), 1 - z)).otherwise(F.lit(1.0))
-    return pred.select(id_col, "distance", (F.col("distance") <= F.lit(thr)).alias("in_domain"),
-                       F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf)).alias("confidence"), z.alias("z_score"))
+    return pred.select(id_col, "distance", _known(F.col("distance") <= F.lit(thr), False).alias("in_domain"),
+                       _known(F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf)), 0.0).alias("confidence"), z.alias("z_score"))
 
 
 def pca_box_ad(train: DataFrame, test: DataFrame, id_col: str, vec_col: str, n_components: int = 5,
@@ -123,11 +132,12 @@ def lof_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str],
     e_te = cut_lineage(dense_topk(te, tr, id_col, id_col, "vec", k, "euclidean"))
     lof_te = lof(e_te, lrd(e_te))
     score = F.col("lof") + F.lit(offset)  # −decision_function
-    out = lof_te.select(F.col("qid").alias(id_col), "lof", score.alias("distance"),
-                        ((-F.col("lof") - F.lit(offset)) >= 0).alias("in_domain"))
+    lof_te = te.select(F.col(id_col).alias("qid")).join(lof_te, "qid", "left")
+    out = lof_te.select(F.col("qid").alias(id_col), "lof", score.alias("distance")).withColumn(
+        "in_domain", _known((-F.col("lof") - F.lit(offset)) >= 0, False))
     mm = out.agg(F.min("distance").alias("lo"), F.max("distance").alias("hi")).first()
     conf = 1 - (F.col("distance") - F.lit(mm["lo"])) / F.lit(mm["hi"] - mm["lo"] + 1e-8)
-    return out.withColumn("confidence", conf)
+    return out.withColumn("confidence", _known(conf, 0.0))
 
 
 def leverage_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[str],

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_bucket, hash_unit
 from ..session import cut_lineage
+from . import neighbors
 from .metrics import poisson1
-from .similarity import dense_logsumexp, dense_radius
+from .similarity import dense_logsumexp
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -30,48 +31,19 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 # ---------------------------------------------------------------- J06
 def dbscan(df: DataFrame, id_col: str, vec_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """J06 DBSCAN: ε-neighbourhood join (blocked kernel), core rows have
-    ≥ min_samples neighbours (self included, as sklearn); clusters are the
-    connected components of core–core edges: min-label propagation with
-    pointer jumping (a row also takes its label's label), until nothing
-    changes (checkpoint per round); a border row takes the smallest
-    label of its core neighbours; noise is −1.  Label = smallest core id."""
-    x = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    e = dense_radius(x, x, "id", "id", "v", eps, exclude_self=True)
-    deg = e.groupBy("qid").agg(F.count(F.lit(1)).alias("deg"))
-    core = x.select("id").join(deg.withColumnRenamed("qid", "id"), "id", "left").where(
-        F.coalesce("deg", F.lit(0)) + 1 >= min_samples).select("id")
-    core = cut_lineage(core)
-    cc_e = e.join(core.withColumnRenamed("id", "qid"), "qid", "left_semi").join(
-        core.withColumnRenamed("id", "did"), "did", "left_semi").select("qid", "did")
-    cc_e = cut_lineage(cc_e)
-    lab = core.select("id", F.col("id").alias("label"))
-    while True:
-        nb = cc_e.join(lab.withColumnRenamed("id", "did"), "did").groupBy(F.col("qid").alias("id")).agg(
-            F.min("label").alias("nl"))
-        new = lab.join(nb, "id", "left").select("id", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        new = cut_lineage(new)
-        up = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = cut_lineage(new.join(up, "label").select("id", F.col("up").alias("label")))
-        same = new.join(lab.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).isEmpty()
-        lab = new
-        if same:
-            break
-    border = e.join(lab.withColumnRenamed("id", "did"), "did").groupBy(F.col("qid").alias("id")).agg(
-        F.min("label").alias("bl"))
-    return x.select("id").join(lab, "id", "left").join(border, "id", "left").select(
-        F.col("id").alias(id_col), F.coalesce("label", "bl", F.lit(-1).cast("long")).alias("cluster"))
-
-
-def cluster(df: DataFrame, id_col: str, vec_col: str, method: str = "auto", k: int = 5, seed: int = 42,
+    """J06 DBSCAN (``neighbors.dbscan``): label = smallest core id of the cluster, a
+    border row takes the smallest label of its core neighbours, noise is −1."""
+    out = neighbors.dbscan(df, id_col, vec_col, eps, min_samples)
+    return out.withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast(out.schema["cluster"].dataType)))
+
+
+def cluster(df: DataFrame, id_col: str, vec_col: str, method: str = "kmeans", k: int = 5, seed: int = 42,
             eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """Kmeans / bisecting / gmm (Spark ML) / dbscan; ``auto`` picks by
-    row count like the reference (> 10000: birch — not built, k-means
-    stands in; > 1000: k-means; else DBSCAN)."""
+    """Kmeans / bisecting / gmm (Spark ML) / dbscan, by name: the number of
+    rows does not choose the method."""
     from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-    if method == "auto":
-        n = df.count()
-        method = "kmeans" if n > 1000 else "dbscan"
+    if method not in ("kmeans", "bisecting", "gmm", "dbscan"):
+        raise ValueError(f"no clustering {method}")
     if method == "dbscan":
         return dbscan(df, id_col, vec_col, eps, min_samples)
     x = df.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))

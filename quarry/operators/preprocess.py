@@ -364,18 +364,19 @@ def mean_shift(source: DataFrame, target: DataFrame, cols: Sequence[str]) -> Dat
 def knn_impute(df: DataFrame, id_col: str, target: str, feature_cols: Sequence[str], k: int = 5) -> DataFrame:
     """A missing ``target`` becomes the mean of the k nearest donors
     (rows where it is present), nearest by euclidean distance over the
-    feature columns (nan-euclidean's weight is the same for every donor of
-    one row, so it does not change the order; ties: smaller id).  Exact
-    k-NN through the blocked kernel — every donor is considered."""
-    from .similarity import dense_topk
+    features that both rows have, scaled up to all features; ties: smaller
+    id.  Exact: every donor counts.  A row that has no feature in common with any
+    donor gets the donors' mean."""
+    from .neighbors import dense_topk
     vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
     miss = df.where(F.col(target).isNull()).select(id_col, vec.alias("v"))
     donors = df.where(F.col(target).isNotNull()).select(id_col, vec.alias("v"))
     nn = dense_topk(miss, donors, id_col, id_col, "v", k, "euclidean")
     vals = df.select(F.col(id_col).alias("did"), F.col(target).cast("double").alias("dv"))
     fill = nn.join(vals, "did").groupBy(F.col("qid").alias(id_col)).agg(F.avg("dv").alias("__fill"))
+    mean = df.agg(F.avg(target)).first()[0]
     return df.join(fill, id_col, "left").withColumn(
-        target, F.coalesce(F.col(target).cast("double"), F.col("__fill"))).drop("__fill")
+        target, F.coalesce(F.col(target).cast("double"), F.col("__fill"), F.lit(mean).cast("double"))).drop("__fill")
 
 
 # ---------------------------------------------------------------- G04

@@ -10,12 +10,10 @@ Two kernels carry every operator here:
   all-pairs blow up.  Candidates are verified exactly.  Without a threshold
   it is the plain inverted-index join (explode → join on token →
   ``groupBy(q, d).count()``), which emits only overlapping pairs.
-* ``dense_topk`` — exact k nearest neighbours over numeric vectors: both
-  sides are cut into hash blocks of bounded size, block pairs are formed by
-  an equi-join on the block id, and one Arrow task per block pair runs a
-  NumPy distance kernel that keeps only the k best per query row; a window
-  picks the final k.  The query side is broadcast only when its measured
-  size is under the limit.
+* ``block_pairs`` — both sides of a dense all-pairs sum cut into hash blocks
+  of bounded size that meet by an equi-join on the block id; the query side is
+  broadcast only when its measured size is under the limit.  Nearest neighbours
+  over vectors are in ``neighbors``.
 """
 
 from __future__ import annotations
@@ -31,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import r6
 from ..session import cut_lineage
+from .neighbors import dense_radius, dense_topk  # noqa: F401
 
 # ---------------------------------------------------------------- tokens
 
@@ -365,7 +364,7 @@ def property_search(df: DataFrame, id_col: str, cols: Sequence[str], target: dic
     return df.withColumn("distance", score).orderBy("distance", id_col).limit(k)
 
 
-# ---------------------------------------------------------------- D03 kernel (dense)
+# ---------------------------------------------------------------- dense blocks
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, tag: str) -> DataFrame:
@@ -379,57 +378,6 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, n_blocks: int, tag: str) -
                     .alias(f"{tag}rows"))
 
 
-_PAIR_SCHEMA = "qid long, did long, score double"
-
-
-def _kernel(k: int, metric: str, exclude_self: bool):
-    def distances(Q: np.ndarray, D: np.ndarray) -> np.ndarray:
-        if metric == "euclidean":
-            out = np.empty((Q.shape[0], D.shape[0]))
-            step = max(1, 4_000_000 // max(1, D.shape[0] * D.shape[1]))
-            for s in range(0, Q.shape[0], step):
-                diff = Q[s:s + step, None, :] - D[None, :, :]
-                out[s:s + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            return out
-        if metric == "manhattan":
-            out = np.empty((Q.shape[0], D.shape[0]))
-            step = max(1, 4_000_000 // max(1, D.shape[0] * D.shape[1]))
-            for s in range(0, Q.shape[0], step):
-                out[s:s + step] = np.abs(Q[s:s + step, None, :] - D[None, :, :]).sum(-1)
-            return out
-        if metric == "cosine":  # returned negated so that smaller is better
-            qn = np.linalg.norm(Q, axis=1)[:, None]
-            dn = np.linalg.norm(D, axis=1)[None, :]
-            den = qn * dn
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sim = np.where(den > 0, (Q @ D.T) / np.where(den > 0, den, 1.0), 0.0)
-            return -sim
-        raise ValueError(metric)
-
-    def fn(it):
-        for pdf in it:
-            out = []
-            for qr, dr in zip(pdf["qrows"], pdf["drows"]):
-                qid, did, Q, D = _unpack(qr, dr)
-                if Q is None or D is None:
-                    continue
-                dist = np.round(distances(Q, D), 9)
-                if exclude_self:
-                    dist = np.where(qid[:, None] == did[None, :], np.inf, dist)
-                kk = min(k, len(did))
-                # k-th smallest per row; keep every candidate ≤ it (ties kept,
-                # the final window orders them by id) — no per-row Python loop
-                cut = np.partition(dist, kk - 1, axis=1)[:, kk - 1] if kk < len(did) else dist.max(axis=1)
-                ii, jj = np.nonzero((dist <= cut[:, None]) & np.isfinite(dist))
-                out.append(pd.DataFrame({"qid": qid[ii], "did": did[jj], "score": dist[ii, jj]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-            else:
-                yield pd.DataFrame({"qid": pd.Series([], dtype="int64"), "did": pd.Series([], dtype="int64"),
-                                    "score": pd.Series([], dtype="float64")})
-    return fn
-
-
 def block_pairs(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, block_rows: int = 2048,
                 broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(qrows, drows) block pairs: both sides cut into hash blocks of about
@@ -453,21 +401,6 @@ def block_pairs(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str,
     return pairs.select("qrows", "drows")
 
 
-def dense_topk(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, k: int,
-               metric: str = "euclidean", exclude_self: bool = False, block_rows: int = 2048,
-               broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Exact k nearest rows of ``d`` for every row of ``q``.
-
-    Output ``qid, did, score, rank``; ``score`` is the distance (euclidean /
-    manhattan) or the cosine similarity, rounded to 9 digits so that ranks
-    are engine independent (ties: smaller id)."""
-    pairs = block_pairs(q, d, q_id, d_id, vec_col, block_rows, broadcast_bytes)
-    cand = pairs.mapInPandas(_kernel(k, metric, exclude_self), _PAIR_SCHEMA)
-    if metric == "cosine":
-        cand = cand.withColumn("score", -F.col("score"))
-    return top_k(cand, k, "qid", "did", "score", descending=(metric == "cosine"))
-
-
 def _unpack(qr, dr):
     """Block structs → (ids, ids, Q, D) as NumPy arrays."""
     qid = np.asarray(qr["ids"], dtype=np.int64)
@@ -479,32 +412,6 @@ def _unpack(qr, dr):
     return qid, did, Q, D
 
 
-def dense_radius(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, eps: float,
-                 exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
-    """All pairs with euclidean distance ≤ eps (ε-neighbourhood join)."""
-    def fn(it):
-        for pdf in it:
-            out = []
-            for qr, dr in zip(pdf["qrows"], pdf["drows"]):
-                qid, did, Q, D = _unpack(qr, dr)
-                if Q is None or D is None:
-                    continue
-                step = max(1, 4_000_000 // max(1, D.shape[0] * D.shape[1]))
-                for s0 in range(0, len(qid), step):
-                    diff = Q[s0:s0 + step, None, :] - D[None, :, :]
-                    dist = np.round(np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)), 9)
-                    ok = dist <= eps
-                    if exclude_self:
-                        ok &= qid[s0:s0 + step, None] != did[None, :]
-                    ii, jj = np.nonzero(ok)
-                    if len(ii):
-                        out.append(pd.DataFrame({"qid": qid[s0 + ii], "did": did[jj], "score": dist[ii, jj]}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-                {"qid": pd.Series([], dtype="int64"), "did": pd.Series([], dtype="int64"),
-                 "score": pd.Series([], dtype="float64")})
-    return block_pairs(q, d, q_id, d_id, vec_col, block_rows).mapInPandas(fn, _PAIR_SCHEMA)
-
-
 def dense_logsumexp(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, scale: float = 1.0,
                     block_rows: int = 2048) -> DataFrame:
     """(qid, lse) with lse = log Σ_j exp(scale · q_i·d_j) over all rows of d —

@@ -50,7 +50,18 @@ def j06g(spark, sf):
     return J.cluster(_emb(spark, sf), "vec_id", "embedding", "gmm", k=3)
 
 
-@query("j06_dbscan")
+_EUC = "sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))))"
+
+
+@query("j06_dbscan", f"""
+WITH RECURSIVE e AS (SELECT a.vec_id AS q, b.vec_id AS d FROM embeddings a JOIN embeddings b ON round({_EUC}, 9) <= 0.9),
+core AS (SELECT q AS id FROM e GROUP BY q HAVING count(*) >= 5),
+cc AS (SELECT q, d FROM e SEMI JOIN core a ON a.id = q SEMI JOIN core b ON b.id = d),
+reach AS (SELECT id, id AS root FROM core UNION SELECT cc.d, root FROM reach JOIN cc ON cc.q = id),
+lab AS (SELECT id, min(root) AS label FROM reach GROUP BY id),
+border AS (SELECT q AS id, min(label) AS label FROM e JOIN lab ON lab.id = d GROUP BY q)
+SELECT vec_id, coalesce(lab.label, border.label, -1) AS cluster
+FROM embeddings LEFT JOIN lab ON lab.id = vec_id LEFT JOIN border ON border.id = vec_id""")
 def j06d(spark, sf):
     return J.cluster(_emb(spark, sf), "vec_id", "embedding", "dbscan", eps=0.9, min_samples=5)
 

@@ -285,6 +285,28 @@ def g03(spark, sf):
     return out.select("p_partkey", r6(F.col("p_retailprice")).alias("p_retailprice"))
 
 
+@query("g03_knn_impute_nan", """
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size::DOUBLE END AS f1,
+   CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE length(p_name)::DOUBLE END AS f2, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE length(p_type)::DOUBLE END AS f3,
+   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS t FROM part),
+m AS (SELECT * FROM p WHERE t IS NULL), d AS (SELECT * FROM p WHERE t IS NOT NULL),
+e AS (SELECT m.p_partkey AS q, d.p_partkey AS did, d.t AS dv,
+   (m.f1 + d.f1 IS NOT NULL)::INT + (m.f2 + d.f2 IS NOT NULL)::INT + (m.f3 + d.f3 IS NOT NULL)::INT AS common,
+   coalesce(pow(m.f1 - d.f1, 2), 0) + coalesce(pow(m.f2 - d.f2, 2), 0) + coalesce(pow(m.f3 - d.f3, 2), 0) AS s FROM m, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sqrt(s * 3 / common), 9), did) AS rn FROM e WHERE common > 0),
+f AS (SELECT q, avg(dv) AS fill FROM r WHERE rn <= 5 GROUP BY q)
+SELECT p_partkey, round(coalesce(t, fill, (SELECT avg(t) FROM p)), 6) + 0.0 AS p_retailprice FROM p LEFT JOIN f ON q = p_partkey""")
+def g03_nan(spark, sf):
+    from ..operators.preprocess import knn_impute
+    p = table(spark, sf, "part")
+    d = p.select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("f1"),
+                 F.when(F.col("p_partkey") % 3 != 0, F.length("p_name")).alias("f2"),
+                 F.when(F.col("p_partkey") % 11 != 0, F.length("p_type")).alias("f3"),
+                 F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("p_retailprice"))
+    out = knn_impute(d, "p_partkey", "p_retailprice", ["f1", "f2", "f3"], 5)
+    return out.select("p_partkey", r6(F.col("p_retailprice")).alias("p_retailprice"))
+
+
 @query("g04_iterative_impute")
 def g04(spark, sf):
     from ..operators.preprocess import iterative_impute
