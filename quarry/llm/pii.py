@@ -27,6 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # A run of digits that fails at its first digit fails at all of them.
+_DOTS = re.compile(r"\.[0-9]++\.[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -47,7 +48,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ips(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if _DOTS.search(text) else ():
         parts = [p.lstrip("0") for p in m.group().split(".")]
         if all(len(p) < 4 and int(p or "0") <= 255 for p in parts):
             yield m.span()
@@ -128,7 +129,7 @@ def _characters() -> dict[int, str]:
 
 
 _CHARACTERS = _characters()
-_ODD = re.compile("[" + re.escape("".join(map(chr, _CHARACTERS)) + _HIDDEN) + "]")
+_ODD = frozenset(map(chr, _CHARACTERS)) | frozenset(_HIDDEN)
 _DROP = re.compile(f"[{_HIDDEN}]+")
 _WORD_DIGIT = {w: str(d) for d, words in enumerate(_DIGITS) for w in words.split()}
 _SPELLED = "|".join(sorted(_WORD_DIGIT, key=len, reverse=True))
@@ -148,9 +149,25 @@ _SAID_AT = re.compile(rf"(?<=[A-Za-z0-9])[ ]+(?:{_AT})[ ]+(?={_SAID_HOST})", re.
 _HOST, _SAID_DOMAIN = re.compile(_SAID_HOST, re.I), re.compile(f"@{_SAID_HOST}", re.I)
 _SAID_DOT = re.compile(rf"[ ]+(?:{_DOT})[ ]+", re.I)
 _DOT_BEFORE = re.compile(rf"[ ]{{1,3}}(?:{_DOT})[ ]{{1,3}}\Z", re.I)
-#: What a text must have for a transducer of words to rewrite it.
-_TRIGGER = re.compile(rf"[(\[{{<][ \t]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[ \t]{{0,3}}[)\]}}>]|[ ](?:{_DOT})[ ]|[0-9]\.?[OolI]|[OolI]\.?[0-9]"
-                      rf"|(?<!\w)(?:{_SPELLED})[ ,-]{{1,2}}(?:{_SPELLED}|[0-9])", re.I)
+#: What a lower-cased text must have for a transducer of words to rewrite it.
+_SAID = tuple(f" {w} " for w in _DOT.split("|"))
+_BRACKETED = re.compile(rf"[(\[{{<][ \t]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[ \t]{{0,3}}[)\]}}>]")
+_LETTER_NEAR = re.compile(r"(?<=[OolI])[0-9]|(?<=[OolI]\.)[0-9]|[0-9]\.?[OolI]")
+
+
+def look_odd(text: str) -> bool:
+    return not text.isascii() and not _ODD.isdisjoint(set(text))
+
+
+def disguises(text: str) -> bool:
+    """Whether a transducer of words may rewrite the text: cheap tests that none
+    of their patterns passes by."""
+    low = text.lower()
+    if any(w in low for w in _SAID) or _BRACKETED.search(low) or _LETTER_NEAR.search(text):
+        return True
+    words = low.replace("-", " ").replace(",", " ").split()
+    spelled = [i for i, w in enumerate(words) if w in _WORD_DIGIT]
+    return any(w in _WORD_DIGIT or w[0].isdecimal() for i in spelled for w in words[max(0, i - 1):i] + words[i + 1:i + 2])
 
 
 class Rewritten:
@@ -186,7 +203,7 @@ class Rewritten:
 
 def look_alikes(t: Rewritten) -> None:
     """Characters that look like ASCII ones, and characters without width."""
-    if _ODD.search(t.text):
+    if look_odd(t.text):
         t.text = t.text.translate(_CHARACTERS)
         t.edit([(*m.span(), "") for m in _DROP.finditer(t.text)])
 
@@ -258,8 +275,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Base spans of the source, and further ones of its rewriting that no base span
     of their kind holds; (kind number, start, end) by kind and start."""
     base = detect(text)
-    odd = _ODD.search(text) is not None
-    if not odd and not _TRIGGER.search(text):
+    if not look_odd(text) and not disguises(text):
         return base, []
     t = Rewritten(text)
     for rewrite in TRANSDUCERS:
