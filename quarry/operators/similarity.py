@@ -1,6 +1,6 @@
 """Similarity joins and searches.
 
-Two kernels carry every operator here:
+Three kernels carry every operator here:
 
 * ``set_join`` — exact similarity join over token sets.  With a threshold it
   uses prefix filtering: tokens are ordered globally by document frequency
@@ -10,6 +10,8 @@ Two kernels carry every operator here:
   all-pairs blow up.  Candidates are verified exactly.  Without a threshold
   it is the plain inverted-index join (explode → join on token →
   ``groupBy(q, d).count()``), which emits only overlapping pairs.
+* ``best_match`` — the most similar set of each set without a threshold, by
+  rounds of falling thresholds and bounds from tokens not yet looked at.
 * ``block_pairs`` — both sides of a dense all-pairs sum cut into hash blocks
   of bounded size that meet by an equi-join on the block id; the query side is
   broadcast only when its measured size is under the limit.  Nearest neighbours
@@ -193,22 +195,159 @@ def top_k(pairs: DataFrame, k: int, key: str = "qid", other: str = "did", score:
 
 def search(q_row: DataFrame, d: DataFrame, q_id: str, d_id: str, tok_col: str = "toks",
            k: int = 10, threshold: float = 0.0, metric: str = "tanimoto") -> DataFrame:
-    """One query set against a table, sim ≥ threshold, best k (sim desc, id)."""
-    pairs = set_join(q_row, d, q_id, d_id, tok_col, threshold, metric)
-    return pairs.orderBy(F.col("sim").desc(), F.col("did")).limit(k)
+    """One query set against a table, sim ≥ threshold, best k (sim desc,
+    id): one scan with the query's tokens as a literal, no shuffle of the table."""
+    row = q_row.select(F.col(q_id).alias("qid"), tok_col).first()
+    kind = q_row.schema[q_id].dataType
+    toks = F.lit([] if row is None or row[1] is None else row[1]).cast(d.schema[tok_col].dataType)
+    out = d.select(F.lit(None if row is None else row["qid"]).cast(kind).alias("qid"), F.col(d_id).alias("did"),
+                   F.size(F.array_intersect(tok_col, toks)).cast("bigint").alias("inter"), F.size(toks).alias("qn"),
+                   F.size(tok_col).alias("dn")).where("inter > 0")
+    out = out.withColumn("sim", sim_from_counts(F.col("inter"), F.col("qn"), F.col("dn"), metric))
+    if threshold > 0:
+        out = out.where(F.col("sim") >= F.lit(threshold))
+    return out.orderBy(F.col("sim").desc(), F.col("did")).limit(k)
+
+
+#: Falling thresholds of the rounds after which settled rows leave ``best_match``.
+ROUNDS = (0.8, 0.5)
+#: Sets that a token may be in to be counted pair by pair in the last round.
+HOT = 1000
+
+
+def _nodes(df: DataFrame, id_col: str, tok_col: str) -> DataFrame:
+    """(id, toks, other): each different set once with its two smallest ids."""
+    w = Window.partitionBy("toks").orderBy("id")
+    return (df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tok_col)).alias("toks"))
+            .withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("toks")
+            .agg(F.min("id").alias("id"), F.max(F.when(F.col("r") == 2, F.col("id"))).alias("other"))
+            .select("id", "toks", "other"))
+
+
+def _ordered(nodes: DataFrame, freq: DataFrame) -> DataFrame:
+    """(id, n, toks as (df, tok), rare first)."""
+    ex = nodes.select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(freq, "tok")
+    return ex.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("s"))
+
+
+def best_match(q: DataFrame, d: DataFrame, q_id: str, d_id: str, tok_col: str = "toks", metric: str = "tanimoto",
+               self_join: bool = False, seen: list | None = None) -> DataFrame:
+    """The most similar set of ``d`` for every set of ``q``: ``qid, did, sim`` (ties: smaller
+    id); rows without an overlapping set are left out.  ``self_join``: q is d, a
+    row is not its own match.  Exact, without a threshold:
+
+    1. Equal sets are one node; in a self-join, copies match at 1.
+    2. Rounds of falling thresholds join by prefixes; a row whose best match reaches
+       the round's threshold is settled and leaves.
+    3. For the rest, common tokens are counted pair by pair but for tokens in more
+       than ``HOT`` sets.  A row with h hot tokens has at most h more in common
+       with any set: pairs whose bound beats the row's best are verified.  A set that
+       shares nothing but one hot token is no better than the smallest set with that
+       token, which is tried for each row.  Only rows whose best is under the bound
+       of several hot tokens alone are joined on these, with sets short enough.
+
+    ``seen`` takes the numbers of candidate pairs, by step."""
+    dn = cut_lineage(_nodes(d, d_id, tok_col))
+    qn = dn if self_join else cut_lineage(_nodes(q, q_id, tok_col))
+    freq = dn.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    freq = cut_lineage(freq)
+    ds = cut_lineage(_ordered(dn, freq))
+    # Tokens that no set of d has match nothing: they count in the size only.
+    qs = ds if self_join else cut_lineage(_ordered(qn, freq).drop("n").join(
+        qn.select("id", F.size("toks").alias("n")), "id"))
+    c = F.col
+    qrow = qs.select(c("id").alias("qid"), c("n").alias("qn"), c("s").alias("qs"))
+    drow = ds.select(c("id").alias("did"), c("n").alias("dn"), c("s").alias("ds"))
+    apart = (c("qid") != c("did")) if self_join else F.lit(True)
+
+    def tally(pairs: DataFrame) -> DataFrame:
+        if seen is None:
+            return pairs
+        pairs = cut_lineage(pairs)
+        seen.append(pairs.count())
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(qid, did, sim) of pairs (qid, did)."""
+        inter = F.size(F.array_intersect(F.transform("qs", lambda x: x["tok"]), F.transform("ds", lambda x: x["tok"])))
+        return (tally(pairs).join(qrow, "qid").join(drow, "did")
+                .select("qid", "did", sim_from_counts(inter, c("qn"), c("dn"), metric).alias("sim")).where("sim > 0"))
+
+    def best(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("qid").orderBy(c("sim").desc(), "did")
+        return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "sim", "did")
+
+    def prefix(rows: DataFrame, p: str, t: float) -> DataFrame:
+        size = c(f"{p}n") - F.ceil(c(f"{p}n") * F.lit(t) - F.lit(1e-9)) + 1
+        return rows.select(f"{p}id", f"{p}n", F.explode(F.slice(f"{p}s", 1, size.cast("int"))).alias("e")).select(
+            f"{p}id", f"{p}n", c("e.tok").alias("tok"))
+
+    done, left = [], qrow
+    if self_join:
+        copies = dn.where(c("other").isNotNull() & (F.size("toks") > 0))
+        done.append(copies.select(c("id").alias("qid"), F.lit(1.0).alias("sim"), c("other").alias("did")))
+        left = cut_lineage(qrow.join(copies.select(c("id").alias("qid")), "qid", "left_anti"))
+    for t in ROUNDS:
+        j = _jaccard_floor(t, metric)
+        pairs = (prefix(left, "q", j).join(prefix(drow, "d", j), "tok")
+                 .where((c("dn") >= c("qn") * F.lit(j) - F.lit(1e-9)) & (c("qn") >= c("dn") * F.lit(j) - F.lit(1e-9)) & apart)
+                 .select("qid", "did").distinct())
+        settled = cut_lineage(best(verified(pairs).where(c("sim") >= F.lit(t))))
+        done.append(settled)
+        left = cut_lineage(left.join(settled.select("qid"), "qid", "left_anti"))
+    # The two smallest sets with each token: a row's first guess by its last token.
+    w = Window.partitionBy("tok").orderBy("dn", "did")
+    small = (drow.select("did", "dn", F.explode(F.transform("ds", lambda x: x["tok"])).alias("tok"))
+             .withColumn("r", F.row_number().over(w)).where("r <= 2").drop("r"))
+    last = left.where(F.size("qs") > 0).select("qid", F.element_at("qs", -1)["tok"].alias("tok"))
+    guess = last.join(small, "tok").where(apart).select("qid", "did").distinct()
+    cold = F.filter("qs", lambda x: x["df"] <= HOT)
+    hot = F.size("qs") - F.size(cold)
+    cold_d = F.filter("ds", lambda x: x["df"] <= HOT)
+    pairs = tally(left.select("qid", F.explode(F.transform(cold, lambda x: x["tok"])).alias("tok"))
+                  .join(drow.select("did", F.explode(F.transform(cold_d, lambda x: x["tok"])).alias("tok")), "tok")
+                  .where(apart).groupBy("qid", "did").agg(F.count("*").alias("inter")))
+    sizes = left.select("qid", "qn", hot.alias("hot"))
+    least = sim_from_counts(c("inter"), c("qn"), c("dn"), metric)
+    bound = sim_from_counts(F.least(c("inter") + c("hot"), c("qn"), c("dn")), c("qn"), c("dn"), metric)
+    counted = cut_lineage(pairs.join(sizes, "qid").join(drow.select("did", "dn"), "did")
+                          .select("qid", "did", "hot", least.alias("sim"), bound.alias("bound")))
+    exact = counted.where("hot = 0").select("qid", "did", "sim")
+    open_ = counted.where("hot > 0")
+    first = open_.join(best(open_.select("qid", "did", "bound").withColumnRenamed("bound", "sim")).select("qid", "did"), ["qid", "did"], "left_semi")
+    have = cut_lineage(best(exact.unionByName(verified(first.select("qid", "did").union(guess).distinct()))))
+    more = open_.join(have.select("qid", c("sim").alias("have")), "qid", "left").where(
+        F.coalesce(c("bound") >= c("have"), F.lit(True))).select("qid", "did")
+    have = cut_lineage(best(have.select("qid", "did", "sim").unionByName(verified(more))))
+    # Rows that several hot tokens alone could still match better.
+    alone = sim_from_counts(c("hot"), c("qn"), F.greatest("hot", F.lit(1)), metric)
+    late = left.join(have.select("qid", c("sim").alias("have")), "qid", "left").withColumn("hot", hot).where("hot > 1").where(
+        F.coalesce(alone >= c("have"), F.lit(True)))
+    late = cut_lineage(late.select("qid", "qn", "hot", "have", F.explode(F.transform(F.filter("qs", lambda x: x["df"] > HOT), lambda x: x["tok"])).alias("tok")))
+    if not late.isEmpty():
+        reach = sim_from_counts(F.least(c("hot"), c("dn")), c("qn"), c("dn"), metric)
+        hot_d = drow.select("did", "dn", F.explode(F.transform(F.filter("ds", lambda x: x["df"] > HOT), lambda x: x["tok"])).alias("tok"))
+        rest = late.join(hot_d, "tok").where(apart & F.coalesce(reach >= c("have"), F.lit(True))).select("qid", "did").distinct()
+        have = best(have.select("qid", "did", "sim").unionByName(verified(rest)))
+    done.append(have)
+    out = done[0].select("qid", "did", "sim")
+    for x in done[1:]:
+        out = out.unionByName(x.select("qid", "did", "sim"))
+    # Back to the rows: copies of a set share its match.
+    node = q.select(F.col(q_id).alias("row"), F.array_sort(F.array_distinct(tok_col)).alias("toks")).join(
+        qn.select(c("id").alias("qid"), "toks"), "toks").select("row", "qid")
+    out = node.join(out, "qid")
+    if self_join:  # the first copy's match is the second, of all others the first
+        out = out.withColumn("did", F.when(c("row") != c("qid"), c("qid")).otherwise(c("did")))
+    return out.select(c("row").alias("qid"), "did", "sim")
 
 
 def nearest_neighbor(df: DataFrame, id_col: str, tok_col: str = "toks",
                      metric: str = "tanimoto") -> DataFrame:
     """The most similar other row of each row; rows without any
     overlapping neighbour get (−1, 0.0)."""
-    pairs = set_join(df, df, id_col, id_col, tok_col, 0.0, metric, self_join=True)
-    both = pairs.select("qid", "did", "sim").unionByName(
-        pairs.select(F.col("did").alias("qid"), F.col("qid").alias("did"), "sim"))
-    best = both.groupBy("qid").agg(F.max_by(F.struct("sim", (-F.col("did")).alias("nd")),
-                                            F.struct("sim", (-F.col("did")).alias("nd"))).alias("b"))
-    best = best.select(F.col("qid").alias(id_col), (-F.col("b.nd")).alias("neighbor_id"),
-                       F.col("b.sim").alias("similarity"))
+    best = best_match(df, df, id_col, id_col, tok_col, metric, self_join=True).select(
+        F.col("qid").alias(id_col), F.col("did").alias("neighbor_id"), F.col("sim").alias("similarity"))
     return df.select(id_col).join(best, id_col, "left").select(
         id_col, F.coalesce("neighbor_id", F.lit(-1).cast("bigint")).alias("neighbor_id"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
@@ -244,8 +383,7 @@ def pairwise_stats(df: DataFrame, id_col: str, tok_col: str = "toks",
 def coverage(train: DataFrame, test: DataFrame, train_id: str, test_id: str, tok_col: str = "toks",
              metric: str = "tanimoto") -> DataFrame:
     """Max similarity of each test row to the training rows, summarised."""
-    pairs = set_join(test, train, test_id, train_id, tok_col, 0.0, metric)
-    best = pairs.groupBy("qid").agg(F.max("sim").alias("max_sim"))
+    best = best_match(test, train, test_id, train_id, tok_col, metric).select("qid", F.col("sim").alias("max_sim"))
     per = test.select(F.col(test_id).alias("qid")).join(best, "qid", "left").select(
         F.coalesce("max_sim", F.lit(0.0)).alias("s"))
     return per.agg(F.count("*").alias("n_test"), F.avg("s").alias("mean_max_similarity"),
