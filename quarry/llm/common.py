@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,52 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Tables (name, path, table of the catalogue or None) of the open ``scratch`` blocks.
+_written: list[list[tuple[str, str, str | None]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str):
+    """Delete the tables that the block has written but for those named in
+    ``keep``: what the block returns must be written under such a name.  After
+    an error all stay."""
+    _written.append([])
+    try:
+        yield
+    except BaseException:
+        _written.pop()
+        raise
+    for name, path, table in _written.pop():
+        if name in keep:
+            if _written:
+                _written[-1].append((name, path, table))
+            continue
+        discard(spark, path, table)
+
+
+def discard(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Delete a written table that nothing reads any more."""
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def superseded(spark: SparkSession, name: str) -> None:
+    """Delete the tables of this name in the innermost ``scratch`` block now."""
+    for entry in [e for e in _written[-1] if e[0] == name]:
+        discard(spark, *entry[1:])
+        _written[-1].remove(entry)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the
     lineage with a table that survives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append((name, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,6 +78,8 @@ def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{table}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    if _written:
+        _written[-1].append((name, path, table))
     return spark.table(table)
 
 

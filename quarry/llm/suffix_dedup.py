@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, slices
+from .common import materialize, row_key, scratch, slices, superseded
 
 #: Bytes of a text that are hashed at once (positions fit the key's low bits).
 SEGMENT = 1 << 20
@@ -349,12 +349,19 @@ def _hot_spans(texts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(src: DataFrame, length: int, group_rows: int = GROUP) -> DataFrame:
     """(__k1, __k2, spans): byte spans (start, end) of texts ``t`` that are
     covered by a string of ``length`` bytes that starts anywhere else too."""
+    with scratch(src.sparkSession, "spans"):
+        return materialize(_repeated(src, length, group_rows), "spans")
+
+
+def _repeated(src: DataFrame, length: int, group_rows: int) -> DataFrame:
     keys = ["__k1", "__k2"]
     runs = materialize(_runs(src, length), "runs")
     # Written tables on both sides of a join let Spark split its hot keys.
     anchors = materialize(runs.groupBy("a").agg(F.count("*").alias("c"), F.min("r").alias("r0"), F.max("r").alias("r1"))
                .where("c > 1").select("a", (F.col("r0") == F.col("r1")).alias("alike")), "anchors")
     live = materialize(runs.join(anchors, "a"), "live")
+    superseded(src.sparkSession, "runs")
+    superseded(src.sparkSession, "anchors")
     contents = live.groupBy("a", "r").agg(F.count("*").alias("c"), F.min(F.struct(*keys, "s", "n", "l")).alias("f"),
                                           F.first("alike").alias("alike"))
     contents = materialize(contents, "contents")
