@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, row_key, slices
-from .jaccard_sets import parts, shingle_sets, signature, sketches
+from .common import bucketed, materialize, row_key, scratch, slices
+from .jaccard_sets import PARTS, parts, shingle_sets, signature, sketches
 
 #: Shingles in the table that orders them, at most.
 FREQUENT = 1 << 21
@@ -34,7 +34,7 @@ SEEN = 1_000_000
 #: the members that one set is held against in a turn.
 PROBES, PARTNERS = 2, 8
 #: Columns of a set's sketch.
-SKETCH = ["h0", "h1", "h2", "h3"]
+SKETCH = [f"h{i}" for i in range(PARTS // 32)]
 
 
 def _scan(src: DataFrame, size: int) -> DataFrame:
@@ -184,7 +184,7 @@ def _sketched(classes: DataFrame) -> DataFrame:
 
     def run(it):
         for b in it:
-            q = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 128)
+            q = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, PARTS)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sketches(q).T)], ["s", *SKETCH])
 
     return classes.select("s", "q").mapInArrow(run, "s bigint, " + ", ".join(f"{h} bigint" for h in SKETCH))
@@ -203,7 +203,7 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     def run(it):
         for b in it:
             n, m = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 128).astype(np.int16) for i in (4, 5))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for i in (4, 5))
             apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
             keep = pa.array(apart * (100 + percent) <= (n + m) * (100 - percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
@@ -213,9 +213,13 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
             .mapInArrow(run, "u bigint, v bigint"))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (u, v) that link, by the sets of their nodes' texts."""
+def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, tried: list[DataFrame]) -> DataFrame:
+    """Pairs (u, v) that link, by the sets of their nodes' texts.  Pairs in
+    ``tried`` are left out, and those of this call are added to it."""
+    for old in tried:
+        pairs = pairs.join(old, ["u", "v"], "left_anti")
     pairs = materialize(_suffix_filter(pairs, classes, percent), "pairs")
+    tried.append(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     need = pairs.select(F.col("u").alias("s")).union(pairs.select("v")).distinct()
     need = classes.select("s", "f.__k1", "f.__k2").join(need, "s", "left_semi").drop("s")
     texts = materialize(texts.join(need, ["__k1", "__k2"], "left_semi").select("s", "t"), "pair-texts")
@@ -258,7 +262,13 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     with another; nodes without a label link with none."""
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
     src = docs.select(k1, k2, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    scan = materialize(_scan(src, size), "sets")
+    with scratch(docs.sparkSession, "sets", "classes-of-sets"):
+        scan = materialize(_scan(src, size), "sets")
+        rows = scan.where("q is not null")
+        return rows, materialize(_classes(src, scan, size, percent), "classes-of-sets")
+
+
+def _classes(src: DataFrame, scan: DataFrame, size: int, percent: int) -> DataFrame:
     rows = scan.where("q is not null")
     classes = materialize(rows.where("n > 0").groupBy("s").agg(
         F.min(F.struct("__k1", "__k2")).alias("f"), F.first("n").cast("int").alias("n"), F.first("q").alias("q")), "classes")
@@ -270,16 +280,17 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     c = F.col
     stars = (shared.where(c("s") != c("hs")).where(_may_link(percent, c("n"), c("p"), c("hn"), c("hp")))
              .select(c("s").alias("u"), c("hs").alias("v")).distinct())
-    links = _verify(stars, classes, texts, size, percent)
+    tried: list[DataFrame] = []
+    links = _verify(stars, classes, texts, size, percent, tried)
     for turn in range(PROBES):
-        links = links.union(_verify(_probes(_mixed(shared, links), percent, turn), classes, texts, size, percent))
+        links = links.union(_verify(_probes(_mixed(shared, links), percent, turn), classes, texts, size, percent, tried))
     # All that is left: pairs of different components.
     x = materialize(_mixed(shared, links).join(_sketched(classes), "s"), "sketched")
     y = x.select("t", c("s").alias("v"), c("n").alias("m"), c("p").alias("p2"), c("c").alias("c2"), *[c(h).alias(f"{h}_2") for h in SKETCH])
     pairs = (x.join(y, "t").where((c("c") != c("c2")) & ((c("n") < c("m")) | ((c("n") == c("m")) & (c("s") < c("v"))))
                                   & _may_link(percent, c("n"), c("p"), c("m"), c("p2")) & _alike(percent))
              .select(c("s").alias("u"), "v").distinct())
-    return rows, components(links.union(_verify(pairs, classes, texts, size, percent)))
+    return components(links.union(_verify(pairs, classes, texts, size, percent, tried)))
 
 
 def _probes(mixed: DataFrame, percent: int, turn: int) -> DataFrame:

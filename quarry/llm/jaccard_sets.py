@@ -17,6 +17,8 @@ _LOWER[65:91] += 32
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _SET = np.uint64(0xC2B2AE3D27D4EB4F)
 _GRAY = np.array([0, 1, 3, 2], np.uint8)
+#: Parts into which fixed pivots cut the hashes of a set; a power of two.
+PARTS = 512
 
 
 def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +77,14 @@ def signature(s: np.ndarray) -> int:
 
 
 def parts(s: np.ndarray) -> bytes:
-    """Sizes (255 at most) of the 128 parts into which fixed pivots cut the
-    hashes.  Two sets differ at least by the sum of their parts' differences."""
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128), 255).astype(np.uint8).tobytes()
+    """Sizes (255 at most) of the PARTS parts of a set's hashes.  Two sets differ at
+    least by the sum of their parts' differences."""
+    shift = np.uint64(65 - PARTS.bit_length())
+    return np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
 def sketches(sizes: np.ndarray) -> np.ndarray:
-    """Rows of 128 part sizes as rows of four longs: every size modulo 4 in Gray
-    code.  No more bits of two rows differ than their parts' sizes do in sum."""
+    """Rows of PARTS part sizes as rows of PARTS / 32 longs: every size modulo 4 in
+    Gray code.  No more bits of two rows differ than their parts' sizes do in sum."""
     code = _GRAY[sizes & 3]
     return np.packbits(np.concatenate([code & 1, code >> 1], axis=1), axis=1).view(np.int64)

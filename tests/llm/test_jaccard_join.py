@@ -97,11 +97,50 @@ def test_near_copies_cost_a_pair_each(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def tries(spark, monkeypatch, n):
+    """Pairs that are verified, and those that link, among near copies of a text."""
+    rnd = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rnd.choice(120, int(rnd.integers(2, 4)), replace=False):
+            w[at] = f"e{i}.{at}"
+        rows.append((i, " ".join(w), 1, "x", 1))
+    tried, linked = [], []
+    verify = J._verify
+
+    def counted(*args):
+        out = verify(*args)
+        tried.append(args[-1][-1].count() // 2)
+        linked.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "_verify", counted)
+    got = J.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    monkeypatch.setattr(J, "_verify", verify)
+    sets = [shingles(r[1], 4) for r in rows]
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label] if a != b else label
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
+    return sum(tried), sum(linked)
+
+
+def test_pairs_of_a_large_group_are_nearly_all_links(spark, monkeypatch):
+    less, links = tries(spark, monkeypatch, 250)
+    more, links2 = tries(spark, monkeypatch, 500)
+    assert less <= 1.5 * links + 2 * 250 and more <= 1.5 * links2 + 2 * 500
+
+
 def test_sketches_differ_in_no_more_bits_than_sets():
     rng = np.random.default_rng(5)
     for n, apart in [(20, 3), (300, 40), (2000, 300), (60_000, 9_000)]:
         x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
         y = np.concatenate([x[apart:], rng.integers(0, 1 << 63, apart // 2, dtype=np.uint64)])
         a, b = (sketches(np.frombuffer(parts(np.unique(s)), np.uint8).reshape(1, -1)) for s in (x, y))
-        assert a.shape == (1, 4)
+        assert a.shape == (1, len(J.SKETCH))
         assert int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= len(np.setxor1d(x, y))
