@@ -8,13 +8,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.bind import bind_stats
 from ..functions.columns import hash_unit
-from ..functions.stats import distinct_value_ranks, grouped_quantile, quantiles
+from ..functions.stats import distinct_value_ranks, global_rank, grouped_quantile, quantiles
+from ..session import cut_lineage
 
 
 # ---------------------------------------------------------------- M01 / M02
@@ -171,6 +174,29 @@ def probability_metrics(df: DataFrame, y: str, score: str, eps: float = 1e-15) -
                                             F.col("_b.log_loss").alias("log_loss"))
 
 
+def multiclass_auc(df: DataFrame, y: str, scores: dict[str, str]) -> DataFrame:
+    """M06 for several classes: ``roc_auc_ovr`` and ``roc_auc_ovo`` (macro), exact
+    with tied scores.  ``scores`` names the score column of each class.
+
+    Each class's scores are counted by value and label; with the class's rows above a
+    value known (a running sum over ranges), every pair of classes is one sum."""
+    long = df.select(F.col(y).cast("string").alias("y"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("c"), F.col(v).cast("double").alias("s")) for k, v in scores.items()])))
+    g = long.where("s is not null and y is not null").groupBy("c", "s", "y").agg(F.count("*").alias("n"))
+    g = cut_lineage(g)
+    pos = g.groupBy("c", "s").agg(F.sum(F.when(F.col("y") == F.col("c"), F.col("n")).otherwise(0)).alias("pos"))
+    run = global_rank(pos.withColumn("down", -F.col("s")), ["down"], ["c"], weight_col="pos")
+    above = run.select("c", "s", "pos", (F.col("__cum") - F.col("pos")).alias("above"))
+    u = (g.where(F.col("y") != F.col("c")).join(above, ["c", "s"])
+         .groupBy("c", "y").agg(F.sum(F.col("n") * (F.col("above") + F.col("pos") / 2)).alias("u"), F.sum("n").alias("neg")))
+    size = g.where(F.col("y") == F.col("c")).groupBy("c").agg(F.sum("n").alias("p"))
+    u = u.join(size, "c")
+    ovr = u.groupBy("c").agg((F.sum("u") / (F.first("p") * F.sum("neg"))).alias("auc")).agg(F.avg("auc").alias("roc_auc_ovr"))
+    # Both directions of every pair weigh the same.
+    ovo = u.agg(F.avg(F.col("u") / (F.col("p") * F.col("neg"))).alias("roc_auc_ovo"))
+    return bind_stats(ovr, ovo, "_o").select("roc_auc_ovr", F.col("_o.roc_auc_ovo").alias("roc_auc_ovo"))
+
+
 # ---------------------------------------------------------------- M07
 def vector_long(df: DataFrame, id_col: str, vec_col: str, extra: Sequence[str] = ()) -> DataFrame:
     return df.select(id_col, *extra, F.posexplode(vec_col).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
@@ -250,6 +276,68 @@ def cluster_external(df: DataFrame, a: str, b: str) -> DataFrame:
                       fmi.alias("fowlkes_mallows"))
 
 
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    """ln x! of whole numbers."""
+    z = np.maximum(x, 15).astype(float) + 1
+    big = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5)
+    small = np.array([math.lgamma(k + 1) for k in range(16)])
+    return np.where(x < 16, small[np.minimum(x, 15)], big)
+
+
+def expected_information(a: int, b: int, n: int) -> float:
+    """Expected part of the mutual information of a cluster of a rows and one of b,
+    of n, under random labels: their common rows are hypergeometric.  Sizes that are
+    12 standard deviations and 40 from the mean weigh less than 1e-30."""
+    mean = a * b / n
+    spread = math.sqrt(max(0.0, mean * (n - a) / n * (n - b) / max(1, n - 1)))
+    lo = max(0, a + b - n, math.floor(mean - 12 * spread - 40))
+    hi = min(a, b, math.ceil(mean + 12 * spread + 40))
+    k = np.arange(lo, hi + 1)
+    p = -_log_factorial(k) - _log_factorial(a - k) - _log_factorial(b - k) - _log_factorial(n - a - b + k)
+    p = np.exp(p - p.max())
+    some = k > 0
+    k, p = k[some].astype(float), (p / p.sum())[some]
+    return float((p * k / n * (np.log(k) + math.log(n) - math.log(a) - math.log(b))).sum())
+
+
+def adjusted_mutual_info(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Mutual information, its expectation under random labels, and the
+    information adjusted by it (arithmetic mean of the entropies; 1 for two
+    labellings of one cluster each, and without rows).
+
+    The expectation depends on cluster sizes only: it is summed over pairs of
+    *different* sizes, of which n rows have at most about √(2n) on a side.  One
+    side's sizes are broadcast, the other's are spread over the tasks."""
+    spark = df.sparkSession
+    ct = cut_lineage(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("nij")))
+    ra, rb = (ct.groupBy(c).agg(F.sum("nij").alias("size")) for c in (a, b))
+    n = int(ct.agg(F.sum("nij")).first()[0] or 0)
+    sizes_a, sizes_b = (x.groupBy("size").agg(F.count("*").alias("times")) for x in (ra, rb))
+    held = spark.sparkContext.broadcast([(r["size"], r["times"]) for r in sizes_b.collect()])
+
+    def run(it):
+        total = 0.0
+        for batch in it:
+            for size, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total += times * sum(t * expected_information(size, s, n) for s, t in held.value)
+        yield pa.RecordBatch.from_pydict({"emi": pa.array([total], pa.float64())})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    emi = sizes_a.repartition(parts, "size").mapInArrow(run, "emi double").agg(F.sum("emi")).first()[0] or 0.0
+    m = ct.join(ra.withColumnRenamed("size", "ai"), a).join(rb.withColumnRenamed("size", "bj"), b)
+    mi = m.agg(F.sum(F.col("nij") / n * F.log(F.col("nij") * float(n) / F.col("ai") / F.col("bj")))).first()[0] if n else 0.0
+    ha, hb = (x.agg(F.count("*").alias("k"), (-F.sum(F.col("size") / n * F.log(F.col("size") / n))).alias("h")).first() if n else {"k": 0, "h": 0.0}
+              for x in (ra, rb))
+    if ha["k"] == hb["k"] <= 1:
+        ami = 1.0
+    else:
+        rest = (ha["h"] + hb["h"]) / 2 - emi
+        eps = float(np.finfo(float).eps)
+        ami = (mi - emi) / (min(rest, -eps) if rest < 0 else max(rest, eps))
+    return spark.createDataFrame([(float(mi or 0.0), float(emi), float(ami))],
+                                 "mutual_info double, expected_mutual_info double, adjusted_mutual_info double")
+
+
 # ---------------------------------------------------------------- M09–M11
 def ab_summary(df: DataFrame, variant: str, value: str, a, b) -> DataFrame:
     """Per-variant n, mean, pop std; pooled Student t and its df; the

@@ -4,14 +4,18 @@ results over whole tables use the range-partitioned kernels."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind_stats
 from ..functions.stats import distinct_value_ranks, global_running
+from ..session import cut_lineage
 
 
 # ---------------------------------------------------------------- F01 / F03
@@ -115,9 +119,10 @@ def cluster_stats(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- F10
-def top_variance_columns(df: DataFrame, cols: Sequence[str], max_features: int = 30) -> list[str]:
-    """the ``max_features`` columns of largest (sample) variance."""
-    if len(cols) <= max_features:
+def top_variance_columns(df: DataFrame, cols: Sequence[str], max_features: int | None = None) -> list[str]:
+    """all columns, or the ``max_features`` of largest (sample) variance if a
+    number is asked for."""
+    if max_features is None or len(cols) <= max_features:
         return list(cols)
     v = df.agg(*[F.var_samp(c).alias(c) for c in cols]).first()
     return sorted(cols, key=lambda c: (-(v[c] or 0.0), c))[:max_features]
@@ -136,8 +141,10 @@ def average_ranks(df: DataFrame, key_cols: Sequence[str], cols: Sequence[str]) -
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
                        key_cols: Sequence[str] = ()) -> DataFrame:
-    """full symmetric matrix in long form (col_a, col_b, corr);
-    spearman = pearson over average ranks."""
+    """full symmetric matrix in long form (col_a, col_b, corr); spearman =
+    pearson over average ranks, kendall = τ-b."""
+    if method == "kendall":
+        return kendall_matrix(df, cols)
     x = average_ranks(df, key_cols, cols) if method == "spearman" else df
     pairs = [(a, b) for a in cols for b in cols]
     one = x.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
@@ -145,6 +152,88 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
                                                   F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
 
 
+#: Ranges of each axis that discordant pairs are counted between, at most.
+KENDALL_RANGES = 512
+
+
+def inversions(value: np.ndarray, weight: np.ndarray) -> int:
+    """Σ of weight products over i < j with value[i] > value[j], bit by bit: of
+    values that agree in the higher bits, ones before zeros are inverted."""
+    _, v = np.unique(value, return_inverse=True)
+    w = weight.astype(object) if float(weight.sum()) ** 2 > 2.0 ** 62 else weight.astype(np.int64)
+    total = 0
+    for bit in range(int(v.max()).bit_length() - 1 if len(v) else -1, -1, -1):
+        order = np.argsort(v >> (bit + 1), kind="stable")
+        v, w = v[order], w[order]
+        one = (v >> bit) & 1
+        before = np.cumsum(w * one) - w * one
+        group = v >> (bit + 1)
+        first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) != 0, np.arange(len(v)), 0))
+        total += int((w * (1 - one) * (before - before[first])).sum())
+    return total
+
+
+def kendall(df: DataFrame, a: str, b: str) -> float | None:
+    """τ-b of two numeric columns over the rows that have both; None without
+    rows or if a column is constant.
+
+    Discordant pairs are inversions of the order by (a, b) against that by (b, a), which
+    count no tie.  Different (a, b) are cut into ranges along both orders: pairs
+    that differ in both ranges are counted on the table of cells, the others inside
+    their range of one axis, a task a range; pairs in one cell, which both axes
+    have, are taken off once.  Only the table of cells, KENDALL_RANGES squared at most,
+    comes to the driver."""
+    x = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    x = x.where(~(F.isnan("x") | F.isnan("y"))).groupBy("x", "y").agg(F.count("*").alias("w")).where("x is not null and y is not null")
+    x = cut_lineage(x)
+
+    def ties(c):
+        g = x.groupBy(c).agg(F.sum("w").cast("decimal(38,0)").alias("t"))
+        return int(g.agg(F.sum(F.col("t") * (F.col("t") - 1))).first()[0] or 0) // 2
+
+    n = int(x.agg(F.sum("w")).first()[0] or 0)
+    pairs, tie_x, tie_y = n * (n - 1) // 2, ties("x"), ties("y")
+    if pairs == 0 or tie_x == pairs or tie_y == pairs:
+        return None
+    tie_both = int(x.agg(F.sum(F.col("w").cast("decimal(19,0)") * (F.col("w") - 1))).first()[0] or 0) // 2
+    ranges = min(KENDALL_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = x.repartitionByRange(ranges, "x", "y").withColumn("p", F.spark_partition_id())
+    placed = cut_lineage(cut_lineage(placed).repartitionByRange(ranges, "y", "x").withColumn("r", F.spark_partition_id()))
+    cells = np.zeros((ranges, ranges), object)
+    for c in placed.groupBy("p", "r").agg(F.sum("w").alias("w")).collect():
+        cells[c["p"], c["r"]] = int(c["w"])
+    # Cells above and to the left: earlier in the first order, later in the second.
+    later = np.cumsum(cells[:, ::-1], axis=1)[:, ::-1]
+    before = np.cumsum(later, axis=0)
+    discordant = int((cells[1:, :-1] * before[:-1, 1:]).sum()) if ranges > 1 else 0
+
+    def inside(axis: str, cell: str):
+        def run(table: pa.Table) -> pa.Table:
+            t = table.sort_by([("x", "ascending"), ("y", "ascending")])
+            x_, y_, w, c = (t.column(k).to_numpy() for k in ("x", "y", "w", cell))
+            rank = np.empty(len(y_), np.int64)
+            rank[np.lexsort((x_, y_))] = np.arange(len(y_))
+            found = inversions(rank, w)
+            own = np.argsort(c, kind="stable")  # by cell: no inversion between cells of a range
+            within = inversions(rank[own] + (c[own].astype(np.int64) << 40), w[own])
+            return pa.table({"d": pa.array([str(found - within if axis == "p" else found)], pa.string())})
+        return placed.groupBy(axis).applyInArrow(run, "d string").agg(F.sum(F.col("d").cast("decimal(38,0)"))).first()[0]
+
+    discordant += int(inside("p", "r") or 0) + int(inside("r", "p") or 0)
+    concordant = pairs - tie_x - tie_y + tie_both - discordant
+    return (concordant - discordant) / (math.sqrt(pairs - tie_x) * math.sqrt(pairs - tie_y))
+
+
+def kendall_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(col_a, col_b, corr): τ-b of all pairs of columns; a row per pair of columns."""
+    rows = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            t = kendall(df, a, b)
+            rows += [(a, b, t)] + ([(b, a, t)] if a != b else [])
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+
+
 # ---------------------------------------------------------------- F11
 def histograms(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     """equal-width histogram per column between its min and max."""

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6
+from ..functions.columns import hash_unit, r6
 from ..operators import metrics as M
 from ..operators import split as H
 from ..operators.quality import correlation_long
@@ -210,6 +210,58 @@ def m08(spark, sf):
     return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
 
 
+@query("m08_adjusted_mutual_info", f"""
+WITH o AS (SELECT o_orderpriority AS a, o_orderkey % 7 AS b FROM orders WHERE o_orderkey % 3 < 2),
+ct AS (SELECT a, b, count(*)::DOUBLE AS nij FROM o GROUP BY 1, 2), nn AS (SELECT sum(nij) AS n FROM ct),
+ra AS (SELECT a, sum(nij) AS ai FROM ct GROUP BY 1), rb AS (SELECT b, sum(nij) AS bj FROM ct GROUP BY 1),
+mi AS (SELECT sum(nij / n * ln(nij * n / (ai * bj))) AS mi FROM ct JOIN ra USING (a) JOIN rb USING (b), nn),
+h AS (SELECT (SELECT -sum(ai / n * ln(ai / n)) FROM ra, nn) AS ha, (SELECT -sum(bj / n * ln(bj / n)) FROM rb, nn) AS hb),
+k AS (SELECT ai, bj, n, unnest(range(greatest(1, ai + bj - n)::BIGINT, least(ai, bj)::BIGINT + 1))::DOUBLE AS x FROM ra, rb, nn),
+e AS (SELECT sum(x / n * (ln(n) + ln(x) - ln(ai) - ln(bj)) * exp(lgamma(ai + 1) + lgamma(bj + 1) + lgamma(n - ai + 1) + lgamma(n - bj + 1)
+  - lgamma(n + 1) - lgamma(x + 1) - lgamma(ai - x + 1) - lgamma(bj - x + 1) - lgamma(n - ai - bj + x + 1))) AS emi FROM k)
+SELECT {r('mi')} AS mutual_info, {r('emi')} AS expected_mutual_info, {r('(mi - emi) / ((ha + hb) / 2 - emi)')} AS adjusted_mutual_info FROM mi, h, e""")
+def m08_ami(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 3 < 2").select(F.col("o_orderpriority").alias("a"), (F.col("o_orderkey") % 7).alias("b"))
+    out = M.adjusted_mutual_info(o, "a", "b")
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+def _class_score(c: str) -> str:
+    return f"round({hunit_sql('auc' + c, 'l_orderkey * 8 + l_linenumber')} * 0.7 + CASE WHEN l_returnflag = '{c}' THEN 0.3 ELSE 0 END, 3)"
+
+
+_FLAGS = ("A", "N", "R")
+_AUC_PAIRS = [(a, b) for a in _FLAGS for b in (*_FLAGS, None) if a != b]
+
+
+def _auc_sql(c: str, o: str | None) -> str:
+    rows = f"SELECT y, s_{c} AS s FROM x" + (f" WHERE y IN ('{c}', '{o}')" if o else "")
+    return (f"SELECT '{c}' AS c, {repr(o) if o else 'NULL'} AS o, (sum(CASE WHEN y = '{c}' THEN rr END) - p * (p + 1) / 2) / (p * (count(*) - p)) AS auc FROM ("
+            f"SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rr, count(*) FILTER (y = '{c}') OVER () AS p FROM ({rows})) GROUP BY p")
+
+
+@query("m06_multiclass_auc", "WITH x AS (SELECT l_returnflag AS y, " + ", ".join(f"{_class_score(c)} AS s_{c}" for c in _FLAGS) + " FROM lineitem), a AS ("
+       + " UNION ALL ".join(_auc_sql(a, b) for a, b in _AUC_PAIRS) + f") SELECT {r('avg(auc) FILTER (o IS NULL)')} AS roc_auc_ovr, "
+       f"{r('avg(auc) FILTER (o IS NOT NULL)')} AS roc_auc_ovo FROM a")
+def m06_multi(spark, sf):
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("y"), *[
+        F.round(hash_unit("auc" + c, key) * 0.7 + F.when(F.col("l_returnflag") == c, 0.3).otherwise(0.0), 3).alias(f"s_{c}") for c in _FLAGS])
+    out = M.multiclass_auc(li, "y", {c: f"s_{c}" for c in _FLAGS})
+    return out.select(*[r6(F.col(c)).alias(c) for c in out.columns])
+
+
+@query("m07_silhouette", f"""
+WITH d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_sum(list_transform(range(1, len(a.embedding) + 1),
+    lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS s, count(*) AS n FROM embeddings a JOIN embeddings b ON true GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS size, max(CASE WHEN own = other THEN s / greatest(n - 1, 1) END) AS a,
+  min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY vec_id)
+SELECT {r('avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM m""")
+def m07s(spark, sf):
+    value = M.silhouette_spark(table(spark, sf, "embeddings"), "embedding", "label")
+    return spark.createDataFrame([(value,)], "silhouette double").select(r6(F.col("silhouette")).alias("silhouette"))
+
+
 def _ab_sql(src: str) -> str:
     return f"""
 WITH x AS ({src}),

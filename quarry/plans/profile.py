@@ -155,6 +155,22 @@ def f10b(spark, sf):
     return out.withColumn("corr", r6(F.col("corr")))
 
 
+_KT = ["p_size", "p_retailprice", "name_len"]
+
+
+def _kendall_sql(a: str, b: str) -> str:
+    return (f"SELECT '{a}' AS col_a, '{b}' AS col_b, (SELECT sum(l.w * r.w * sign(l.{a} - r.{a}) * sign(l.{b} - r.{b})) / "
+            f"(sqrt(sum(l.w * r.w * abs(sign(l.{a} - r.{a})))) * sqrt(sum(l.w * r.w * abs(sign(l.{b} - r.{b}))))) "
+            f"FROM (SELECT {a}, {b}, count(*)::DOUBLE AS w FROM p GROUP BY 1, 2) l, (SELECT {a}, {b}, count(*)::DOUBLE AS w FROM p GROUP BY 1, 2) r) AS corr")
+
+
+@query("f10_correlation_kendall", "WITH p AS (SELECT p_size::DOUBLE AS p_size, p_retailprice::DOUBLE AS p_retailprice, length(p_name)::DOUBLE AS name_len FROM part), k AS ("
+       + " UNION ALL ".join(_kendall_sql(a, b) for a in _KT for b in _KT) + ") SELECT col_a, col_b, round(corr, 6) + 0.0 AS corr FROM k")
+def f10c(spark, sf):
+    p = table(spark, sf, "part").select("p_size", "p_retailprice", F.length("p_name").alias("name_len"))
+    return P.correlation_matrix(p, _KT, "kendall").withColumn("corr", r6(F.col("corr")))
+
+
 @query("f11_histograms", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((CAST({c} AS DOUBLE) - lo) / (hi - lo) * 10), 9) END AS INT) AS bin, "
     f"count(*) AS n FROM lineitem, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM lineitem) GROUP BY 1, 2"
