@@ -48,14 +48,21 @@ def distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
         if holes:
             left = diff.shape[2] - np.isnan(diff).sum(axis=2)
             diff = np.nan_to_num(diff)
-        one = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)) if metric == "euclidean" else np.abs(diff).sum(-1)
+        if metric == "euclidean":
+            one = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        else:
+            one = np.abs(diff).sum(-1) if metric == "manhattan" else np.abs(diff).max(-1)
         if holes:
-            up = diff.shape[2] / np.maximum(left, 1)
-            one = np.where(left > 0, one * (np.sqrt(up) if metric == "euclidean" else up), np.inf)
+            one = np.where(left > 0, one * _rescaled(metric, diff.shape[2] / np.maximum(left, 1)), np.inf)
         out[s:s + step] = one
     return out
 
 
+def _rescaled(metric: str, up):
+    """What a distance over a share 1 / up of the features is multiplied by."""
+    return np.sqrt(up) if metric == "euclidean" else up if metric == "manhattan" else np.ones_like(up)
+
+
 def _unit(v: np.ndarray, query: bool) -> np.ndarray:
     """Unit vectors, whose euclidean distance orders as the cosine does; a zero
     vector gets an axis of its own, at cosine 0 to all of the other side."""
@@ -122,11 +129,11 @@ class Space:
 
     def bounds(self, v: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest distance to the points of each cell; ``own`` is the
-        nearest pivot.  But for manhattan distances, a cell lies beyond the
-        plane halfway between its pivot and the own one, too."""
+        nearest pivot.  In euclidean space a cell lies beyond the plane halfway
+        between its pivot and the own one, too."""
         far = self.far(v)
         least = np.maximum(np.maximum(far - self.hi, self.lo - far), 0.0)
-        if self.metric != "manhattan":
+        if self.metric in ("euclidean", "cosine"):
             cells, place = np.unique(own, return_inverse=True)
             apart = self.far(self.pivots[cells])[place]
             near = far[np.arange(len(v)), own][:, None]
@@ -299,8 +306,8 @@ def _pattern(v: Column) -> Column:
 def dense_topk(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, k: int, metric: str = "euclidean",
                exclude_self: bool = False, seen: Accumulator | None = None) -> DataFrame:
     """Exact k nearest rows of ``d`` for every row of ``q``: ``qid, did, score,
-    rank``.  ``score`` is the distance (euclidean, manhattan) or the cosine
-    similarity, rounded to 9 digits; ties go to the smaller id.
+    rank``.  ``score`` is the distance (euclidean, manhattan, chebyshev) or the
+    cosine similarity, rounded to 9 digits; ties go to the smaller id.
 
     Ids may have any orderable type; rows without an id or a vector have no
     neighbours and are none.  A feature that is null or NaN on a side of a pair does
@@ -308,7 +315,7 @@ def dense_topk(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str, k
     without a common feature are no neighbours.  For the cosine it counts as 0.
     Repeated rows count each; empty tables give no rows.  ``seen`` adds up the
     distances between points that were computed."""
-    if metric not in ("euclidean", "manhattan", "cosine"):
+    if metric not in ("euclidean", "manhattan", "chebyshev", "cosine"):
         raise ValueError(metric)
     need = k + 1 if exclude_self else k
     zero = metric == "cosine"
@@ -361,7 +368,7 @@ def _pattern_pairs(qp: DataFrame, dp: DataFrame, metric: str):
             whole = len(common) == len(a) == len(b)
             up = len(a) / len(common)
             cells = Cells(dp.where(_pattern(F.col("v")) == b).drop("n", "ids"), metric,
-                          math.sqrt(up) if metric == "euclidean" else up, None if whole else common)
+                          float(_rescaled(metric, np.float64(up))), None if whole else common)
             yield qp.where(_pattern(F.col("v")) == a).drop("n", "ids"), dp, cells
 
 

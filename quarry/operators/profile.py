@@ -221,7 +221,8 @@ def kendall(df: DataFrame, a: str, b: str) -> float | None:
 
     discordant += int(inside("p", "r") or 0) + int(inside("r", "p") or 0)
     concordant = pairs - tie_x - tie_y + tie_both - discordant
-    return (concordant - discordant) / (math.sqrt(pairs - tie_x) * math.sqrt(pairs - tie_y))
+    t = (concordant - discordant) / (math.sqrt(pairs - tie_x) * math.sqrt(pairs - tie_y))
+    return max(-1.0, min(1.0, t))
 
 
 def kendall_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -114,9 +114,8 @@ def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10,
                 y_discrete: bool = False, normalize: bool = True) -> DataFrame:
     """Binned mutual information Σ p(x,y)·ln(p(x,y)/(p(x)p(y))) with
     equal-width bins on [min, max] (the top edge joins the last bin); y is
-    binned the same way unless discrete.  Max-normalised like the
-    reference.  (The reference uses sklearn's kNN estimator; binning is the
-    distributed, exact-to-define variant and is documented as different.)"""
+    binned the same way unless discrete.  Max-normalised.  The estimator
+    without bins is ``nearest_mutual_info``."""
     ycol = F.col(y)
     allc = list(cols) + ([] if y_discrete else [y])
     mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"{c}__min") for c in allc],
@@ -150,6 +149,80 @@ def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10,
     return out.select("feature", "pos", "mi", "score")
 
 
+#: Units a standard deviation is cut into, so that equal distances are equal.
+_UNITS = 1_000_000
+
+
+def digamma(n):
+    """ψ of a column of counts ≥ 1."""
+    small = [0.0]
+    for k in range(1, 11):
+        small.append(-0.5772156649015329 + sum(1.0 / i for i in range(1, k)))
+    x = n.cast("double")
+    large = F.log(x) - 1 / (2 * x) - 1 / (12 * x ** 2) + 1 / (120 * x ** 4) - 1 / (252 * x ** 6) + 1 / (240 * x ** 8)
+    return F.when(n <= 10, F.element_at(F.array(*[F.lit(v) for v in small]), F.least(n, F.lit(10)).cast("int") + 1)).otherwise(large)
+
+
+def within(values: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, n): how many ``values`` (x) are in lo … hi of each row (id, lo, hi), by one
+    running sum over the values and the ends of the intervals in order."""
+    from ..functions.stats import global_rank
+    ends = rows.select("id", F.inline(F.array(F.struct(F.col("lo").alias("x"), F.lit(0).alias("place"), F.lit(-1).alias("sign")),
+                                              F.struct(F.col("hi").alias("x"), F.lit(2).alias("place"), F.lit(1).alias("sign")))))
+    # Equal values come after a lower end and before an upper end; counted values go as one row.
+    held = values.groupBy("x").agg(F.count("*").alias("w")).select(
+        F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "x", F.lit(1).alias("place"), F.lit(0).alias("sign"), "w")
+    r = global_rank(held.unionByName(ends.withColumn("w", F.lit(0).cast("bigint"))), ["x", "place", "id"], weight_col="w")
+    return r.where("sign <> 0").groupBy("id").agg(F.sum(F.col("sign") * F.col("__cum")).cast("bigint").alias("n"))
+
+
+def nearest_mutual_info(df: DataFrame, key: str, cols: Sequence[str], y: str, k: int = 3, y_discrete: bool = False) -> DataFrame:
+    """Mutual information of each column with ``y`` from nearest neighbours.
+
+    For a numeric y: with r the distance (greater of both axes) of a row's k-th
+    neighbour, ψ(n) + ψ(k) − mean ψ(rows nearer than r in x) − mean ψ(the same in y), the row
+    itself counted.  For a discrete y: r is the distance in x of the k-th neighbour of the same
+    label, and ψ(n) + mean ψ(k) − mean ψ(rows of the label) − mean ψ(rows nearer than
+    r in x); labels of one row are left out.  At r = 0 rows at distance 0 count.  At
+    least 0.  Values are taken to a millionth of their standard deviation, without
+    noise; rows with a null are left out per column; ``key`` must differ between rows."""
+    from ..session import cut_lineage
+    from .neighbors import dense_topk
+
+    def units(c, sd):
+        return F.round(F.col(c).cast("double") / F.lit(sd) * _UNITS)
+
+    rows = []
+    for pos, c in enumerate(cols):
+        x = df.select(F.col(key).alias("id"), F.col(c).cast("double").alias("x"), F.col(y).alias("y")).na.drop()
+        sd = x.agg(F.stddev_pop("x").alias("x"), *([] if y_discrete else [F.stddev_pop("y").alias("y")])).first()
+        x = x.withColumn("x", units("x", sd["x"] or 1.0))
+        if y_discrete:
+            # Labels are set apart by more than any distance in x.
+            far = x.agg((F.max("x") - F.min("x") + 1) * 2).first()[0] or 1.0
+            labels = x.groupBy("y").agg(F.count("*").alias("of")).where("of > 1")
+            index = labels.select("y", "of", F.pmod(F.xxhash64("y"), F.lit(1 << 31)).alias("h"))
+            x = cut_lineage(x.join(index, "y").withColumn("k", F.least(F.lit(k), F.col("of") - 1))
+                            .withColumn("v", F.array("x", F.col("h") * F.lit(far))))
+        else:
+            x = cut_lineage(x.withColumn("y", units("y", sd["y"] or 1.0)).withColumn("k", F.lit(k)).withColumn("v", F.array("x", "y")))
+        n = x.count()
+        if n <= k:
+            rows.append((c, pos, 0.0))
+            continue
+        near = dense_topk(x, x, "id", "id", "v", k, "chebyshev", exclude_self=True)
+        r = x.join(near.withColumnRenamed("qid", "id"), "id").where(F.col("rank") == F.col("k"))
+        # Whole units: nearer than r is at most r − 1, or 0.
+        r = cut_lineage(r.select("id", "x", "y", "k", *(["of"] if y_discrete else []), F.greatest(F.col("score") - 1, F.lit(0.0)).alias("r")))
+        axes = ["x"] if y_discrete else ["x", "y"]
+        parts = [within(x.select(F.col(a).alias("x")), r.select("id", (F.col(a) - F.col("r")).alias("lo"), (F.col(a) + F.col("r")).alias("hi")))
+                 .agg(F.avg(digamma(F.col("n")))).first()[0] for a in axes]
+        m = r.agg(F.avg(digamma(F.col("k"))).alias("k"), *([F.avg(digamma(F.col("of"))).alias("of")] if y_discrete else [])).first()
+        psi = df.sparkSession.range(1).select(digamma(F.lit(n))).first()[0]
+        rows.append((c, pos, max(0.0, psi + m["k"] - (m["of"] if y_discrete else 0.0) - sum(parts))))
+    return df.sparkSession.createDataFrame(rows, "feature string, pos int, mi double")
+
+
 # ---------------------------------------------------------------- I06
 def f_regression(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """I06 regression F: F = r²/(1−r²)·(n−2) from one corr aggregate."""
@@ -307,26 +380,61 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def permute_columns(df: DataFrame, key: str, cols: Sequence[str], seed, prefix: str = "shadow_",
-                    group_rows: int = 256) -> DataFrame:
-    """Shadow copies of ``cols`` with their values moved to other rows:
-    rows fall into hash-random groups of about ``group_rows``; inside a
-    group each column is cyclically shifted along its own seeded order.
-    One shuffle (by group) for all columns, groups stay small whatever the
-    key skew, and no global rank.  (A shuffle inside random groups, not a
-    uniform permutation of the whole table — enough to break the link
-    between a column and the target, which is what shadows are for.)"""
-    from pyspark.sql import Window
-    n = df.count()
-    groups = max(1, math.ceil(n / group_rows))
-    x = df.withColumn("__g", F.pmod(F.xxhash64(F.lit(str(seed)), F.col(key)), F.lit(groups)))
-    for i, c in enumerate(cols):
-        x = x.withColumn(f"__o{i}", F.xxhash64(F.lit(f"{seed}:{i}"), F.col(key)))
-    for i, c in enumerate(cols):
-        w = Window.partitionBy("__g").orderBy(f"__o{i}", key)
-        wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        x = x.withColumn(f"{prefix}{c}", F.coalesce(F.lead(c).over(w), F.first(c).over(wall)))
-    return x.drop("__g", *[f"__o{i}" for i in range(len(cols))])
+#: Rounds of the bijection that permutes ranks, and fixed odd multipliers of its mixing.
+_ROUNDS, _MIX = 6, (0x9E3779B1, 0x85EBCA77)
+
+
+def round_keys(seed, column: int) -> list[int]:
+    """Keys of the rounds for a seed and a column: 32 bits of an MD5 each."""
+    import hashlib
+    return [int(hashlib.md5(f"{seed}:{column}:{r}".encode()).hexdigest()[:8], 16) for r in range(_ROUNDS)]
+
+
+def permuted_ranks(rank: np.ndarray, n: int, keys: Sequence[int]) -> np.ndarray:
+    """A keyed bijection of 0 … n − 1: a Feistel network on the least even number of
+    bits that holds n; ranks that leave the range walk on until they are back."""
+    half = max(1, math.ceil(max(1, (n - 1).bit_length()) / 2))
+    low, out = np.uint64((1 << half) - 1), rank.astype(np.uint64)
+    todo = np.arange(len(out))
+    full = np.uint64(0xFFFFFFFF)
+    while len(todo):
+        x = out[todo]
+        left, right = x >> np.uint64(half), x & low
+        for k in keys:
+            t = ((right + np.uint64(k)) & full) * np.uint64(_MIX[0]) & full
+            t = (t ^ (t >> np.uint64(15))) * np.uint64(_MIX[1]) & full
+            left, right = right, left ^ ((t >> np.uint64(7)) & low)
+        out[todo] = (left << np.uint64(half)) | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def permute_columns(df: DataFrame, key: str, cols: Sequence[str], seed, prefix: str = "shadow_") -> DataFrame:
+    """Shadow copies of ``cols``, each a permutation of the whole column: rows are
+    ranked by ``key`` once over the table, a keyed bijection of the ranks tells for each
+    column where a row's value goes, and one join by rank brings the values there.
+    The key must differ between rows."""
+    from ..functions.stats import global_rank
+    from ..session import cut_lineage
+    x = cut_lineage(global_rank(df, [key]).withColumn("__rank", F.col("__rn") - 1).drop("__rn", "__cum", "__wt"))
+    row = x.select("__n").first()
+    keys = [round_keys(seed, i) for i in range(len(cols))]
+    n = 0 if row is None else int(row[0])
+    kinds = [df.schema[c].dataType.simpleString() for c in cols]
+
+    def run(it):
+        import pyarrow as pa
+        for b in it:
+            rank = b.column(0).to_numpy(zero_copy_only=False)
+            for i in range(len(cols)):
+                moved = [b.column(1 + j) if j == i else pa.nulls(b.num_rows, b.schema.field(1 + j).type) for j in range(len(cols))]
+                yield pa.RecordBatch.from_arrays([pa.array(permuted_ranks(rank, n, keys[i])), *moved],
+                                                 ["__rank", *[f"__v{j}" for j in range(len(cols))]])
+
+    long = x.select("__rank", *cols).mapInArrow(run, "__rank bigint, " + ", ".join(f"__v{j} {k}" for j, k in enumerate(kinds)))
+    # One value a rank and column; the others are null.
+    moved = long.groupBy("__rank").agg(*[F.max(f"__v{j}").alias(f"{prefix}{c}") for j, c in enumerate(cols)])
+    return x.join(moved, "__rank").drop("__rank", "__n")
 
 
 def permuted(df: DataFrame, key: str, col: str, seed, out: str | None = None) -> DataFrame:

@@ -3,12 +3,15 @@ Missing values are injected deterministically in both engines."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6, round_sig
 from ..operators import select as I
+from ..operators import wrappers as W
 from ..sources.tables import table
-from .common import sig
+from .common import hsql, sig
 from .registry import query
 
 FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "price_unit", "ext_dup"]
@@ -123,6 +126,59 @@ def i05(spark, sf):
     return out.withColumns({"mi": r6(F.col("mi")), "score": r6(F.col("score"))})
 
 
+_NMI = ["p_size", "name_len", "p_partkey"]
+_PSI = "psi AS (SELECT i AS n, -0.5772156649015329 + coalesce(sum(1.0 / (i - 1)) FILTER (i > 1) OVER (ORDER BY i), 0) AS v FROM range(1, 300001) t(i))"
+
+
+def _nmi_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, {_NMI.index(c)}::INT AS pos, greatest(0, (SELECT v FROM psi WHERE n = cnt) + (SELECT v FROM psi WHERE n = 3) - mx - my) AS mi FROM (
+  SELECT avg(px.v) AS mx, avg(py.v) AS my, any_value(cnt) AS cnt FROM (
+    SELECT a.id, any_value(a.cnt) AS cnt, count(*) FILTER (abs(a.{c} - b.{c}) <= greatest(r - 1, 0)) AS nx, count(*) FILTER (abs(a.y - b.y) <= greatest(r - 1, 0)) AS ny
+    FROM (SELECT a.id, a.{c}, a.y, any_value(a.cnt) AS cnt, list_sort(list(greatest(abs(a.{c} - b.{c}), abs(a.y - b.y))))[3] AS r
+          FROM u a JOIN u b ON a.id <> b.id GROUP BY 1, 2, 3) a, u b GROUP BY a.id) JOIN psi px ON px.n = nx JOIN psi py ON py.n = ny)"""
+
+
+@query("i05_nearest_mutual_info", f"""
+WITH {_PSI},
+p AS (SELECT p_partkey AS id, p_size::DOUBLE AS p_size, length(p_name)::DOUBLE AS name_len, p_partkey::DOUBLE AS p_partkey, p_retailprice::DOUBLE AS y FROM part),
+s AS (SELECT count(*) AS cnt, stddev_pop(p_size) AS s1, stddev_pop(name_len) AS s2, stddev_pop(p_partkey) AS s3, stddev_pop(y) AS sy FROM p),
+u AS (SELECT id, cnt, round(p_size / s1 * 1000000) AS p_size, round(name_len / s2 * 1000000) AS name_len, round(p_partkey / s3 * 1000000) AS p_partkey, round(y / sy * 1000000) AS y FROM p, s),
+m AS ({_union([_nmi_sql(c) for c in _NMI])})
+SELECT feature, pos, round(mi, 6) + 0.0 AS mi FROM m""")
+def i05n(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", F.length("p_name").alias("name_len"), "p_partkey",
+                                        F.col("p_retailprice").cast("double").alias("y"))
+    return I.nearest_mutual_info(p, "id", _NMI, "y").withColumn("mi", r6(F.col("mi")))
+
+
+def _permuted_sql(keys) -> str:
+    steps = ["s0 AS (SELECT id, half, low, n, x >> half AS l, x & low AS r FROM walk)"]
+    for i, k in enumerate(keys):
+        steps.append(f"t{i} AS (SELECT *, (((r + {k}) & 4294967295)::HUGEINT * {I._MIX[0]} & 4294967295)::BIGINT AS t FROM s{i})")
+        steps.append(f"s{i + 1} AS (SELECT id, half, low, n, r AS l, xor(l, (((xor(t, t >> 15))::HUGEINT * {I._MIX[1]} & 4294967295)::BIGINT >> 7) & low) AS r FROM t{i})")
+    return ", ".join(steps)
+
+
+_PERM_KEYS = I.round_keys(7, 0)
+
+
+@query("i10_permuted_column", f"""
+WITH RECURSIVE d AS (SELECT p_partkey AS id, p_retailprice AS v, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, count(*) OVER () AS n FROM part),
+b AS (SELECT max(n) AS n, greatest(1, ceil(greatest(1, floor(log2(greatest(max(n) - 1, 1))) + 1) / 2))::INT AS half FROM d),
+walk AS (
+  SELECT id, rank AS x, d.n, half, (1::BIGINT << half) - 1 AS low, 0 AS step FROM d, b
+  UNION ALL
+  SELECT id, (l << half) | r, n, half, low, step + 1 FROM (
+    WITH w AS (SELECT * FROM walk WHERE step = 0 OR x >= n), {_permuted_sql(_PERM_KEYS).replace("FROM walk", "FROM w").replace("SELECT id, half, low, n,", "SELECT id, step, half, low, n,")}
+    SELECT * FROM s{len(_PERM_KEYS)})),
+moved AS (SELECT id, x FROM walk WHERE step > 0 AND x < n)
+SELECT d.id AS p_partkey, d.v::DOUBLE AS p_retailprice, o.v::DOUBLE AS permuted FROM d JOIN moved m ON m.x = d.rank JOIN d o ON o.id = m.id""")
+def i10p(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    out = I.permute_columns(p, "p_partkey", ["p_retailprice"], 7, prefix="__s_")
+    return out.select("p_partkey", "p_retailprice", F.col("__s_p_retailprice").alias("permuted"))
+
+
 @query("i06_f_regression", "WITH " + FEAT_CTE + ",\ns AS (" + _union(
     [f"SELECT '{c}' AS feature, {i} AS pos, count(*) AS n, corr({c}, y) AS r FROM fe" for i, c in enumerate(FEATS)])
        + f""")
@@ -196,6 +252,76 @@ def i12(spark, sf):
     return I.vote([s1, s2, s3, s4], threshold=0.5, k=5)
 
 
+_WRAP = ["l_quantity", "l_discount", "l_tax", "price_unit"]
+
+
+def _subset_score_sql(names) -> str:
+    """Mean over 5 folds of the held-out R² of least squares on one or two columns."""
+    a, b = names[0], names[-1]
+    terms = {"n": "1", "x": a, "z": b, "y": "y", "xx": f"{a} * {a}", "zz": f"{b} * {b}", "xz": f"{a} * {b}", "xy": f"{a} * y", "zy": f"{b} * y", "yy": "y * y"}
+    fold = ", ".join(f"sum({v}) AS {k}" for k, v in terms.items())
+    tr = ", ".join(f"sum({k}) OVER () - {k} AS t{k}" for k in terms)
+    cov = {k: f"(t{k} - t{k[0]} * t{k[1]} / tn)" for k in ("xx", "zz", "xz", "xy", "zy")}
+    if a == b:
+        slopes = f"{cov['xy']} / {cov['xx']} AS bx, 0.0 AS bz"
+    else:
+        det = f"({cov['xx']} * {cov['zz']} - {cov['xz']} * {cov['xz']})"
+        slopes = (f"({cov['xy']} * {cov['zz']} - {cov['zy']} * {cov['xz']}) / {det} AS bx, "
+                  f"({cov['zy']} * {cov['xx']} - {cov['xy']} * {cov['xz']}) / {det} AS bz")
+    return (f"SELECT {len(names)} AS size, {list(names)!r} AS features, avg(1 - (yy - 2 * (c * y + bx * xy + bz * zy) + n * c * c + bx * bx * xx + bz * bz * zz "
+            f"+ 2 * (c * bx * x + c * bz * z + bx * bz * xz)) / (yy - y * y / n)) AS score FROM (SELECT *, (ty - bx * tx - bz * tz) / tn AS c FROM ("
+            f"SELECT *, {slopes} FROM (SELECT *, {tr} FROM (SELECT {fold} FROM w GROUP BY fold))))")
+
+
+_WRAP_CTE = (f"WITH {FEAT_CTE}, w AS (SELECT {hsql(42, 'l_orderkey * 8 + line_id')} % 5 AS fold, y, " + ", ".join(_WRAP) + " FROM fe WHERE "
+             + " AND ".join(f"{c} IS NOT NULL" for c in _WRAP) + "), sc AS ("
+             + _union([_subset_score_sql(s) for k in (1, 2) for s in itertools.combinations(_WRAP, k)]) + "), ")
+
+
+def _wrap(spark, sf):
+    return feats(spark, sf).withColumn("row_no", F.col("l_orderkey") * 8 + F.col("line_id"))
+
+
+@query("i13_exhaustive_selection", _WRAP_CTE + """b AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY round(score, 9) DESC, features) AS r FROM sc)
+SELECT size, features, round(score, 6) + 0.0 AS score, row_number() OVER (ORDER BY round(score, 9) DESC, size) = 1 AS selected FROM b WHERE r = 1""")
+def i13e(spark, sf):
+    return W.select_features(_wrap(spark, sf), "row_no", _WRAP, "y", "efs", k=2).withColumn("score", r6(F.col("score")))
+
+
+_FORWARD = _WRAP_CTE + """one AS (SELECT * FROM sc WHERE size = 1 ORDER BY round(score, 9) DESC, features LIMIT 1),
+two AS (SELECT sc.* FROM sc, one WHERE sc.size = 2 AND list_contains(sc.features, one.features[1]) ORDER BY round(sc.score, 9) DESC, sc.features LIMIT 1)
+SELECT size, features, round(score, 6) + 0.0 AS score, size = 2 AS selected FROM (FROM one UNION ALL FROM two)"""
+
+
+@query("i13_sequential_forward", _FORWARD)
+def i13s(spark, sf):
+    return W.select_features(_wrap(spark, sf), "row_no", _WRAP, "y", "sfs", k=2).withColumn("score", r6(F.col("score")))
+
+
+@query("i13_floating_forward", _FORWARD)  # with two columns nothing floats out
+def i13f(spark, sf):
+    return W.select_features(_wrap(spark, sf), "row_no", _WRAP, "y", "sffs", k=2).withColumn("score", r6(F.col("score")))
+
+
+@query("i13_floating_backward")
+def i13b(spark, sf):
+    return W.select_features(_wrap(spark, sf), "row_no", FEATS, "y", "sbfs", k=3).withColumn("score", r6(F.col("score")))
+
+
+@query("i13_rfe", "WITH " + FEAT_CTE + """, w AS (SELECT l_quantity AS x, price_unit AS z, y FROM fe),
+b AS (SELECT (covar_pop(x, y) * var_pop(z) - covar_pop(z, y) * covar_pop(x, z)) / (var_pop(x) * var_pop(z) - covar_pop(x, z) ** 2) AS bx,
+  (covar_pop(z, y) * var_pop(x) - covar_pop(x, y) * covar_pop(x, z)) / (var_pop(x) * var_pop(z) - covar_pop(x, z) ** 2) AS bz FROM w)
+SELECT 'l_quantity' AS feature, CASE WHEN abs(bx) >= abs(bz) THEN 1 ELSE 2 END AS ranking, abs(bx) >= abs(bz) AS selected FROM b
+UNION ALL SELECT 'price_unit', CASE WHEN abs(bx) < abs(bz) THEN 1 ELSE 2 END, abs(bx) < abs(bz) FROM b""")
+def i13r(spark, sf):
+    return W.recursive_elimination(_wrap(spark, sf), "row_no", ["l_quantity", "price_unit"], "y", k=1)
+
+
+@query("i13_rfecv")
+def i13rcv(spark, sf):
+    return W.recursive_elimination(_wrap(spark, sf), "row_no", FEATS, "y", folds=5)
+
+
 @query("i13_forward_selection")
 def i13(spark, sf):
     d = _key(feats(spark, sf))
