@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_bucket, hash_unit
+from ..functions.linear import gram
+from ..functions.stats import quantiles
 from ..session import cut_lineage
 from . import neighbors
 from .metrics import poisson1
@@ -105,36 +108,114 @@ def truncated_svd(df: DataFrame, vec_col: str, k: int = 5) -> list[float]:
     return [float(s) for s in svd.s.toArray()]
 
 
-def lda_topics(df: DataFrame, text_col: str, k: int = 5, vocab: int = 2000, max_iter: int = 10,
-               seed: int = 42, top_terms: int = 8) -> DataFrame:
-    """J08 LDA topics over word counts (CountVectorizer + online LDA)."""
+def lda_topics(df: DataFrame, text_col: str, k: int = 5, vocab: int | None = None, max_iter: int = 10,
+               seed: int = 42, top_terms: int = 8, min_docs: int = 1) -> DataFrame:
+    """J08 LDA topics over word counts (CountVectorizer + online LDA); all words
+    unless ``vocab`` or ``min_docs`` ask for fewer."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, RegexTokenizer
     tok = RegexTokenizer(inputCol=text_col, outputCol="w", pattern="[ \\t\\r\\n]+", toLowercase=True)
-    cv = CountVectorizer(inputCol="w", outputCol="features", vocabSize=vocab, minDF=2)
     words = tok.transform(df)
+    if vocab is None:
+        vocab = max(1, words.select(F.explode("w").alias("w")).distinct().count())
+    cv = CountVectorizer(inputCol="w", outputCol="features", vocabSize=vocab, minDF=float(min_docs))
     cvm = cv.fit(words)
     data = cvm.transform(words).select("features").cache()
     m = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(data)
     voc = cvm.vocabulary
-    t = m.describeTopics(top_terms)
+    t = m.describeTopics(top_terms).collect()  # k rows of top_terms words
     data.unpersist()
-    terms = F.transform("termIndices", lambda i: F.element_at(F.array(*[F.lit(w) for w in voc]), i + 1))
-    return t.select("topic", terms.alias("terms"), "termWeights")
+    rows = [(r["topic"], [voc[i] for i in r["termIndices"]], [float(v) for v in r["termWeights"]]) for r in t]
+    return df.sparkSession.createDataFrame(rows, "topic int, terms array<string>, termWeights array<double>")
 
 
-def nmf(df: DataFrame, id_col: str, vec_col: str, rank: int = 5, max_iter: int = 10, seed: int = 42) -> DataFrame:
-    """J08 NMF stand-in: ALS with non-negative factors on the long
-    (row, column, value) form of a non-negative matrix (|x| here)."""
-    from pyspark.ml.recommendation import ALS
-    long = df.select(F.col(id_col).cast("int").alias("r"), F.posexplode(F.col(vec_col)).alias("c", "x")).select(
-        "r", "c", F.abs(F.col("x").cast("double")).alias("x"))
-    m = ALS(rank=rank, maxIter=max_iter, regParam=0.01, nonnegative=True, userCol="r", itemCol="c",
-            ratingCol="x", seed=seed, coldStartStrategy="drop").fit(long)
-    pred = m.transform(long)
-    return pred.agg(F.count(F.lit(1)).alias("n_cells"),
-                    F.sqrt(F.avg((F.col("x") - F.col("prediction")) ** 2)).alias("rmse"),
-                    F.lit(rank).alias("rank"))
+def pca_fit(df: DataFrame, vec_col: str, k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, components (k × p, the greatest loading of each positive) and explained
+    variance ratios, from one pass of cross products; all components without ``k``."""
+    p = len(df.select(vec_col).first()[0])
+    v = F.col(vec_col).cast("array<double>")
+    _, mean, c = gram(df.select(*[v[i].alias(f"x{i}") for i in range(p)]), [f"x{i}" for i in range(p)])
+    values, vectors = np.linalg.eigh(c)
+    order = np.argsort(-values)[:k]
+    comps = vectors[:, order].T
+    comps *= np.sign(comps[np.arange(len(comps)), np.argmax(np.abs(comps), axis=1)])[:, None]
+    return mean, comps, np.maximum(values, 0)[order] / max(values.sum(), 1e-300)
+
+
+def _mapped(df: DataFrame, col: str, out: str, fn) -> DataFrame:
+    """Column ``out`` = fn(matrix of the vectors in ``col``), an Arrow batch at a time."""
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(list(fn(np.stack(s.to_numpy()).astype(float)))) if len(s) else s
+    return df.withColumn(out, run(F.col(col).cast("array<double>")))
+
+
+def pca_transform(df: DataFrame, vec_col: str, mean: np.ndarray, comps: np.ndarray, out: str = "pc") -> DataFrame:
+    return _mapped(df, vec_col, out, lambda x: (x - mean) @ comps.T)
+
+
+def pca_inverse(df: DataFrame, score_col: str, mean: np.ndarray, comps: np.ndarray, out: str = "restored") -> DataFrame:
+    """Vectors back from their scores; the nearest ones when components are left out."""
+    return _mapped(df, score_col, out, lambda s: s @ comps + mean)
+
+
+def nmf(df: DataFrame, id_col: str, vec_col: str, rank: int = 5, max_iter: int = 10, tol: float = 1e-4,
+        seed: int = 42) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """Non-negative factors W (id, w) and H (rank × p) of the vectors, and the
+    squared error after each half step, which never rises.
+
+    Coordinate updates: a row's w needs its vector, H and H Hᵀ only; the columns
+    of H need Wᵀ W and Wᵀ X, one aggregate of rank × (rank + p) numbers.  Stops
+    after ``max_iter`` rounds or when a round gains less than ``tol`` of the start.
+    Negative values are an error, as in any non-negative factorisation; ids may have
+    any type; each round is a checkpoint."""
+    from ..functions.linear import summed
+    x = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
+    row = x.agg(F.min(F.array_min("x")).alias("lo"), F.max(F.size("x")).alias("p"), F.avg(F.aggregate("x", F.lit(0.0), lambda s, v: s + v)).alias("s"),
+                F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("ss")).first()
+    if row["lo"] is None:
+        return x.select(F.col("id").alias(id_col), F.array().cast("array<double>").alias("w")), np.zeros((rank, 0)), []
+    if row["lo"] < 0:
+        raise ValueError("values must not be negative")
+    p, total = row["p"], float(row["ss"])
+    rng = np.random.default_rng(seed)
+    h = rng.random((rank, p)) * math.sqrt(max(row["s"] / p, 1e-12) / rank) + 1e-9
+    cur = cut_lineage(x.withColumn("w", F.array_repeat(F.lit(0.0), rank)))
+    losses: list[float] = []
+
+    def rows_step(cur, h):
+        g = h @ h.T
+
+        @F.pandas_udf("array<double>")
+        def step(x: pd.Series, w: pd.Series) -> pd.Series:
+            if not len(x):
+                return w
+            xh, w = np.stack(x.to_numpy()).astype(float) @ h.T, np.stack(w.to_numpy()).astype(float)
+            for j in range(rank):
+                if g[j, j] > 0:
+                    w[:, j] = np.maximum(0.0, w[:, j] + (xh[:, j] - w @ g[:, j]) / g[j, j])
+            return pd.Series(list(w))
+        return cut_lineage(cur.withColumn("w", step("x", "w")))
+
+    def products(cols):
+        x, w = cols
+        return np.concatenate([(w.T @ w).ravel(), (w.T @ x).ravel()])
+
+    for _ in range(max_iter):
+        cur = rows_step(cur, h)
+        flat = summed(cur.select("x", "w"), rank * (rank + p), products)
+        ww, wx = flat[:rank * rank].reshape(rank, rank), flat[rank * rank:].reshape(rank, p)
+
+        def loss():
+            return total - 2 * float((wx * h).sum()) + float((ww * (h @ h.T)).sum())
+        losses.append(loss())
+        for j in range(rank):
+            if ww[j, j] > 0:
+                h[j] = np.maximum(0.0, h[j] + (wx[j] - ww[j] @ h) / ww[j, j])
+        losses.append(loss())
+        if len(losses) > 2 and losses[-3] - losses[-1] <= tol * losses[0]:
+            break
+    return cur.select(F.col("id").alias(id_col), "w"), h, losses
 
 
 # ---------------------------------------------------------------- J09 / J10
@@ -416,6 +497,20 @@ def partial_dependence(df: DataFrame, cols: Sequence[str], feature: str, model,
     return one.select(F.inline(arr))
 
 
+def partial_dependence_2d(df: DataFrame, cols: Sequence[str], first: str, second: str, model, n_grid: int = 20,
+                          lo_q: float = 0.05, hi_q: float = 0.95) -> DataFrame:
+    """J14 for two features: the average prediction over all rows with both set to each
+    point of a grid over their quantile spans, one row of the grid a pass."""
+    q = {c: [r["q"] for r in quantiles(df, [c], [lo_q, hi_q]).orderBy("p").collect()] for c in (first, second)}
+    a, b = np.linspace(*q[first], n_grid), np.linspace(*q[second], n_grid)
+    rows = []
+    for i, u in enumerate(a):
+        variants = {f"g{j}": [F.lit(float(u)) if c == first else F.lit(float(v)) if c == second else F.col(c) for c in cols] for j, v in enumerate(b)}
+        one = _score_variants(df.select(*cols), cols, model, variants).agg(*[F.avg(f"pred_g{j}").alias(f"a{j}") for j in range(n_grid)]).first()
+        rows += [(i, j, float(u), float(v), one[f"a{j}"]) for j, v in enumerate(b)]
+    return df.sparkSession.createDataFrame(rows, "i int, j int, first_value double, second_value double, avg_prediction double")
+
+
 def ice(df: DataFrame, key: str, cols: Sequence[str], feature: str, model, n_samples: int = 50,
         n_grid: int = 20, seed: int = 42) -> DataFrame:
     """J14 ICE: curves of ``n_samples`` hash-sampled rows (the sample is the feature)."""
@@ -453,9 +548,90 @@ def bootstrap_interval(df: DataFrame, key: str, cols: Sequence[str], label: str,
                         pct(alpha / 2).alias("lower"), pct(1 - alpha / 2).alias("upper"))
 
 
+def quantile_regression(df: DataFrame, cols: Sequence[str], label: str, probs: Sequence[float], gap: float = 1e-3,
+                        max_iter: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Linear quantile regressors, (intercept, coefficients) per probability, and
+    the share of the loss that the duality gap leaves open.
+
+    Damped Newton steps on a pinball loss whose corner is rounded within ± h; gradient, Hessian
+    and losses of all probabilities come from one aggregate a step.  At the
+    optimum of the rounded loss its slopes are feasible for the dual problem, so
+    pinball loss − Σ slope · y bounds the error; h shrinks until that is less than
+    ``gap`` of the loss."""
+    from ..functions.linear import summed
+    names = [*cols, label]
+    n, means, c = gram(df, names)
+    k, p = len(probs), len(cols) + 1
+    if n == 0:
+        return np.full((k, p), np.nan), np.full(k, np.nan)
+    sd = np.sqrt(np.maximum(np.diag(c) / n, 0))
+    sd = np.where(sd > 0, sd, 1.0)
+    x = df.select(*[((F.col(v).cast("double") - F.lit(float(means[i]))) / F.lit(float(sd[i]))).alias(f"c{i}") for i, v in enumerate(names)])
+    x = cut_lineage(x.where(" and ".join(f"c{i} is not null and not isnan(c{i})" for i in range(len(names)))))
+    q = np.array(probs, float)
+    start, *_ = np.linalg.lstsq(c[:-1, :-1] / np.outer(sd[:-1], sd[:-1]), c[:-1, -1] / sd[:-1] / sd[-1], rcond=1e-12)
+    b = np.tile(np.concatenate([[0.0], start]), (k, 1))
+    size = 2 + p + p * p
+
+    def state(b, h):
+        def add(columns):
+            m = np.column_stack([np.ones(len(columns[0])), *columns[:-1]])
+            y, out = columns[-1], []
+            for t in range(k):
+                r = y - m @ b[t]
+                inside = np.abs(r) <= h[t]
+                slope = np.where(inside, r / (2 * h[t]) + q[t] - 0.5, np.where(r > 0, q[t], q[t] - 1))
+                smooth = np.where(inside, r * r / (4 * h[t]) + (q[t] - 0.5) * r + h[t] / 4, slope * r)
+                exact = np.where(r > 0, q[t] * r, (q[t] - 1) * r)
+                hess = m[inside].T @ m[inside] / (2 * h[t])
+                out += [[smooth.sum(), exact.sum() - float(slope @ r)], m.T @ slope, hess.ravel()]
+            return np.concatenate(out)
+        flat = summed(x, k * size, add).reshape(k, size)
+        return flat[:, 0], flat[:, 1], flat[:, 2:2 + p], flat[:, 2 + p:].reshape(k, p, p)
+
+    h, damp = np.full(k, 1.0), np.full(k, 1e-6)
+    now = state(b, h)
+    for _ in range(max_iter):
+        _, _, grad, hess = now
+        step = np.stack([np.linalg.solve(hess[t] + damp[t] * n * np.eye(p), grad[t]) for t in range(k)])
+        trial = b + step
+        new = state(trial, h)
+        good = new[0] <= now[0] + 1e-12 * np.abs(now[0])
+        b[good] = trial[good]
+        for old, fresh in zip(now, new):
+            old[good] = fresh[good]
+        damp = np.where(good, np.maximum(damp / 8, 1e-9), damp * 8)
+        # With the slopes' products with the columns near 0 the gap is what is open.
+        slack = np.abs(now[2]).max(axis=1) / n
+        left = np.abs(now[1]) / np.maximum(now[0], 1e-300)
+        if ((slack <= 1e-4) & (left <= gap)).all():
+            break
+        shrink = (slack <= 3e-3) & (left > gap)
+        if shrink.any():
+            h = np.where(shrink, h / 3, h)
+            now = state(b, h)
+    left = np.where(slack <= 1e-4, left, np.inf)
+    coef = b[:, 1:] / sd[:-1] * sd[-1]
+    return np.column_stack([b[:, 0] * sd[-1] + means[-1] - coef @ means[:-1], coef]), left
+
+
+def quantile_interval(df: DataFrame, key: str, cols: Sequence[str], label: str, alpha: float = 0.1) -> DataFrame:
+    """Median and the α/2 and 1 − α/2 quantile regressors of each row; bounds that
+    cross are put in order; rows without all features have nulls."""
+    b, _ = quantile_regression(df, cols, label, [alpha / 2, 0.5, 1 - alpha / 2])
+
+    def at(t):
+        v = F.lit(float(b[t, 0]))
+        for i, c in enumerate(cols):
+            v = v + F.col(c).cast("double") * F.lit(float(b[t, i + 1]))
+        return v
+    lo, mid, hi = at(0), at(1), at(2)
+    return df.select(key, label, mid.alias("prediction"), F.least(lo, hi).alias("lower"), F.greatest(lo, hi).alias("upper"))
+
+
 def conformal_interval(df: DataFrame, key: str, cols: Sequence[str], label: str, alpha: float = 0.1,
                        seed: int = 42) -> DataFrame:
-    """J15 stand-in for quantile regressors (no Spark learner): split
+    """split
     conformal — fit on one hash half, the (1−α) quantile of |residual| on
     the other half widens every prediction."""
     data = assemble(df.select(key, label, *cols).na.drop(), cols).withColumn("u", hash_unit(seed, F.col(key)))

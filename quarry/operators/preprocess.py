@@ -274,12 +274,10 @@ def target_encode_oof(df: DataFrame, cat: str, y: str, fold: str, smoothing: flo
 
 
 # ---------------------------------------------------------------- G13
-def fit_categories(df: DataFrame, col: str, max_categories: int = 10_000) -> list:
-    """Sorted distinct categories (bounded; refuses unbounded columns)."""
-    cats = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_categories + 1).collect()
-    if len(cats) > max_categories:
-        raise ValueError(f"{col}: more than {max_categories} categories; use target encoding or hashing")
-    return sorted(r[0] for r in cats)
+def fit_categories(df: DataFrame, col: str) -> list:
+    """Sorted distinct categories, as many as the one-hot form has columns;
+    ``ordinal_encode`` keeps them in a table instead."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
 def one_hot(col: str, cats: Sequence) -> list[Column]:
@@ -296,48 +294,90 @@ def ordinal(col: str, cats: Sequence) -> Column:
 
 
 # ---------------------------------------------------------------- G14 / G15
+# Settings by name, as users of the presets know them.
 PRESETS = {
-    "default": {"impute": "median", "clip": "iqr", "scale": "standard"},
-    "robust": {"impute": "median", "clip": "iqr", "scale": "robust"},
-    "normalized": {"impute": "mean", "clip": "none", "scale": "minmax"},
-    "minimal": {"impute": "mean", "clip": "none", "scale": None},
-    "tree_optimized": {"impute": "median", "clip": "none", "scale": None},
-    "neural": {"impute": "mean", "clip": "zscore", "scale": "standard"},
+    "default": {"impute": "median", "clip": "iqr", "scale": "standard", "encode": "onehot"},
+    "robust": {"impute": "median", "clip": "iqr", "scale": "robust", "encode": "onehot"},
+    "normalized": {"impute": "knn", "clip": "clip", "scale": "quantile", "encode": "onehot"},
+    "minimal": {"impute": "zero", "clip": "none", "scale": "none", "encode": "ordinal"},
+    "tree_optimized": {"impute": "median", "clip": "none", "scale": "none", "encode": "ordinal"},
+    "neural": {"impute": "knn", "clip": "clip", "scale": "quantile", "encode": "onehot"},
 }
 
 
-def preset(name: str) -> dict:
-    """Unknown names fall back to ``default``."""
-    return dict(PRESETS.get(name, PRESETS["default"]))
+def preset(name: str, **overrides) -> dict:
+    """A named setting, single parts replaced; unknown names fall back to ``default``."""
+    return {**PRESETS.get(name, PRESETS["default"]), **overrides}
 
 
 def smart_preprocess(df: DataFrame, types: Mapping[str, str], config: Mapping | None = None,
                      keep: Sequence[str] = ()) -> DataFrame:
-    """Per-type chains — continuous: impute → clip → scale;
-    integer_count: median impute; binary: mode impute; categorical: mode →
-    one-hot (sorted categories).  Other columns are dropped."""
-    cfg = dict(config or PRESETS["default"])
+    """Per-type chains — continuous: impute (mean, median, most_frequent, zero, or knn by
+    the first of ``keep`` as row id) → clip (iqr, zscore, clip at the 1st and 99th
+    percentile) → scale (standard, robust, minmax, power, quantile to a normal);
+    integer_count: median impute; binary: mode impute; categorical: mode → one-hot or
+    ordinal (sorted categories).  Other columns are dropped."""
+    cfg = {**PRESETS["default"], **(config or {})}
     cont = [c for c, t in types.items() if t == "continuous"]
     cnt = [c for c, t in types.items() if t == "integer_count"]
     binr = [c for c, t in types.items() if t == "binary"]
     cat = [c for c, t in types.items() if t == "categorical"]
     out = df.select(*keep, *cont, *cnt, *binr, *cat)
     if cont:
-        out = apply_imputer(out, fit_imputer(out, cont, cfg["impute"]), cont)
-        if cfg.get("clip") and cfg["clip"] != "none":
-            out = apply_clip(out, fit_clip(out, cont, cfg["clip"], 1.5 if cfg["clip"] == "iqr" else 3.0), cont)
-        if cfg.get("scale"):
+        out = _impute_continuous(out, cont, cfg["impute"], keep)
+        if cfg["clip"] in ("iqr", "zscore", "clip"):
+            method = {"clip": "percentile"}.get(cfg["clip"], cfg["clip"])
+            out = apply_clip(out, fit_clip(out, cont, method, 1.5 if method == "iqr" else 3.0), cont)
+        if cfg["scale"] == "quantile":
+            for c in cont:
+                out = apply_quantile_transform(out, c, fit_quantile_transform(out, c), "normal")
+        elif cfg["scale"] == "power":
+            for c in cont:
+                out = apply_yeo_johnson(out, c, fit_yeo_johnson(out, c))
+        elif cfg["scale"] not in (None, "none"):
             out = apply_scaler(out, fit_scaler(out, cont, cfg["scale"]), cont)
     if cnt:
         out = apply_imputer(out, fit_imputer(out, cnt, "median"), cnt)
-    if binr:
-        out = apply_imputer(out, fit_imputer(out, binr, "most_frequent"), binr)
+    for c in binr + cat:
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(most_frequent(out, c)).cast(out.schema[c].dataType)))
     for c in cat:
-        cats = fit_categories(out, c)
-        out = out.select(*[x for x in out.columns if x != c], *one_hot(c, cats))
+        if cfg["encode"] == "ordinal":
+            out = ordinal_encode(out, out.select(c), c)
+        else:
+            out = out.select(*[x for x in out.columns if x != c], *one_hot(c, fit_categories(out, c)))
     return out
 
 
+def _impute_continuous(df: DataFrame, cols: Sequence[str], method: str, keep: Sequence[str]) -> DataFrame:
+    if method != "knn":
+        strategy = {"zero": "constant"}.get(method, method)
+        return apply_imputer(df, fit_imputer(df, cols, strategy), cols)
+    if not keep:
+        raise ValueError("knn imputation needs a row id: name it first in keep")
+    out = df
+    for c in columns_with_missing(df, cols):
+        filled = knn_impute(df.select(keep[0], *cols), keep[0], c, [o for o in cols if o != c]).select(keep[0], F.col(c).alias("__f"))
+        out = out.join(filled, keep[0]).withColumn(c, F.col("__f")).drop("__f")
+    return out
+
+
+def most_frequent(df: DataFrame, col: str):
+    """The most frequent value (ties: the smallest); None without any."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
+    row = counts.agg(F.min_by(col, F.struct(-F.col("n"), F.col(col)))).first()
+    return row[0]
+
+
+def ordinal_encode(df: DataFrame, fitted: DataFrame, col: str) -> DataFrame:
+    """``<col>_ord`` instead of ``col``: place among the sorted values of ``fitted``, −1 if
+    not there or null; by a join, for any number of categories."""
+    from ..functions.stats import global_rank
+    values = fitted.select(F.col(col).alias("__c")).where(F.col("__c").isNotNull()).distinct()
+    rank = global_rank(values, ["__c"]).select("__c", (F.col("__rn") - 1).cast("int").alias("__o"))
+    return (df.join(rank, F.col(col) == F.col("__c"), "left").withColumn(f"{col}_ord", F.coalesce("__o", F.lit(-1)))
+            .drop("__c", "__o", col))
+
+
 # ---------------------------------------------------------------- G17 / G18
 def add_feature_noise(df: DataFrame, cols: Sequence[str], level: float = 0.01, seed: int = 42) -> DataFrame:
     """X + N(0, level·std_pop(x)) on float columns."""
@@ -381,34 +421,36 @@ def knn_impute(df: DataFrame, id_col: str, target: str, feature_cols: Sequence[s
 
 # ---------------------------------------------------------------- G04
 def iterative_impute(df: DataFrame, cols: Sequence[str], max_iter: int = 10, tol: float = 1e-3) -> DataFrame:
-    """Start from column means, then round-robin: each column with
-    missing values is re-predicted by a linear regression on the other
-    columns (fitted on its observed rows); stops after ``max_iter`` rounds
-    or when no imputed value moves more than ``tol`` (relative to the
-    column's spread).  Lineage is cut every round.  (Linear regression
-    stands in for BayesianRidge; documented difference.)"""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """Start from column means, then round-robin over the columns with missing
+    values, those with fewest first: each is predicted by a Bayesian ridge on
+    all other columns, fitted on its observed rows (cross products in one pass,
+    evidence maximised on the driver).  Stops after ``max_iter`` rounds or when no
+    value moves by more than ``tol`` times the greatest observed magnitude.  Lineage is
+    cut every round.  A column without any value stays as it is and is not used."""
+    from ..functions.linear import bayesian_ridge, gram
     from ..session import cut_lineage
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
-    miss = [c for c in cols if df.where(F.col(c).isNull()).limit(1).count() > 0]
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.max(F.abs(F.col(c).cast("double"))).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    used = [(i, c) for i, c in enumerate(cols) if row[f"m{i}"] is not None]
+    miss = [c for i, c in sorted(used, key=lambda t: (row[f"n{t[0]}"], t[0])) if row[f"n{i}"]]
+    names = [c for _, c in used]
+    if not miss or len(names) < 2:
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(row[f"m{i}"])) for i, c in used if c in miss})
+    least = tol * max(row[f"a{i}"] for i, _ in used)
     cur = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in miss})
-    cur = cur.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(means[c]))) for c in miss})
-    cur = cut_lineage(cur)
+    cur = cut_lineage(cur.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(row[f"m{i}"]))) for i, c in used if c in miss}))
     for _ in range(max_iter):
-        # previous round's values ride along as columns: the change is one aggregate
         cur = cur.withColumns({f"__p_{c}": F.col(c) for c in miss})
         for c in miss:
-            others = [o for o in cols if o != c]
-            data = VectorAssembler(inputCols=others, outputCol="__x").transform(cur)
-            m = LinearRegression(featuresCol="__x", labelCol=c).fit(data.where(~F.col(f"__m_{c}")))
-            cur = m.transform(data).withColumn(c, F.when(F.col(f"__m_{c}"), F.col("prediction")).otherwise(F.col(c))) \
-                .drop("__x", "prediction")
+            others = [o for o in names if o != c]
+            coef, intercept = bayesian_ridge(*gram(cur.where(~F.col(f"__m_{c}")), [*others, c]))
+            value = F.lit(intercept)
+            for o, b in zip(others, coef):
+                value = value + F.col(o) * F.lit(float(b))
+            cur = cur.withColumn(c, F.when(F.col(f"__m_{c}"), value).otherwise(F.col(c)))
         cur = cut_lineage(cur)
-        moved = cur.agg(*[F.max(F.abs(F.col(c) - F.col(f"__p_{c}")) / F.lit(float(spread[c] or 1.0))).alias(c)
-                          for c in miss]).first()
+        moved = cur.agg(*[F.max(F.abs(F.col(c) - F.col(f"__p_{c}"))).alias(c) for c in miss]).first()
         cur = cur.drop(*[f"__p_{c}" for c in miss])
-        if all((moved[c] or 0.0) <= tol for c in miss):
+        if max(moved) < least:
             break
     return cur.drop(*[f"__m_{c}" for c in miss])

@@ -687,39 +687,96 @@ def typed_profile(points: DataFrame, entity: str, pid: str, type_col: str, xyz:
 # ---------------------------------------------------------------- D16
 
 
+#: Cells of the move table that are held at once.
+_CELLS = 1 << 25
+
+
+def _codes(texts: Sequence[str], width: int, pad: int) -> np.ndarray:
+    out = np.full((len(texts), width), pad, np.int32)
+    for i, t in enumerate(texts):
+        out[i, :len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32)
+    return out
+
+
+def align_batch(a: Sequence[str], b: Sequence[str], match: int = 1, mismatch: int = -1, gap: int = -2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Needleman–Wunsch score, identity = matches / alignment length, and length of
+    pairs of texts, all pairs at once: the table is filled by anti-diagonals over
+    the padded batch, the moves are kept in a byte each (diagonal before up before
+    left), and all paths are walked back together."""
+    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    rows, width, height = np.arange(len(a)), int(n.max(initial=0)), int(m.max(initial=0))
+    x, y = _codes(a, width, -1), _codes(b, height, -2)
+    moves = np.zeros((len(a), width + 1, height + 1), np.uint8)
+    score = np.zeros(len(a), np.int64)
+    before, last = None, np.zeros((len(a), 1), np.int64)  # diagonals d - 2 and d - 1
+    lo_before = lo_last = 0
+    score[n + m == 0] = 0
+    for d in range(1, width + height + 1):
+        lo, hi = max(0, d - height), min(width, d)
+        i = np.arange(lo, hi + 1)
+        now = np.full((len(a), len(i)), np.iinfo(np.int64).min // 2)
+        move = np.zeros((len(a), len(i)), np.uint8)
+        left = i - lo_last  # cell (i, d - 1 - i)
+        ok = (left >= 0) & (left < last.shape[1]) & (i <= d - 1)
+        now[:, ok] = last[:, left[ok]] + gap
+        move[:, ok] = 3
+        up = i - 1 - lo_last  # cell (i - 1, d - i)
+        ok = (up >= 0) & (up < last.shape[1])
+        value = last[:, up[ok]] + gap
+        better = value >= now[:, ok]
+        now[:, ok] = np.where(better, value, now[:, ok])
+        move[:, ok] = np.where(better, 2, move[:, ok])
+        inner = (i >= 1) & (d - i >= 1)
+        if inner.any():
+            at, j = i[inner], d - i[inner]
+            same = x[:, at - 1] == y[:, j - 1]
+            value = before[:, at - 1 - lo_before] + np.where(same, match, mismatch)
+            better = value >= now[:, inner]
+            now[:, inner] = np.where(better, value, now[:, inner])
+            move[:, inner] = np.where(better, np.where(same, 1, 4), move[:, inner])
+        moves[:, i, d - i] = move
+        done = n + m == d
+        score[done] = now[done, n[done] - lo]
+        before, lo_before, last, lo_last = last, lo_last, now, lo
+    matches, length = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    i, j = n.copy(), m.copy()
+    while (todo := (i > 0) | (j > 0)).any():
+        step = moves[rows, i, j]
+        matches += todo & (step == 1)
+        length += todo
+        i -= todo & np.isin(step, (1, 2, 4))
+        j -= todo & np.isin(step, (1, 3, 4))
+    return score, np.where(length > 0, matches / np.maximum(length, 1), 0.0), length
+
+
 def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -2) -> tuple[int, float, int]:
-    """Needleman–Wunsch score, identity = matches / alignment length, length."""
-    n, m = len(a), len(b)
-    score = np.zeros((n + 1, m + 1), dtype=np.int64)
-    score[:, 0] = np.arange(n + 1) * gap
-    score[0, :] = np.arange(m + 1) * gap
-    for i in range(1, n + 1):
-        ai = a[i - 1]
-        for j in range(1, m + 1):
-            s = match if ai == b[j - 1] else mismatch
-            score[i, j] = max(score[i - 1, j - 1] + s, score[i - 1, j] + gap, score[i, j - 1] + gap)
-    i, j, matches, length = n, m, 0, 0
-    while i > 0 or j > 0:
-        if i > 0 and j > 0 and score[i, j] == score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            matches += int(a[i - 1] == b[j - 1])
-            i, j = i - 1, j - 1
-        elif i > 0 and score[i, j] == score[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-        length += 1
-    return int(score[n, m]), (matches / length if length else 0.0), length
+    """``align_batch`` of one pair."""
+    s, i, n = align_batch([a], [b], match, mismatch, gap)
+    return int(s[0]), float(i[0]), int(n[0])
 
 
 def alignment_udf(match: int = 1, mismatch: int = -1, gap: int = -2):
-    """Arrow-batched scorer for candidate pairs (the pairs come from a Spark join)."""
+    """Arrow-batched scorer for candidate pairs (the pairs come from a Spark
+    join).  Pairs of like sizes are aligned together, as many as _CELLS allow."""
     schema = T.StructType([T.StructField("score", T.LongType()), T.StructField("identity", T.DoubleType()),
                            T.StructField("length", T.LongType())])
 
     @F.pandas_udf(schema)
     def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        res = [global_alignment(x or "", y or "", match, mismatch, gap) for x, y in zip(a, b)]
-        return pd.DataFrame(res, columns=["score", "identity", "length"])
+        a, b = a.fillna("").to_numpy(), b.fillna("").to_numpy()
+        size = [(len(x) + 1, len(y) + 1) for x, y in zip(a, b)]
+        order = sorted(range(len(a)), key=lambda k: size[k])
+        out = np.zeros((len(a), 3))
+        while order:
+            k, w, h = 0, 0, 0
+            while k < len(order):
+                w2, h2 = max(w, size[order[k]][0]), max(h, size[order[k]][1])
+                if k and (k + 1) * w2 * h2 > _CELLS:
+                    break
+                w, h, k = w2, h2, k + 1
+            part, order = order[:k], order[k:]
+            out[part] = np.column_stack(align_batch(a[part], b[part], match, mismatch, gap))
+        return pd.DataFrame({"score": out[:, 0].astype(np.int64), "identity": out[:, 1], "length": out[:, 2].astype(np.int64)})
     return align
 
 

@@ -123,6 +123,15 @@ def repeated_kfold(df: DataFrame, key: str, k: int = 5, repeats: int = 10, seed:
     return x.withColumn("fold", hash_bucket(seed, seed_key, k).cast("int"))
 
 
+def repeated_stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Per repeat, each label's rows are dealt to the folds in turn, in an order by a
+    hash of repeat and key."""
+    x = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    x = x.withColumn("__h", hash_u32(seed, F.concat(F.col("repeat").cast("string"), F.lit(":"), F.col(key).cast("string"))))
+    r = global_rank(x, ["__h", key], ["repeat", label])
+    return r.withColumn("fold", F.pmod(F.col("__rn") - 1, F.lit(k)).cast("int")).drop("__h", "__rn", "__cum", "__n", "__wt")
+
+
 def shuffle_split(df: DataFrame, key: str, n_splits: int = 10, test_size: float = 0.2,
                   seed: int = 42) -> DataFrame:
     """Per split s, test if the seeded hash fraction < test_size."""

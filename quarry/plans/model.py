@@ -104,7 +104,19 @@ def j08l(spark, sf):
 
 @query("j08_nmf")
 def j08n(spark, sf):
-    return J.nmf(_emb(spark, sf), "vec_id", "embedding", rank=5, max_iter=5)
+    x = _emb(spark, sf).select("vec_id", F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("x"))
+    w, h, losses = J.nmf(x, "vec_id", "x", rank=5, max_iter=5)
+    cells = w.agg(F.count("*")).first()[0] * h.shape[1]
+    return w.agg(F.lit(cells).cast("long").alias("n_cells"), F.lit((losses[-1] / cells) ** 0.5 if cells else None).cast("double").alias("rmse"),
+                 F.lit(len(h)).alias("rank"))
+
+
+@query("j08_pca_inverse", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6) + 0.0) AS restored FROM embeddings")
+def j08i(spark, sf):
+    e = _emb(spark, sf)
+    mean, comps, _ = J.pca_fit(e, "embedding")
+    out = J.pca_inverse(J.pca_transform(e, "embedding", mean, comps), "pc", mean, comps)
+    return out.select("vec_id", F.transform("restored", lambda v: F.round(v, 6) + 0.0).alias("restored"))
 
 
 @query("j09_train_workflow")
@@ -195,6 +207,16 @@ def j14(spark, sf):
                       r6(F.col("avg_prediction")).alias("avg_prediction"))
 
 
+@query("j14_partial_dependence_2d", f"""WITH {_LIN},
+q AS (SELECT quantile_cont(x1, 0.05) AS lo1, quantile_cont(x1, 0.95) AS hi1, quantile_cont(x2, 0.05) AS lo2, quantile_cont(x2, 0.95) AS hi2 FROM t),
+g AS (SELECT i, j, lo1 + i * ((hi1 - lo1) / 5) AS a, lo2 + j * ((hi2 - lo2) / 5) AS b FROM q, range(0, 6) r(i), range(0, 6) s(j))
+SELECT i::INT AS i, j::INT AS j, round(a, 6) + 0.0 AS first_value, round(b, 6) + 0.0 AS second_value, round(b0 + b1 * a + b2 * b, 6) + 0.0 AS avg_prediction FROM g, beta""")
+def j14g(spark, sf):
+    d = _lin(spark, sf)
+    out = J.partial_dependence_2d(d, ["x1", "x2"], "x1", "x2", J.fit_linear(d, ["x1", "x2"], "y"), 6)
+    return out.withColumns({c: r6(F.col(c)) for c in ("first_value", "second_value", "avg_prediction")})
+
+
 @query("j14_ice")
 def j14i(spark, sf):
     d = _lin(spark, sf).withColumn("rk", F.concat_ws(":", "l_orderkey", "l_linenumber", "x1", "y"))
@@ -207,6 +229,11 @@ def j15(spark, sf):
     return J.bootstrap_interval(_feats_key(spark, sf), "row_key", XCOLS, "y", n_boot=20)
 
 
+@query("j15_quantile_interval")
+def j15q(spark, sf):
+    return J.quantile_interval(_feats_key(spark, sf), "row_key", XCOLS, "y")
+
+
 @query("j15_conformal_interval")
 def j15c(spark, sf):
     return J.conformal_interval(_feats_key(spark, sf), "row_key", XCOLS, "y")

@@ -237,6 +237,41 @@ def g14(spark, sf):
     return out.withColumns({c: r6(F.col(c)) for c in ("p_size", "p_retailprice")})
 
 
+def _g15(spark, sf, name):
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("p_size"),
+                                        F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("p_retailprice"),
+                                        F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("p_type"))
+    types = {"p_size": "continuous", "p_retailprice": "continuous", "p_type": "categorical"}
+    out = G.smart_preprocess(p, types, G.preset(name), keep=["p_partkey"])
+    return out.withColumns({c: r6(F.col(c)) for c in ("p_size", "p_retailprice")})
+
+
+def _g15_sql(fill: str) -> str:
+    return f"""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size::DOUBLE END AS p_size, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice::DOUBLE END AS p_retailprice,
+  CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS p_type FROM part),
+m AS (SELECT p_type AS top FROM p WHERE p_type IS NOT NULL GROUP BY p_type ORDER BY count(*) DESC, p_type LIMIT 1),
+c AS (SELECT DISTINCT p_type AS v FROM p WHERE p_type IS NOT NULL),
+o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM c)
+SELECT p_partkey, round(coalesce(p_size, {fill.format('p_size')}), 6) + 0.0 AS p_size, round(coalesce(p_retailprice, {fill.format('p_retailprice')}), 6) + 0.0 AS p_retailprice,
+  k::INT AS p_type_ord FROM p, m JOIN o ON o.v = coalesce(p.p_type, m.top)"""
+
+
+@query("g15_preset_minimal", _g15_sql("0.0"))
+def g15m(spark, sf):
+    return _g15(spark, sf, "minimal")
+
+
+@query("g15_preset_tree", _g15_sql("(SELECT quantile_cont({}, 0.5) FROM p)"))
+def g15t(spark, sf):
+    return _g15(spark, sf, "tree_optimized")
+
+
+@query("g15_preset_neural")
+def g15n(spark, sf):
+    return _g15(spark, sf, "neural")
+
+
 @query("g17_feature_noise")
 def g17(spark, sf):
     li = table(spark, sf, "lineitem").select(*_KEY, "l_extendedprice", "l_quantity")

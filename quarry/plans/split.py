@@ -92,6 +92,15 @@ def h07(spark, sf):
     return H.repeated_kfold(_orders(spark, sf), "o_orderkey", 5, 10, 42)
 
 
+@query("h07_repeated_stratified_kfold", f"""
+SELECT o_orderkey, o_orderstatus, CAST(rep AS INT) AS repeat, CAST((row_number() OVER (PARTITION BY rep, o_orderstatus
+  ORDER BY {hsql(42, "CAST(rep AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR)")}, o_orderkey) - 1) % 5 AS INT) AS fold
+FROM orders, range(0, 3) t(rep)""")
+def h07s(spark, sf):
+    o = _orders(spark, sf, "o_orderstatus")
+    return H.repeated_stratified_kfold(o, "o_orderkey", "o_orderstatus", 5, 3, 42)
+
+
 @query("h08_shuffle_split", f"""
 SELECT o_orderkey, CAST(s AS INT) AS split,
   CASE WHEN {hunit_sql(42, "CAST(s AS VARCHAR) || ':' || CAST(o_orderkey AS VARCHAR)")} < 0.2 THEN 'test' ELSE 'train' END AS role
