@@ -1,9 +1,10 @@
 """Operator 7: licence scan by an exact set-similarity join, in DataFrame
 functions only.
 
-Phrases are counted in every text.  Besides, text blocks are joined with licence
-templates by containment: lines, and all windows of as many words as the
-template has, whatever line breaks they hold.  Template tokens are ordered by
+Phrases are counted in every text.  Besides, all windows of as many words as a
+licence template has, whatever line breaks they hold, are joined with the
+templates by containment.  Words that tell a notice from others are required.
+Template tokens are ordered by
 their frequency in all documents, rarest first; a block that has enough of a
 template's tokens has one of the template's prefix tokens; blocks are joined on
 these, pass the length and positional filters and are verified exactly.
@@ -30,6 +31,9 @@ TEMPLATES = {
     "mit-notice": "released under the mit license",
     "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+#: Words without which a window is not the notice, whatever else it shares.
+REQUIRED = {"apache-2.0-notice": "apache", "cc-by-nc-4.0-notice": "cc nc", "gpl-3-notice": "gnu general public",
+            "mit-notice": "mit", "mpl-2.0-notice": "mozilla"}
 #: Least share of a template's tokens that a block must have, in percent.
 CONTAINMENT = 80
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,8 +93,9 @@ def _template_prefixes(norm: DataFrame, templates: dict[str, str], percent: int)
     return out
 
 
-def _blocks(docs: DataFrame, text_col: str, templates: dict[str, str], percent: int) -> DataFrame:
-    """(__k1, __k2, template, share): blocks that meet the containment."""
+def _blocks(docs: DataFrame, text_col: str, templates: dict[str, str], percent: int, required: dict[str, str]) -> DataFrame:
+    """(__k1, __k2, template, share): windows that meet the containment and have
+    all words that are required."""
     keys = row_key(F.col("doc"), F.col("raw"))
     d = docs.select(*keys, "raw", normal(F.col("raw")).alias("norm"))
     prefixes = _template_prefixes(d.select("norm"), templates, percent)
@@ -99,15 +104,9 @@ def _blocks(docs: DataFrame, text_col: str, templates: dict[str, str], percent:
     table = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(w).alias("token"), F.lit(name).alias("template"), F.lit(i).alias("place"), F.lit(n).alias("size"),
                  F.lit(need).alias("need"), F.array(*[F.lit(x) for x in sorted(set(templates[name].split()))]).alias("tokens"),
-                 F.lit(len(templates[name].split())).alias("length"))
+                 F.lit(len(templates[name].split())).alias("length"),
+                 F.array(*[F.lit(x) for x in sorted(set(required.get(name, "").split()))]).cast("array<string>").alias("asked"))
         for w, name, i, n, need in prefixes]))))
-    lines = (d.where(F.arrays_overlap(F.split("norm", " "), rare))
-             .select("__k1", "__k2", F.posexplode(F.split("raw", "\n")).alias("line", "block"))
-             .select("__k1", "__k2", "line", F.array_distinct(F.split(normal(F.col("block")), " ")).alias("w")))
-    found = (lines.select("*", F.explode(F.array_intersect("w", rare)).alias("token")).join(table, "token")
-             .where((F.size("w") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need"))))
-    share = F.size(F.array_intersect("w", "tokens")) / F.col("size")
-    by_line = found.withColumn("share", share).where(F.size(F.array_intersect("w", "tokens")) >= F.col("need"))
     # The words around each place of a prefix token hold all windows with it.
     # Exploded, so that the split is not repeated for each word.
     longest = max(len(t.split()) for t in templates.values())
@@ -118,28 +117,36 @@ def _blocks(docs: DataFrame, text_col: str, templates: dict[str, str], percent:
     near = words.select("__k1", "__k2", F.inline(F.transform(places, lambda h: F.struct(h["token"].alias("token"), F.slice(
         "words", F.greatest(h["i"] + 2 - longest, F.lit(1)), F.lit(2 * longest - 1)).alias("near")))))
     found = near.join(table, "token").where(F.size(F.array_intersect("near", "tokens")) >= F.col("need"))
-    most = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("length") + 1, F.lit(1))),
-                                   lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("length")), F.col("tokens")))))
+    found = found.where(F.size(F.array_except("asked", "near")) == 0)
+
+    def held(i):
+        window = F.slice("near", i, F.col("length"))
+        return F.when(F.size(F.array_except("asked", window)) == 0, F.size(F.array_intersect(window, F.col("tokens")))).otherwise(0)
+
+    most = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("length") + 1, F.lit(1))), held))
     by_window = found.withColumn("most", most).where("most >= need").withColumn("share", F.col("most") / F.col("size"))
-    out = by_line.select("__k1", "__k2", "template", "share")
-    return out.unionByName(by_window.select("__k1", "__k2", "template", "share"))
+    return by_window.select("__k1", "__k2", "template", "share")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 templates: dict[str, str] | None = None, percent: int = CONTAINMENT) -> DataFrame:
+                 templates: dict[str, str] | None = None, percent: int = CONTAINMENT,
+                 required: dict[str, str] | None = None) -> DataFrame:
     """Per document: ``id_col``, n_words, n_base (places of the phrases),
     first_word and last_word (their least and greatest start), base_labels,
-    labels (with the names of templates that a line or a window of the template's
-    length contains by ``percent``),
+    labels (with the names of templates of which a window of the template's length,
+    or a shorter text, has ``percent`` of the different words and all that are
+    ``required``),
     score (1 with a phrase, else the greatest containment that meets the
     threshold, else 0).
 
     Null texts are empty; a text without words has no places; ties among
     templates all count; repeated rows each give a row; an empty table gives
-    none; other columns are not read."""
-    templates = TEMPLATES if templates is None else templates
+    none; other columns are not read.  Of a very long text the words around each
+    prefix token are held at once, some 40 words a place."""
+    if templates is None:
+        templates, required = TEMPLATES, REQUIRED if required is None else required
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("raw"))
-    blocks = materialize(_blocks(src, text_col, templates, percent).groupBy("__k1", "__k2").agg(
+    blocks = materialize(_blocks(src, text_col, templates, percent, required or {}).groupBy("__k1", "__k2").agg(
         F.collect_set("template").alias("more"), F.max("share").alias("share")), "licence-blocks")
     norm = src.select(*row_key(F.col("doc"), F.col("raw")), F.col("doc"), normal(F.col("raw")).alias("norm"))
     base = _phrases(norm.withColumn("n_words", _words(F.col("norm")))).drop("norm")
