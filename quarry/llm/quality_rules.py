@@ -3,11 +3,13 @@ functions only.
 
 Base rules count words, symbols, repeated lines and repeated 5-word windows.
 Per language and source the minimum covariance determinant (MCD) estimate of
-transformed statistics is found by concentration steps: the three quarters of
+transformed statistics is found by concentration steps until they rest: the three quarters of
 the rows with the least Mahalanobis distance give the next mean and covariance.
 All sums are grouped aggregates; the quarter is cut on a histogram of distances,
 so that no group is gathered or sorted.  A last step reweights with the rows
-inside the 97.5 % ellipsoid.  Rows outside a very wide ellipsoid are rejected.
+inside the 97.5 % ellipsoid.  Rows outside the
+ellipsoid that RATE of normal rows leave are rejected; symbols, repeated lines and word
+length can do so alone.
 """
 
 from __future__ import annotations
@@ -23,15 +25,20 @@ from .common import materialize
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("f1", "f2", "f3", "f4")
-#: Least spread of each statistic: below it, differences are of no interest.
-FLOOR = (0.15, 0.60, 0.60, 0.03)
+#: Least spread of each statistic, about what counting makes of it in texts of some
+#: hundred words: one symbol, repeated line or repeated passage more or less, a tenth of a
+#: word length.  The base rule leaves repeated words so little room that they
+#: reject a row together with other statistics only.
+FLOOR = (0.25, 0.30, 0.30, 0.10)
 #: Rows of a (language, source) group that has an estimate of its own; rows of
 #: smaller groups share one.
 OWN_GROUP = 60
-SHARE, STEPS = 0.75, 3
-#: Squared distance beyond which a row is rejected; a normal vector of four
-#: statistics exceeds it once in several hundred million.
-CUTOFF = 45.0
+SHARE = 0.75
+#: Change of an estimate at which concentration has come to rest, and steps at most.
+REST, STEPS = 1e-3, 30
+#: Share of normal rows that are rejected: it sets the squared distance beyond which
+#: a row goes.
+RATE = 5e-6
 
 
 def _chi2(x: float, k: int) -> float:
@@ -146,14 +153,19 @@ def estimates(rows: DataFrame) -> DataFrame:
                          *[F.lit(FLOOR[i - 1] if i == j else 0.0).alias(f"l{i}{j}")
                            for i in range(1, p + 1) for j in range(1, i + 1)])
     now = materialize(start, "mcd")
-    for step in range(STEPS + 1):
+    for _ in range(STEPS):
         d = rows.join(now, "g").select("g", *FEATURES, _distance(rows).alias("d"))
-        if step < STEPS:
-            cut = _below(d, F.log1p("d"), 64, SHARE, "cut")
-            d = d.join(cut, "g").where(F.floor(F.log1p("d") * 64) / 64 < F.col("cut"))
-            now = materialize(_moments(d, _consistent(SHARE)), "mcd")
-        else:
-            now = materialize(_moments(d.where(F.col("d") <= _quantile(0.975, p)), _consistent(0.975)), "mcd")
+        cut = _below(d, F.log1p("d"), 64, SHARE, "cut")
+        d = d.join(cut, "g").where(F.floor(F.log1p("d") * 64) / 64 < F.col("cut"))
+        new = materialize(_moments(d, _consistent(SHARE)), "mcd")
+        names = [c for c in now.columns if c != "g"]
+        moved = new.join(now.toDF("g", *[f"{c}_" for c in names]), "g").agg(
+            F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_")) for c in names]))).first()[0]
+        now = new
+        if moved is None or moved < REST:
+            break
+    d = rows.join(now, "g").select("g", *FEATURES, _distance(rows).alias("d"))
+    now = materialize(_moments(d.where(F.col("d") <= _quantile(0.975, p)), _consistent(0.975)), "mcd")
     return now
 
 
@@ -168,10 +180,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
     d = d.join(sizes, ["lang", "source"], "left").withColumn(
         "g", F.when(F.col("k") >= OWN_GROUP, F.to_json(F.struct("lang", "source"))).otherwise("*"))
     d = materialize(d.drop("k"), "grouped")
+    cutoff = _quantile(1 - RATE, len(FEATURES))
     fit = estimates(d.where("not base_failed").select("g", *FEATURES))
     d = d.join(fit, "g", "left")
     return d.withColumn("distance", _distance(d)).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF))
+        "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -182,7 +195,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or empty text has no words and fails the base rules.  Null languages
     and sources form groups like any value; groups of fewer than OWN_GROUP rows
     share an estimate.  Repeated rows each give a row; an empty table gives
-    none; only the four named columns are read."""
+    none; only the four named columns are read.  A very long text is held whole,
+    with a hash for each of its words and windows."""
     d = _judged(docs, id_col, text_col, lang_col, source_col)
     return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept", "distance")
