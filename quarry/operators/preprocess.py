@@ -4,6 +4,7 @@ pure projection, so transforms stay inside whole-stage codegen."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import bind_stats
-from ..functions.columns import is_missing
+from ..functions.columns import hash_u32, hash_unit, is_missing
 from ..functions.stats import quantiles
 
 
@@ -379,12 +380,16 @@ def ordinal_encode(df: DataFrame, fitted: DataFrame, col: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- G17 / G18
-def add_feature_noise(df: DataFrame, cols: Sequence[str], level: float = 0.01, seed: int = 42) -> DataFrame:
-    """X + N(0, level·std_pop(x)) on float columns."""
+def add_feature_noise(df: DataFrame, cols: Sequence[str], level: float = 0.01, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """X + N(0, level·std_pop(x)) on float columns.  The normal numbers come from
+    hashes of ``key`` (the whole row without one), so that they do not depend on the
+    partitioning; rows of one key share them."""
+    k = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]) if key is None else key
     s = df.agg(*[F.stddev_pop(c).alias(c) for c in cols])
-    x = bind_stats(df, s, "_n")
-    return x.withColumns({c: F.col(c) + F.randn(seed + i) * F.col(f"_n.{c}") * level
-                          for i, c in enumerate(cols)}).drop("_n")
+    x = bind_stats(df.withColumn("__k", k), s, "_n")
+    noise = {c: F.sqrt(-2 * F.log((hash_u32(f"{seed}:{i}:r", F.col("__k")) + 1) / F.lit(4294967296.0)))
+             * F.cos(2 * math.pi * hash_unit(f"{seed}:{i}:a", F.col("__k"))) for i, c in enumerate(cols)}
+    return x.withColumns({c: F.col(c) + n * F.col(f"_n.{c}") * level for c, n in noise.items()}).drop("_n", "__k")
 
 
 def augment_rows(df: DataFrame, n: int, variant: Column) -> DataFrame:

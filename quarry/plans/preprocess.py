@@ -11,7 +11,7 @@ from ..operators import preprocess as G
 from ..operators import split as H
 from ..operators.validate import column_types
 from ..sources.tables import table
-from .common import LI_NULL_CTE, hsql, lineitem_nulls, r
+from .common import LI_NULL_CTE, hsql, hunit_sql, lineitem_nulls, r
 from .registry import query
 
 _IMP = ["l_discount", "l_tax"]
@@ -272,10 +272,19 @@ def g15n(spark, sf):
     return _g15(spark, sf, "neural")
 
 
-@query("g17_feature_noise")
+_NOISE_KEY = "l_orderkey || ':' || l_linenumber"
+
+
+def _noise_sql(c: str, i: int) -> str:
+    u, v = hsql(f"42:{i}:r", _NOISE_KEY), hunit_sql(f"42:{i}:a", _NOISE_KEY)
+    return f"round({c} + sqrt(-2 * ln(({u} + 1) / 4294967296.0)) * cos(2 * pi() * {v}) * (SELECT stddev_pop({c}) FROM lineitem) * 0.01, 6) + 0.0 AS {c}"
+
+
+@query("g17_feature_noise", f"SELECT l_orderkey, l_linenumber, {_noise_sql('l_extendedprice', 0)}, {_noise_sql('l_quantity', 1)} FROM lineitem")
 def g17(spark, sf):
     li = table(spark, sf, "lineitem").select(*_KEY, "l_extendedprice", "l_quantity")
-    return G.add_feature_noise(li, ["l_extendedprice", "l_quantity"], 0.01, 42)
+    out = G.add_feature_noise(li, ["l_extendedprice", "l_quantity"], 0.01, 42, F.concat_ws(":", *_KEY))
+    return out.withColumns({c: r6(F.col(c)) for c in ("l_extendedprice", "l_quantity")})
 
 
 @query("g17_augment_rows", "SELECT p_partkey, CAST(a AS INT) AS augment_id, p_name || '#' || CAST(a AS VARCHAR) AS variant "

@@ -55,8 +55,16 @@ def a04b(spark, sf):
     return bad.agg(F.count(F.lit(1)).alias("bad_lines"))
 
 
-def _jsonl(spark, sf):
-    e = table(spark, sf, "events")
+@query("a04_bad_line_numbers", "SELECT row_number() OVER (ORDER BY event_id) AS line_number, '{bad ' || event_id AS line FROM events "
+       "QUALIFY event_id % 13 = 0")
+def a04n(spark, sf):
+    # One file in the order of event_id, written by one task; the read may split it.
+    _, bad = _jsonl(spark, sf, lambda e: e.coalesce(1).sortWithinPartitions("event_id"))
+    return bad.select("line_number", "line")
+
+
+def _jsonl(spark, sf, order=lambda e: e):
+    e = order(table(spark, sf, "events"))
     # every 13th line is corrupted on purpose
     line = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("{bad "), F.col("event_id").cast("string"))) \
         .otherwise(F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", "),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,12 +62,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
                key_column: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines).  Lines are parsed with ``from_json`` in
     PERMISSIVE mode; a line that is not a JSON object lands in the error
-    frame with its file and text, good lines continue."""
+    frame with its file, line number (from 1, empty lines counted) and text, good
+    lines continue."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
-    raw = spark.read.text(path).select(F.col("value").alias("line"),
-                                       F.input_file_name().alias("file"))
-    raw = raw.where(F.length(F.trim("line")) > 0)
+    # The lines of a block of a file follow each other in its task.
+    every = spark.read.text(path).select(
+        F.col("value").alias("line"), F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"))
+    raw = every.where(F.length(F.trim("line")) > 0)
     bad_field = "__malformed"
     wide = T.StructType([*schema.fields, T.StructField(bad_field, T.StringType())])
     parsed = raw.withColumn("rec", F.from_json("line", wide, {"mode": "PERMISSIVE",
@@ -75,7 +78,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
     ok = (F.col("rec").isNotNull() & F.col(f"rec.{bad_field}").isNull()
           & F.trim("line").startswith("{") & F.trim("line").endswith("}"))
     good = parsed.where(ok).select("rec.*").drop(bad_field)
-    bad = parsed.where(~ok).select("file", "line", F.lit("invalid json").alias("error"))
+    # A row per block: as many as the scan has splits.
+    blocks = every.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__lines"))
+    w = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("__lines").over(w), F.lit(0)))
+    bad = (parsed.where(~ok).join(blocks, ["file", "__block"])
+           .select("file", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("line_number"), "line",
+                   F.lit("invalid json").alias("error")))
     return _require(good, key_column), bad
 
 

@@ -18,6 +18,21 @@ def test_malformed_json_lines_are_errors(spark, tmp_path):
     assert sorted(r["line"] for r in bad.collect()) == ["no json", '{"a": 2, oops}']
 
 
+def test_bad_lines_have_their_numbers_over_splits(spark, tmp_path):
+    lines = ["{oops" if i % 7 == 0 else "" if i % 5 == 0 else f'{{"a": {i}}}' for i in range(1, 4001)]
+    (tmp_path / "y.jsonl").write_text("\n".join(lines) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        _, bad = io.read_jsonl(spark, str(tmp_path / "y.jsonl"), "a int")
+        got = sorted(r["line_number"] for r in bad.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [i for i in range(1, 4001) if i % 7 == 0]
+
+
 def test_repeated_property_keeps_the_last(spark, tmp_path):
     (tmp_path / "x.sdf").write_text("one\n> <P>\n1\n\n> <Q>\n5\n\n> <P>\n2\n\n$$$$\n")
     row = io.read_records(spark, str(tmp_path / "x.sdf")).collect()[0]
