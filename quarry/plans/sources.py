@@ -212,7 +212,8 @@ def a17(spark, sf):
 
 
 @query("a18_feature_search", "SELECT 'customer_orders' AS \"group\", 'avg_order' AS name, 'double' AS dtype, "
-       "'mean order value' AS description")
+       "'mean order value' AS description, count(DISTINCT o_custkey) AS n_rows, "
+       "count(DISTINCT CASE WHEN o_totalprice IS NOT NULL THEN o_custkey END) AS n_values FROM orders")
 def a18(spark, sf):
     fs = S.FeatureStore(spark)
     fs.register("customer_orders", _customer_features(spark, sf), "id", {"avg_order": "mean order value"})

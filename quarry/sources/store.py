@@ -5,7 +5,8 @@ never over the path being read."""
 
 from __future__ import annotations
 
-import json
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,34 +103,60 @@ def join_tags(tags_col: str) -> F.Column:
 
 
 # ---------------------------------------------------------------- feature store
+class Catalog:
+    """A table of small rows that is only ever appended to: a folder of Parquet files
+    beside the data, so that any process that knows the folder can open the store."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, f"{schema}, at bigint"
+        spark.createDataFrame([], self.schema).write.mode("append").parquet(path)
+
+    def append(self, rows: list[tuple]) -> None:
+        at = time.time_ns()
+        self.spark.createDataFrame([(*r, at) for r in rows], self.schema).coalesce(1).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 class FeatureStore:
-    """Groups are parquet folders; definitions are a small table
-    derived from the schema plus user descriptions."""
+    """Groups are parquet folders; their definitions (schema, descriptions,
+    numbers of rows and values) are a catalog table, of which the last registration of
+    a group holds."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or scratch_path(spark, "features")
-        self._defs: dict[str, list[tuple[str, str, str]]] = {}
-        self._entity: dict[str, str] = {}
+        self._defs = Catalog(spark, f"{self.root}/definitions-catalog", '`group` string, place int, name string, dtype string, '
+                             'description string, entity string, path string, n_rows bigint, n_values bigint')
 
     def register(self, group: str, df: DataFrame, entity_column: str = "id",
                  definitions: dict[str, str] | None = None) -> str:
         if entity_column not in df.columns:
             raise ValueError(f"entity column '{entity_column}' missing")
-        path = f"{self.root}/{group}"
-        df.write.mode("overwrite").parquet(path)
+        # A folder of its own: readers of the last registration keep theirs.
+        path = f"{self.root}/{group}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        names = [f for f in df.schema.fields if f.name != entity_column]
+        n = self.spark.read.schema(df.schema).parquet(path).agg(F.count("*"), *[F.count(F.col(f"`{f.name}`")) for f in names]).first()
         definitions = definitions or {}
-        self._defs[group] = [(f.name, f.dataType.simpleString(), definitions.get(f.name, ""))
-                             for f in df.schema.fields if f.name != entity_column]
-        self._entity[group] = entity_column
+        self._defs.append([(group, -1, None, None, None, entity_column, path, n[0], None)] + [
+            (group, i, f.name, f.dataType.simpleString(), definitions.get(f.name, ""), entity_column, path, n[0], n[i + 1])
+            for i, f in enumerate(names)])
         return path
 
+    def _current(self) -> DataFrame:
+        every = self._defs.read()
+        last = every.groupBy("group").agg(F.max("at").alias("at"))
+        return every.join(last, ["group", "at"])
+
     def get(self, group: str, feature_names: Sequence[str] | None = None,
             entity_ids: DataFrame | None = None) -> DataFrame:
-        if group not in self._defs:
+        row = self._current().where(F.col("group") == group).select("entity", "path").first()
+        if row is None:
             raise KeyError(f"feature group '{group}' not found")
-        ent = self._entity[group]
-        df = self.spark.read.parquet(f"{self.root}/{group}")
+        ent = row["entity"]
+        df = self.spark.read.parquet(row["path"])
         if entity_ids is not None:
             df = df.join(entity_ids.select(F.col(entity_ids.columns[0]).alias(ent)), ent, "left_semi")
         if feature_names is not None:
@@ -138,15 +165,16 @@ class FeatureStore:
         return df
 
     def definitions(self, group: str | None = None) -> DataFrame:
-        rows = [(g, n, t, d) for g, lst in self._defs.items() for n, t, d in lst
-                if group is None or g == group]
-        return self.spark.createDataFrame(rows, "group string, name string, dtype string, description string")
+        rows = self._current().where("place >= 0")
+        if group is not None:
+            rows = rows.where(F.col("group") == group)
+        return rows.select("group", "name", "dtype", "description", "n_rows", "n_values")
 
     def search(self, text: str) -> DataFrame:
         return self.definitions().where(F.lower("name").contains(text.lower()))
 
     def list_groups(self) -> list[str]:
-        return sorted(self._defs)
+        return sorted(r[0] for r in self._defs.read().select("group").distinct().collect())
 
 
 # ---------------------------------------------------------------- versions
@@ -158,36 +186,38 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 
 class DataVersions:
-    """Snapshot folders v1, v2, … plus a catalog of versions."""
+    """Snapshot folders v1, v2, … and a catalog table of versions.  Two
+    processes cannot commit the same version: its folder must be new."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or scratch_path(spark, "versions")
-        self.catalog: dict[str, list[dict]] = {}
+        self._catalog = Catalog(spark, f"{self.root}/versions-catalog", "name string, version int, hash string, n_rows bigint, n_cols int, "
+                                "`schema` string, description string")
+
+    def _versions(self, name: str) -> DataFrame:
+        return self._catalog.read().where(F.col("name") == name)
 
     def commit(self, name: str, df: DataFrame, description: str = "") -> int:
         hrow = content_hash(df).first()
         digest = f"{hrow['n_rows']}:{hrow['h']}:{','.join(df.columns)}"
-        vers = self.catalog.setdefault(name, [])
-        if vers and vers[-1]["hash"] == digest:
-            return vers[-1]["version"]
-        v = len(vers) + 1
+        last = self._versions(name).orderBy(F.desc("version")).select("version", "hash").first()
+        if last and last["hash"] == digest:
+            return last["version"]
+        v = last["version"] + 1 if last else 1
         df.write.mode("errorifexists").parquet(f"{self.root}/{name}/v{v}")
-        vers.append({"version": v, "hash": digest, "n_rows": int(hrow["n_rows"]),
-                     "n_cols": len(df.columns), "schema": json.loads(df.schema.json()),
-                     "description": description})
+        self._catalog.append([(name, v, digest, int(hrow["n_rows"]), len(df.columns), df.schema.json(), description)])
         return v
 
     def checkout(self, name: str, version: int | None = None) -> DataFrame:
-        vers = self.catalog.get(name)
-        if not vers:
-            raise KeyError(name)
-        v = vers[-1]["version"] if version is None else version
+        found = self._versions(name) if version is None else self._versions(name).where(F.col("version") == version)
+        v = found.agg(F.max("version")).first()[0]
+        if v is None:
+            raise KeyError(name if version is None else f"{name} v{version}")
         return self.spark.read.parquet(f"{self.root}/{name}/v{v}")
 
     def list_versions(self, name: str) -> DataFrame:
-        rows = [(d["version"], d["n_rows"], d["n_cols"], d["description"]) for d in self.catalog.get(name, [])]
-        return self.spark.createDataFrame(rows, "version int, n_rows bigint, n_cols int, description string")
+        return self._versions(name).select("version", "n_rows", "n_cols", "description")
 
     def diff(self, name: str, v1: int, v2: int) -> DataFrame:
         return table_diff(self.checkout(name, v1), self.checkout(name, v2))

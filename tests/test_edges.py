@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stats import quantiles
 from quarry.operators import graph, metrics, model, preprocess, select, split, validate
-from quarry.sources import io
+from quarry.sources import io, store
 
 
 def test_malformed_json_lines_are_errors(spark, tmp_path):
@@ -33,6 +33,26 @@ def test_bad_lines_have_their_numbers_over_splits(spark, tmp_path):
     assert got == [i for i in range(1, 4001) if i % 7 == 0]
 
 
+def test_stores_are_there_for_a_second_process(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.0, None), (2, 3.0, "x")], "id int, a double, b string")
+    first = store.FeatureStore(spark, str(tmp_path / "f"))
+    first.register("g", df.limit(1), "id")
+    first.register("g", df, "id", {"a": "number"})
+    again = store.FeatureStore(spark, str(tmp_path / "f"))
+    assert again.list_groups() == ["g"] and again.get("g", ["b", "no"]).count() == 2
+    assert sorted(map(tuple, again.definitions("g").collect())) == [("g", "a", "double", "number", 2, 2), ("g", "b", "string", "", 2, 1)]
+    assert again.search("A").count() == 1
+    with pytest.raises(KeyError):
+        again.get("none")
+    one = store.DataVersions(spark, str(tmp_path / "v"))
+    assert (one.commit("t", df), one.commit("t", df.orderBy("a")), one.commit("t", df.where("id = 1"))) == (1, 1, 2)
+    two = store.DataVersions(spark, str(tmp_path / "v"))
+    assert two.checkout("t").count() == 1 and two.checkout("t", 1).count() == 2 and two.list_versions("t").count() == 2
+    assert two.commit("t", df.where("id = 1")) == 2
+    with pytest.raises(KeyError):
+        two.checkout("t", 9)
+
+
 def test_repeated_property_keeps_the_last(spark, tmp_path):
     (tmp_path / "x.sdf").write_text("one\n> <P>\n1\n\n> <Q>\n5\n\n> <P>\n2\n\n$$$$\n")
     row = io.read_records(spark, str(tmp_path / "x.sdf")).collect()[0]
