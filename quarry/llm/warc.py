@@ -2,8 +2,9 @@
 
 Archives are written by tasks as gzip members, one per record.  Captures are
 range-sorted by reversed-host URL key into compressed index blocks; a sparse
-directory has one row per block.  A look-up binary-searches the directory, then
-the block, then reads the record's byte range.  Files go to the shared folder;
+directory has one row per block.  A look-up takes a table of URLs: tasks
+binary-search their piece of the directory, then the block, then read the
+records' byte ranges.  Files go to the shared folder;
 only those that the written capture and directory tables name are ever read, so
 what a lost or repeated task leaves behind has no effect.
 """
@@ -29,21 +30,27 @@ from .common import materialize, slices
 LEAST = 100
 #: Captures in an index block.
 BLOCK = 1024
+#: Keys that cut the directory into the pieces which tasks search, and the
+#: characters of each: what a look-up broadcasts is no larger than these.
+FENCES, FENCE_CHARS = 4096, 256
 #: Bytes of an archive that one reading task takes.
 STRETCH = 16 << 20
 _HOST = re.compile(r"^(?:www\d*\.)")
 
 
 def url_key(url: str | None) -> str:
-    """Reversed-host key: http://www.a.example.org:80/x?y -> org,example,a)/x?y"""
+    """Reversed-host key: http://www.a.example.org:80/x?y -> org,example,a)/x?y
+
+    Tabs and line ends, which part an index block, are percent-encoded."""
     try:
         u = urlsplit((url or "").strip())
         host = _HOST.sub("", (u.hostname or "").lower())
         port = f":{u.port}" if u.port and u.port not in (80, 443) else ""
+        path = (u.path or "/") + (f"?{u.query}" if u.query else "")
+        key = ",".join(reversed(host.split("."))) + port + ")" + path
     except ValueError:
-        return ")" + (url or "")
-    path = (u.path or "/") + (f"?{u.query}" if u.query else "")
-    return ",".join(reversed(host.split("."))) + port + ")" + path
+        key = ")" + (url or "")
+    return key.replace("\t", "%09").replace("\n", "%0A")
 
 
 def _member(data: bytes) -> bytes:
@@ -85,8 +92,11 @@ def _new_file(folder: str, kind: str) -> str:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/warc-{uuid.uuid4().hex[:12]}"
+    """A new folder under the shared one, with the scheme of the file system
+    that Spark itself takes the shared folder's path to name."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    base = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    return re.sub(r"^file:/+", "file:///", base) + f"/warc-{uuid.uuid4().hex[:12]}"
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -148,7 +158,7 @@ def write_index(captures: DataFrame, folder: str, block: int = BLOCK) -> DataFra
 
         held: list[tuple] = []
         for b in slices(it, 4096):
-            held += [(k.replace("\t", "%09").replace("\n", "%0A"), *r) for k, *r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            held += zip(*(c.to_pylist() for c in b.columns), strict=True)
             while len(held) >= block:
                 yield put(held[:block])
                 held = held[block:]
@@ -170,30 +180,88 @@ def read_block(file: str, offset: int, length: int) -> list[list[str]]:
     return [line.split("\t") for line in raw.split("\n")[:-1]]
 
 
-def read_record(file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-    fs, path = _open(file)
-    with fs.open_input_file(path) as f:
-        return parse(f.read_at(length, offset))
+def fences(directory: DataFrame, most: int = FENCES) -> list[str]:
+    """Sorted keys, about ``most`` at most, that cut the directory into pieces of
+    like size: first keys of blocks, thinned by hash and cut to FENCE_CHARS."""
+    step = -(-max(1, directory.count()) // most)
+    rows = directory.where(F.pmod(F.xxhash64("first_key", "file", "offset"), F.lit(step)) == 0)
+    return sorted({r[0] for r in rows.select(F.substring("first_key", 1, FENCE_CHARS)).distinct().collect()})
 
 
-def lookup(directory: DataFrame, url: str) -> list[tuple[dict[str, str], bytes]]:
-    """Records of one URL: the directory's blocks whose key range holds it, a
-    binary search in each, then range reads."""
-    key = url_key(url)
-    out = []
-    for r in directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect():
-        lines = read_block(r["file"], r["offset"], r["length"])
-        at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-        while at < len(lines) and lines[at][0] == key:
-            out.append(read_record(lines[at][1], int(lines[at][2]), int(lines[at][3])))
-            at += 1
-    return out
+def lookup(directory: DataFrame, urls: DataFrame, url_col: str = "url", most: int = FENCES) -> DataFrame:
+    """Captures (file, offset, length) of all URLs of a table, each once however
+    often the table has its URL; URLs that the index lacks give none.
 
+    Keys and directory are dealt by the fences between which they lie.  A task
+    binary-searches its piece of the directory for each key, and blocks are read
+    once each and binary-searched for the keys that point there.  A block of one
+    key only needs no search: it is joined by this key, so a hot URL's blocks are
+    held by no task."""
+    cuts = fences(directory, most)
 
-def read_archives(directory: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Every capture of the index, read back from the archives: page_id, url,
-    payload_bytes, payload_digest, record_type, refers_to.  The digest of a
-    response is computed anew from its payload."""
+    def keys(it):
+        for b in slices(it, 4096):
+            k = list({url_key(u) for u in b.column(0).to_pylist()})
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([bisect.bisect_right(cuts, x) for x in k], pa.int32()), "key": pa.array(k, pa.string())})
+
+    def dealt(it):
+        for b in slices(it, 4096):
+            first, last = b.column(0).to_pylist(), b.column(1).to_pylist()
+            row, piece = [], []
+            for i, (x, y) in enumerate(zip(first, last, strict=True)):
+                for p in range(bisect.bisect_right(cuts, x), bisect.bisect_right(cuts, y) + 1):
+                    row.append(i)
+                    piece.append(p)
+            t = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), *t.columns], ["piece", "key", "last", "file", "offset", "length"])
+
+    def search(it):
+        at, first, rows = None, [], []
+        for b in slices(it, 4096):
+            out = []
+            for piece, key, last, *where in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if piece != at:
+                    at, first, rows = piece, [], []
+                if last is not None:  # blocks come before keys
+                    first.append(key)
+                    rows.append((last, where))
+                    continue
+                i = bisect.bisect_right(first, key) - 1
+                out += [(*w, key) for end, w in rows[max(0, i - 1):i + 1] if key <= end]
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(("file", "offset", "length", "key"), r, strict=True)) for r in out],
+                                                 pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("key", pa.string())]))
+
+    def captures(it):
+        held, lines = None, []
+        for b in slices(it):
+            out = []
+            for file, offset, length, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held != (file, offset):
+                    held, lines = (file, offset), read_block(file, offset, length)
+                i = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                while i < len(lines) and lines[i][0] == key:
+                    out.append(lines[i][1:])
+                    i += 1
+            if out:
+                yield pa.RecordBatch.from_pydict({"file": [x[0] for x in out], "offset": pa.array([int(x[1]) for x in out], pa.int64()),
+                                                  "length": pa.array([int(x[2]) for x in out], pa.int64())})
+
+    where = "file string, offset bigint, length bigint"
+    wanted = urls.select(F.col(url_col).cast("string")).mapInArrow(keys, "piece int, key string").distinct()
+    blocks = directory.select("first_key", "last_key", "file", "offset", "length")
+    mixed = blocks.where("first_key < last_key").mapInArrow(dealt, f"piece int, key string, last string, {where}")
+    both = mixed.unionByName(wanted, allowMissingColumns=True).select("piece", "key", "last", "file", "offset", "length")
+    found = (both.repartition("piece").sortWithinPartitions("piece", F.col("last").isNull(), "key")
+             .mapInArrow(search, f"{where}, key string"))
+    single = (blocks.where("first_key = last_key").withColumnRenamed("first_key", "key").join(wanted.select("key"), "key")
+              .select("file", "offset", "length", "key"))
+    return (found.unionByName(single).repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+            .mapInArrow(captures, where))
+
+
+def scan(directory: DataFrame) -> DataFrame:
+    """Captures (file, offset, length) of the whole index, block by block."""
 
     def captures(it):
         for b in slices(it, 16):
@@ -202,6 +270,15 @@ def read_archives(directory: DataFrame, id_type: str = "bigint") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"file": [x[1] for x in lines], "offset": pa.array([int(x[2]) for x in lines], pa.int64()),
                                                   "length": pa.array([int(x[3]) for x in lines], pa.int64())})
 
+    return (directory.select("file", "offset", "length").repartition("file", "offset")
+            .mapInArrow(captures, "file string, offset bigint, length bigint"))
+
+
+def read_records(captures: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """Captures read back from the archives by byte range: page_id, url,
+    payload_bytes, payload_digest, record_type, refers_to.  The digest of a
+    response is computed anew from its payload."""
+
     def records(it):
         name, f = None, None
         for b in slices(it):
@@ -225,9 +302,7 @@ def read_archives(directory: DataFrame, id_type: str = "bigint") -> DataFrame:
         if f is not None:
             f.close()
 
-    reads = (directory.select("file", "offset", "length").repartition("file", "offset")
-             .mapInArrow(captures, "file string, offset bigint, length bigint")
-             .withColumn("stretch", F.floor(F.col("offset") / STRETCH))
+    reads = (captures.withColumn("stretch", F.floor(F.col("offset") / STRETCH))
              .repartition("file", "stretch").sortWithinPartitions("file", "offset"))
     out = reads.mapInArrow(records, "page_id string, url string, payload_bytes bigint, payload_digest string, "
                                     "record_type string, refers_to string")
@@ -235,14 +310,15 @@ def read_archives(directory: DataFrame, id_type: str = "bigint") -> DataFrame:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write archives and index of ``pages`` and read all of it back: ``id_col``,
-    payload_bytes, payload_digest, record_type, refers_to.
+    """Write archives and index of ``pages`` and look all of its URLs up again:
+    ``id_col``, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload, a null url an empty target.  Rows that
     repeat the least id of a payload are all responses; a null id is a revisit
-    if an equal payload has an id.  An empty table writes nothing and gives no
-    rows; other columns are not read."""
+    if an equal payload has an id.  Texts of any length are written and read as
+    one record.  An empty table writes nothing and gives no rows; other columns
+    are not read."""
     folder = _folder(pages.sparkSession)
     directory = write_index(write_archives(pages, folder, id_col, url_col, html_col), folder)
-    return read_archives(directory, pages.schema[id_col].dataType.simpleString()).select(
+    return read_records(lookup(directory, pages, url_col), pages.schema[id_col].dataType.simpleString()).select(
         F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -29,15 +29,42 @@ def test_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def lookups(spark, directory, urls, **options):
+    df = spark.createDataFrame([(u, 1) for u in urls], "url string, key int")
+    return sorted((tuple(r) for r in W.read_records(W.lookup(directory, df, **options)).collect()), key=str)
+
+
 def test_lookup(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     folder = W._folder(spark)
     directory = W.write_index(W.write_archives(df, folder), folder, block=2)
     assert directory.count() >= 6
-    found = W.lookup(directory, "http://A.example/")
-    assert sorted(len(p) for _, p in found) == [5, 5, 300_000]
-    assert W.lookup(directory, "http://none.example/") == []
+    found = lookups(spark, directory, ["http://A.example/", "https://www.a.example/", "http://none.example/"])
+    assert [(r[0], r[2]) for r in found] == [(4, 5), (5, 5), (8, 300_000)]
+    assert lookups(spark, directory, ["http://none.example/", "zzz://q"]) == [] == lookups(spark, directory, [])
+    assert [r[0] for r in lookups(spark, directory, [None])] == [1, 9]
     assert W.url_key("http://www.a.example.org:80/x?y#z") == "org,example,a)/x?y"
+    assert W.url_key("http://[bad\tx\n") == ")http://[bad%09x%0A"
+    whole = sorted((tuple(r) for r in W.read_records(W.scan(directory)).collect()), key=str)
+    assert lookups(spark, directory, [r[1] for r in rows()]) == whole and len(whole) == len(rows())
+
+
+def test_lookup_equals_scan(spark):
+    """Hot keys over many blocks, borders inside a key, fences thinner than blocks."""
+    import random
+
+    rnd = random.Random(4)
+    urls = [rnd.choice(["http://hot.example/", f"http://h{rnd.randrange(9)}.example/{rnd.randrange(30)}", f"http://[{rnd.randrange(5)}\t\n"])
+            for _ in range(400)]
+    df = spark.createDataFrame([(i, u, "x", "k", None) for i, u in enumerate(urls)], SCHEMA)
+    folder = W._folder(spark)
+    directory = W.write_index(W.write_archives(df, folder), folder, block=3)
+    assert directory.where("first_key = last_key").count() > 20
+    ask = rnd.sample(sorted(set(urls)), 90) + ["http://hot.example/", "http://absent.example/", ""]
+    keys = {W.url_key(u) for u in ask}
+    want = sorted(i for i, u in enumerate(urls) if W.url_key(u) in keys)
+    for most in (4096, 7, 1):
+        assert sorted(r[0] for r in lookups(spark, directory, ask * 2, most=most)) == want
 
 
 def test_empty_table(spark):
