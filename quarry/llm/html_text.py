@@ -19,6 +19,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,50 +33,60 @@ from .suffix_dedup import mix, prefix_hash, span_hash, suffix_sort
 #: Least tokens of a run of whole blocks that is judged.
 RUN = 6
 #: Least share of a host's pages, and least number, that make a run of theirs
-#: boilerplate; near copies are one page.
-SHARE, PAGES = 0.1, 2
+#: boilerplate; near copies are one page.  Two pages may quote each other.
+SHARE, PAGES = 0.1, 3
 #: MinHash values of 5-token windows: pages that agree in a whole band are near
 #: copies (with a Jaccard similarity of 0.9 all but 1 pair in 10,000, of 0.5 6 %).
 BANDS, ROWS, SHINGLE = 16, 8, 5
 #: Bytes of a host's streams that one task sorts.
 CHUNK = 1 << 19
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A quote opens a value only after "="; one that never closes ends with the tag,
+# a tag that never closes with the page.  Possessive, so that no page is scanned twice.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?])[^>]*>?|"
+                  r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|[\"'][^>]*+|(?=>|\Z)))*+)(?:>|\Z)", re.S)
 _RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas title select".split())
 _DROP = frozenset("nav footer aside form dialog menu button".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
                     "span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CLOSES = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
-                    "section table ul".split())
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Words in class, id or role that mark parts which are no article text.
-_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|"
-                  r"masthead|site-header|page-header|cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|share\w*|"
-                  r"social|related|recommend\w*|comments?|disqus|replies|respond|login|search|navigation|complementary|contentinfo|"
-                  r"alert|hidden)(?:$|[\s_-])", re.I)
+_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|widget|footer|"
+                  r"masthead|site-header|page-header|cookie\w*|consent|gdpr|popup|modal|newsletter|subscribe|signup|"
+                  r"social|related|recommend\w*|comments?|disqus|replies|respond|login|navigation|complementary|contentinfo|"
+                  r"hidden)(?:$|[\s_-])", re.I)
+#: Words that do so only as a whole class name, or with a word for a piece of
+#: layout: "share-buttons" is such a part, "share-price" is not.
+_BAD_NAME = re.compile(r"(?:^|\s)(?:(?:site|page|post|article|top|bottom|left|right)[_-])?(?:side|notice|alert|share|shares|sharing)"
+                       r"(?:[_-](?:bar|box|block|button|buttons|col|column|container|icons?|inner|items?|left|links?|list|message|panel|right|"
+                       r"tools?|widget|wide|wrap|wrapper|\d+))*(?:$|\s)", re.I)
+#: The same for parts of a page that stand for themselves in an article.
+_BAD_OUTSIDE = re.compile(r"(?:^|[\s_-])search(?:$|[\s_-])", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?body|post-?content|entry-?content|main-?content|content|story|main)(?:$|[\s_-])", re.I)
 _WS = re.compile(r"\s+")
 
 
+@lru_cache(1 << 12)
 def _role(tag: str, attrs: str) -> str:
-    """'drop', 'article' or '' for an element."""
+    """'drop', 'outside' (to drop but in an article), 'article', 'header' or ''
+    for an element."""
     if tag in _DROP:
         return "drop"
-    if tag in ("article", "main"):
-        good = True
-    else:
-        good = False
+    good, outside = tag in ("article", "main"), False
     if attrs.strip():
         for name, *values in _ATTR.findall(attrs):
-            name, value = name.lower(), "".join(values)
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return "drop"
-            if name in ("class", "id", "role") and _BAD.search(value) and tag not in ("html", "body"):
+            name, value = name.lower(), html.unescape("".join(values))
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _UNSEEN.search(value)):
                 return "drop"
+            if name in ("class", "id", "role") and tag not in ("html", "body"):
+                if _BAD.search(value) or _BAD_NAME.search(value):
+                    return "drop"
+                outside = outside or bool(_BAD_OUTSIDE.search(value))
             if name in ("class", "id", "role", "itemprop") and _GOOD.search(value) and tag in ("div", "section", "td"):
                 good = True
-    return "article" if good else "header" if tag == "header" else ""
+    return "outside" if outside else "article" if good else "header" if tag == "header" else ""
 
 
 def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
@@ -84,6 +96,9 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
     plain: list[str] = []
     dropped: list[str] = []
     open_: list[tuple[str, str]] = []  # elements that change the role
+    names: Counter[str] = Counter()  # of these
+    forms: list[int] = []  # places of forms to drop among them
+    endless: set[str] = set()  # inline tags that are closed nowhere from here on
     held: list[str] = []
     deep = drop = at = 0
 
@@ -106,8 +121,11 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         if tag in _INLINE:
             if m[2] or not m[4]:
                 continue
-            if _role(tag, m[4]) == "drop" and (end := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
-                at = pos = end.end()
+            if tag not in endless and _role(tag, m[4]) == "drop":
+                if end := re.compile(rf"</{tag}\s*>", re.I).search(page, at):
+                    at = pos = end.end()
+                else:
+                    endless.add(tag)
             continue
         if tag in _RAW and not m[2]:
             if m[4].endswith("/"):
@@ -122,24 +140,30 @@ def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
         if tag in _VOID:
             continue
         if m[2]:
-            if any(t == tag for t, _ in open_):
+            if names[tag]:
                 while open_:
                     t, r = open_.pop()
+                    names[t] -= 1
+                    if forms and forms[-1] == len(open_):
+                        forms.pop()
                     deep -= r == "article"
                     drop -= r == "drop"
                     if t == tag:
                         break
         else:
             r = _role(tag, m[4])
-            if r == "header":
+            if r in ("header", "outside"):
                 r = "" if deep else "drop"
             if r == "article" and tag in ("article", "main"):  # a form that wraps the article is no part to drop
-                for i, e in enumerate(open_):
-                    if e == ("form", "drop"):
-                        open_[i] = ("form", "")
-                        drop -= 1
+                for i in forms:
+                    open_[i] = ("form", "")
+                    drop -= 1
+                forms.clear()
             if r or tag in ("div", "section", "header", "td", "ul", "ol", "dl", "table"):
+                if tag == "form" and r == "drop":
+                    forms.append(len(open_))
                 open_.append((tag, r))
+                names[tag] += 1
                 deep += r == "article"
                 drop += r == "drop"
     if at < len(page):
@@ -356,7 +380,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     blocks are joined by one space in page order.  The text is that of article
     containers, or of a page without one what stands outside of menus and the
     like, or if there is none the text of these; less runs of whole blocks that
-    SHARE of its host's pages have.  A null html has no text; pages without
+    SHARE of its host's pages have, PAGES at least.  A null html has no text; pages
+    of any length are read whole, in time linear in it; pages without
     host form a group of their own; near copies count as one page; an empty
     table gives no rows; other columns are not read."""
     kind = pages.schema[id_col].dataType.simpleString()

@@ -80,3 +80,34 @@ def test_container_is_judged_and_dropped_bodies_have_text(spark):
     assert [got[i] for i in range(5)] == [f"text number {i} of page n{i} stays here" for i in range(5)]
     assert got[10] == "text in a form" and got[11] == "text in a side"
     assert {got[20 + i] for i in range(5)} == {"one article that is copied on five pages of a host"}
+
+
+def test_quotes_in_tags():
+    assert H.blocks("<p class=a'b>Hello world</p><p title='x>y' a\"b=\"c>d\">z")[1] == ["Hello world", "z"]
+    assert H.blocks('<article><p title="a>text here</p><p>b</p></article>')[0] == ["text here", "b"]
+    assert H.blocks("<p>a</p><p>1 < 2 and b<3</p><p class='x")[1] == ["a", "1 < 2 and b<3"]
+    assert H.blocks("<div data-id='nav' title='class=nav'>kept</div><div CLASS = nav>gone</div>")[1:] == (["kept"], ["gone"])
+
+
+def test_parts_that_are_and_are_no_article_text():
+    got = H.blocks("<article><p>a</p><section class='search results'><p>found</p></section><div class='share-price'>12</div>"
+                   "<div class=share-buttons>x</div><div class='page-notice'>n</div><div style='color:red; display:none'>no</div><p hidden>h</p></article>")
+    assert got[0] == ["a", "found", "12"] and not got[1]
+    assert H.blocks("<div class=search>find</div><div>text</div>")[1:] == (["text"], ["find"])
+
+
+def test_time_is_linear_in_broken_pages():
+    import time
+
+    for part in ("<div>", "</p><div>", "<form><article>", "<span hidden>", "<a ", '<a href="', "<div class='a\" ", "<p", "</form><form><main>"):
+        start = time.time()
+        H.blocks(part * 40_000)
+        assert time.time() - start < 2, part
+
+
+def test_paragraph_that_two_pages_quote_stays(spark):
+    quote = "a paragraph of several words that two articles quote in full"
+    rows = [(i, f"http://h.example/{i}", page("<article>" + "".join(f"<p>own text {i} x{i * 7 + j} y{i * 11 + j} of the page</p>" for j in range(9))
+                                              + (f"<p>{quote}</p>" if i in (2, 5) else "") + "</article>")) for i in range(10)]
+    got = texts(spark, rows)
+    assert [quote in got[i][0] for i in range(10)] == [i in (2, 5) for i in range(10)]
