@@ -672,35 +672,56 @@ def attach(big: DataFrame, small: DataFrame, key: str, salts: int = 8) -> DataFr
     return b.join(sm, [key, "__salt"]).drop("__salt")
 
 
+#: Points of an entity up to which one window may hold them.
+ENTITY_POINTS = 100_000
+
+
 def usr_descriptor(points: DataFrame, entity: str, pid: str, xyz: Sequence[str]) -> DataFrame:
     """9 moments per point cloud — mean, population std and skewness
     (m3 / (std³ + 1e-9)) of the distances to the centroid, to the point
     farthest from it, and to the point farthest from that one (ties: the
-    smaller point id).  Per-entity statistics are partial aggregates
-    (a hot entity pre-aggregates map-side) attached back to the points by a
-    salted join; no window holds a whole entity."""
+    smaller point id).  Points are shuffled once, by entity, and all moments
+    are windows over it.  Entities of more than ``ENTITY_POINTS`` points
+    go apart: their statistics are partial aggregates (pre-aggregated
+    map-side) attached back to the points by a salted join."""
     x, y, z = (F.col(c).cast("double") for c in xyz)
     p = points.select(entity, pid, x.alias("x"), y.alias("y"), z.alias("z"))
+    # at most one row for every ENTITY_POINTS points
+    hot = cut_lineage(p.groupBy(entity).agg(F.count("*").alias("n")).where(F.col("n") > ENTITY_POINTS).select(entity))
+    if hot.isEmpty():
+        return _usr(p, entity, pid, _over)
+    one = _usr(p.join(F.broadcast(hot), entity, "left_anti"), entity, pid, _over)
+    return one.unionByName(_usr(p.join(F.broadcast(hot), entity, "left_semi"), entity, pid, _attached))
+
+
+def _over(p: DataFrame, entity: str, **stats: Column) -> DataFrame:
+    w = Window.partitionBy(entity)
+    return p.where(F.col(entity).isNotNull()).select("*", *[v.over(w).alias(k) for k, v in stats.items()])
+
+
+def _attached(p: DataFrame, entity: str, **stats: Column) -> DataFrame:
+    return attach(p, p.groupBy(entity).agg(*[v.alias(k) for k, v in stats.items()]), entity)
+
+
+def _usr(p: DataFrame, entity: str, pid: str, add) -> DataFrame:
+    """``add`` gives each point statistics of its entity."""
+    def dist(c):
+        return F.sqrt((F.col("x") - c["x"]) ** 2 + (F.col("y") - c["y"]) ** 2 + (F.col("z") - c["z"]) ** 2)
+
+    def farthest(d):
+        return F.max_by(F.struct("x", "y", "z"), F.struct(F.col(d), (-F.col(pid)).alias("o")))
 
-    def dist(cx, cy, cz):
-        return F.sqrt((F.col("x") - F.col(cx)) ** 2 + (F.col("y") - F.col(cy)) ** 2 + (F.col("z") - F.col(cz)) ** 2)
-
-    c = p.groupBy(entity).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz"))
-    p1 = attach(p, c, entity).withColumn("d1", dist("cx", "cy", "cz")).drop("cx", "cy", "cz")
-    f1 = p1.groupBy(entity).agg(F.max_by(F.struct(F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("z").alias("fz")),
-                                         F.struct("d1", (-F.col(pid)).alias("o"))).alias("f")).select(entity, "f.*")
-    p2 = attach(p1, f1, entity).withColumn("d2", dist("fx", "fy", "fz")).drop("fx", "fy", "fz")
-    f2 = p2.groupBy(entity).agg(F.max_by(F.struct(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz")),
-                                         F.struct("d2", (-F.col(pid)).alias("o"))).alias("f")).select(entity, "f.*")
-    p3 = attach(p2, f2, entity).withColumn("d3", dist("gx", "gy", "gz")).drop("gx", "gy", "gz")
-    m = p3.groupBy(entity).agg(*[F.avg(d).alias(f"m_{d}") for d in ("d1", "d2", "d3")])
-    p4 = attach(p3.select(entity, pid, "d1", "d2", "d3"), m, entity)
+    p = add(p, entity, cx=F.avg("x"), cy=F.avg("y"), cz=F.avg("z"))
+    p = p.withColumn("d1", dist({v: F.col(f"c{v}") for v in "xyz"})).drop("cx", "cy", "cz")
+    for near, d in (("d1", "d2"), ("d2", "d3")):
+        p = add(p, entity, f=farthest(near)).withColumn(d, dist(F.col("f"))).drop("f")
+    p = add(p.drop("x", "y", "z"), entity, **{f"m_{d}": F.avg(d) for d in ("d1", "d2", "d3")})
     aggs = []
     for d in ("d1", "d2", "d3"):
         dev = F.col(d) - F.col(f"m_{d}")
         aggs += [F.first(f"m_{d}").alias(f"{d}_mean"), F.sqrt(F.avg(dev * dev)).alias(f"{d}_std"),
                  F.avg(dev * dev * dev).alias(f"{d}_m3")]
-    g = p4.groupBy(entity).agg(*aggs)
+    g = p.groupBy(entity).agg(*aggs)
     names = []
     for d in ("d1", "d2", "d3"):
         g = g.withColumn(f"{d}_skew", F.col(f"{d}_m3") / (F.pow(f"{d}_std", 3) + F.lit(1e-9)))
