@@ -334,9 +334,11 @@ def best_match(q: DataFrame, d: DataFrame, q_id: str, d_id: str, tok_col: str =
     dn = cut_lineage(_nodes(d, d_id, tok_col))
     qn = dn if self_join else cut_lineage(_nodes(q, q_id, tok_col))
     freq = dn.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    # Tokens that only one set, or one side, has match nothing: they count in the size only.
+    freq = freq.where("df > 1") if self_join else freq.join(
+        qn.select(F.explode("toks").alias("tok")).distinct(), "tok", "left_semi")
     freq = cut_lineage(freq)
     ds = cut_lineage(_ordered(dn, freq))
-    # Tokens that no set of d has match nothing: they count in the size only.
     qs = ds if self_join else cut_lineage(_ordered(qn, freq).drop("n").join(
         qn.select("id", F.size("toks").alias("n")), "id"))
     c = F.col
@@ -362,7 +364,8 @@ def best_match(q: DataFrame, d: DataFrame, q_id: str, d_id: str, tok_col: str =
         return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "sim", "did")
 
     def prefix(rows: DataFrame, p: str, t: float) -> DataFrame:
-        size = c(f"{p}n") - F.ceil(c(f"{p}n") * F.lit(t) - F.lit(1e-9)) + 1
+        # Tokens left out would come first in the order.
+        size = F.greatest(F.size(f"{p}s") - F.ceil(c(f"{p}n") * F.lit(t) - F.lit(1e-9)) + 1, F.lit(0))
         return rows.select(f"{p}id", f"{p}n", F.explode(F.slice(f"{p}s", 1, size.cast("int"))).alias("e")).select(
             f"{p}id", f"{p}n", c("e.tok").alias("tok"))
 

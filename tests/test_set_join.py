@@ -64,3 +64,24 @@ def test_common_tokens_go_as_one(spark):
     x = S._rows(frame(spark, [(i, [*range(300), *range(1000 * i + 1000, 1000 * i + 1200)]) for i in range(8)]), "id", "toks")
     got = S._token_classes(x, None).collect()
     assert len(got) == 8 and {r["w"] for r in got} == {300}
+
+
+def test_best_match_orders_common_tokens_only(spark, monkeypatch):
+    """Tokens that one set or one side only has do not reach the joins."""
+    held, ordered = [], S._ordered
+
+    def watched(nodes, freq):
+        out = ordered(nodes, freq)
+        held.append(max(len(r["s"]) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(S, "_ordered", watched)
+    d = frame(spark, [(i, [1, 2 + i % 2, *range(100 * i + 100, 100 * i + 180)]) for i in range(6)])
+    q = frame(spark, [(0, [1, 2, 5000, 5001])])
+    assert found_best(S.best_match(q, d, "id", "id")) == [(0, 0, round(2 / 84, 9))]
+    assert found_best(S.best_match(d, d, "id", "id", self_join=True))[0] == (0, 2, round(2 / 162, 9))
+    assert held == [2, 2, 2]
+
+
+def found_best(df):
+    return sorted((r["qid"], r["did"], round(r["sim"], 9)) for r in df.collect())
