@@ -7,6 +7,7 @@ edges, and covariance-based methods ship a p×p inverse as literals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -49,13 +50,14 @@ def distance_ad(train: DataFrame, test: DataFrame, id_col: str, cols: Sequence[s
     """Z-scale on train, mean distance to the k nearest training rows
     (self excluded at fit); threshold = percentile of the training means;
     confidence 1 − ratio/2 clipped to [0.5, 1] inside, 1 − (ratio − 1)
-    clipped to [0, 1] outside.  ``compat_k_plus_1`` reproduces the
+    clipped to [0, 1] outside; at a threshold of 0, 1 inside and 0 outside.  ``compat_k_plus_1`` reproduces the
     reference's k+1 neighbours at predict time."""
     tr, te = _z(train, test, id_col, cols)
     fit = _mean_knn(tr, tr, id_col, k, True)
     thr = _percentile(fit, "distance", threshold_percentile / 100)
     pred = _mean_knn(te, tr, id_col, k + 1 if compat_k_plus_1 else k, False)
-    ratio = F.col("distance") / F.lit(thr)
+    # A threshold of 0 (training rows with k copies each) has nothing inside but copies.
+    ratio = F.when(F.col("distance") > 0, F.lit(math.inf)).otherwise(F.lit(0.0)) if thr == 0 else F.col("distance") / F.lit(thr)
     inside = F.col("distance") <= F.lit(thr)
     conf = F.when(inside, F.least(F.lit(1.0), F.greatest(F.lit(0.5), 1 - ratio * 0.5))).otherwise(
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - (ratio - 1))))

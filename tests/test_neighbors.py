@@ -151,3 +151,14 @@ def test_rows_without_features_have_defined_values(spark):
 def test_clustering_is_named(spark):
     with pytest.raises(ValueError):
         model.cluster(frame(spark, np.zeros((3, 2))), "id", "v", "auto")
+
+
+def test_a_threshold_of_zero_is_no_error(spark):
+    """Training rows with more than k copies each: their mean distance is 0."""
+    train = spark.createDataFrame([(i, float(i % 3), float(i % 2)) for i in range(60)], "id bigint, a double, b double")
+    test = spark.createDataFrame([(1, 2.0, 1.0), (2, 5.0, 9.0), (3, None, None)], "id bigint, a double, b double")
+    got = {r["id"]: r for r in J.distance_ad(train, test, "id", ["a", "b"]).collect()}
+    assert {r["threshold"] for r in got.values()} == {0.0}
+    assert [(got[i]["in_domain"], got[i]["confidence"]) for i in (1, 2, 3)] == [(True, 1.0), (False, 0.0), (False, 0.0)]
+    voted = {r["id"]: r["votes"] for r in J.vote([J.distance_ad(train, test, "id", ["a", "b"])], "id").collect()}
+    assert voted == {1: 1, 2: 0, 3: 0}
