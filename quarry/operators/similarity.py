@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,23 +50,32 @@ def token_id(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
 
 
+#: Bytes that part words, as blanks.
+_BLANKS = bytes.maketrans(b"\t\r\n", b"   ")
+
+
 def shingles(text: Column, n: int = 3) -> Column:
-    """Sorted distinct ids of the word n-grams of a text (a text shorter
-    than n words is one shingle; an empty text has none).  The n-grams are
-    built by zipping n shifted slices, so each text is split a constant
-    number of times (never once per position)."""
-    w = words(text)
-    if n == 1:
-        grams = w
-    else:
-        m = F.size(w) - (n - 1)
-        parts = [F.slice(w, i + 1, F.greatest(m, F.lit(1))) for i in range(n)]
-        grams = parts[0]
-        for p in parts[1:]:
-            grams = F.zip_with(grams, p, lambda x, y: F.concat(x, F.lit(" "), y))
-        grams = F.when(F.size(w) == 0, F.array().cast("array<string>")).when(
-            F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(grams)
-    return F.array_sort(F.array_distinct(F.transform(grams, token_id)))
+    """Sorted distinct ids (``token_id``) of the word n-grams of a text (a text shorter
+    than n words is one shingle; an empty text has none).  An Arrow batch of lower-cased
+    texts at a time: each different n-gram of a text is hashed once."""
+    @F.arrow_udf("array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids, ends, null = [], [0], []
+        for t in texts.cast(pa.binary()).to_pylist():
+            w = [] if t is None else [x for x in t.translate(_BLANKS).split(b" ") if x]
+            if len(w) < n:
+                grams = {b" ".join(w)} if w else set()
+            else:
+                grams = set(map(b" ".join, zip(*[w[i:] for i in range(n)])))
+            # The first 15 of 32 hex digits, as one big-endian number.
+            u = np.frombuffer(b"".join([md5(g).digest() for g in grams]), ">u8")[::2] >> 4
+            ids.append(np.unique(u.astype(np.int64)))
+            ends.append(ends[-1] + len(ids[-1]))
+            null.append(t is None)
+        values = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=pa.array(null, pa.bool_()))
+
+    return run(F.lower(text))
 
 
 # ---------------------------------------------------------------- D01
