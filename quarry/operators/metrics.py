@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.bind import bind_stats
-from ..functions.columns import hash_unit
 from ..functions.stats import distinct_value_ranks, global_rank, grouped_quantile, quantiles
 from ..session import cut_lineage
 
@@ -67,18 +66,31 @@ def poisson1(u: F.Column) -> F.Column:
     return expr.otherwise(out)
 
 
+def poisson1_of(h: F.Column) -> F.Column:
+    """``poisson1`` of the uniform of an md5 in hex (``hash_unit``), without a number parsed
+    from it: a uniform is under a bound when its digits sort before the bound's."""
+    cdf, term, expr = 0.0, math.exp(-1.0), None
+    for k in range(12):
+        cdf += term
+        less = h < F.lit(f"{math.ceil(cdf * 2.0 ** 32):08x}")
+        expr = F.when(less, F.lit(k)) if expr is None else expr.when(less, F.lit(k))
+        term /= (k + 1)
+    return expr.otherwise(F.lit(12))
+
+
 def bootstrap_ci(df: DataFrame, y: str, p: str, key: F.Column, n_boot: int = 100,
                  confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Poisson bootstrap of r2 and rmse.  Every row is paired with the
     replicate ids and weighted by a seeded Poisson(1) draw per (replicate,
     row); the per-replicate sums are partially aggregated map-side, so no
     resampled copy of the data is ever shuffled (B rows per task leave it)."""
-    x = df.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"), key.alias("__k"))
+    x = df.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"), key.cast("string").alias("__k"))
+    x = x.select("y", F.pow(F.col("y") - F.col("p"), 2).alias("e2"), "__k")
     x = x.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    w = poisson1(hash_unit(seed, F.concat(F.col("b").cast("string"), F.lit(":"), F.col("__k")))).cast("double")
-    e2 = F.pow(F.col("y") - F.col("p"), 2)
-    s = x.withColumn("w", w).groupBy("b").agg(
-        F.sum("w").alias("sw"), F.sum(F.col("w") * e2).alias("se"), F.sum(F.col("w") * F.col("y")).alias("sy"),
+    # a column of its own, so that each draw is hashed once
+    x = x.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("__k"))))
+    s = x.withColumn("w", poisson1_of(F.col("h")).cast("double")).groupBy("b").agg(
+        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("e2")).alias("se"), F.sum(F.col("w") * F.col("y")).alias("sy"),
         F.sum(F.col("w") * F.col("y") * F.col("y")).alias("sq"))
     reps = s.select("b", F.sqrt(F.col("se") / F.col("sw")).alias("rmse"),
                     (1 - F.try_divide(F.col("se"), F.col("sq") - F.col("sy") * F.col("sy") / F.col("sw"))).alias("r2"))
