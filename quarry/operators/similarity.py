@@ -763,44 +763,29 @@ def typed_profile(points: DataFrame, entity: str, pid: str, type_col: str, xyz:
     slot 60+m holds int(d/2) mod 10 of the m-th upper-triangle pair distance
     (points in id order, row-major), first ``n_dist`` pairs."""
     x, y, z = xyz
-    counts = points.groupBy(entity).pivot(type_col, list(types)).count()
-    # pair distances in row-major upper-triangle order need the point rank
+    counts = points.groupBy(entity).agg(F.array(*[
+        F.least(F.count_if(F.col(type_col) == F.lit(t)), F.lit(10)).cast("int") for t in types]).alias("counts"))
     # point order: id, then coordinates (ids need not be unique)
     w = Window.partitionBy(entity).orderBy(pid, "x", "y", "z")
     base = points.select(entity, pid, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
                          F.col(z).cast("double").alias("z"))
-    # only points ranked < 2·n_dist can take part in the first n_dist pairs: the
-    # constant bound lets Spark cut every group before the shuffle (group limit)
-    p = base.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= 2 * n_dist) \
-        .withColumn("i", F.col("__rn") - 1).drop("__rn")
-    npt = base.groupBy(entity).agg(F.count("*").alias("n"))
-    a = p.alias("a")
-    b = p.alias("b")
-    # only the first n_dist pairs are used: pairs (i, j) with i < j and row-major index < n_dist
-    # i is bounded by n_dist, so the pair join never grows beyond n_dist per entity
-    pa = a.where(F.col("i") < n_dist)
-    pr = pa.join(b, (F.col(f"a.{entity}") == F.col(f"b.{entity}")) & (F.col("b.i") > F.col("a.i"))
-                 & (F.col("b.i") <= F.col("a.i") + n_dist))
-    pr = pr.select(F.col(f"a.{entity}").alias(entity), F.col("a.i").alias("i"), F.col("b.i").alias("j"),
-                   F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2
-                          + (F.col("a.z") - F.col("b.z")) ** 2).alias("d"))
-    pr = pr.join(npt, entity).withColumn(
-        "m", F.col("i") * F.col("n") - F.col("i") * (F.col("i") + 1) / 2 + (F.col("j") - F.col("i") - 1))
-    pr = pr.where(F.col("m") < n_dist).withColumn("slot", (F.lit(60) + F.col("m")).cast("int")).withColumn(
-        "val", F.pmod(F.floor(F.col("d") / 2), F.lit(10)).cast("int"))
-    dist_map = pr.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.struct("slot", "val"))).alias("dm"))
-    prof = counts.join(dist_map, entity, "left")
-    slots = []
-    for s in range(n_bits):
-        if s < 10 * len(types):
-            c = F.coalesce(F.col(types[s // 10]), F.lit(0))
-            slots.append(F.least(c, F.lit(10)).cast("int"))
-        elif s < 60 + n_dist:
-            slots.append(F.coalesce(F.element_at(F.coalesce("dm", F.create_map().cast("map<int,int>")),
-                                                 F.lit(s)), F.lit(0)))
-        else:
-            slots.append(F.lit(0))
-    return prof.select(entity, F.array(*slots).alias("profile"))
+    # the first n_dist pairs are of the first n_dist + 1 points: the constant bound
+    # lets Spark cut every group before the shuffle (group limit)
+    first = base.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n_dist + 1)
+    first = first.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y", "z"))).alias("ps"))
+
+    def value(a: Column, b: Column) -> Column:
+        d = F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 + (a["z"] - b["z"]) ** 2)
+        return F.coalesce(F.pmod(F.floor(d / 2), F.lit(10)).cast("int"), F.lit(0))
+
+    pairs = F.flatten(F.transform("ps", lambda a: F.transform(F.slice("ps", a["i"] + 1, n_dist), lambda b: value(a, b))))
+    # counts of a seventh type and on take the slots of the first pairs
+    over = max(0, 10 * len(types) - 60)
+    first = first.select(entity, F.slice(F.slice(pairs, 1, n_dist), over + 1, n_dist).alias("vals"))
+    slots = F.concat(F.flatten(F.transform("counts", lambda c: F.array_repeat(c, 10))),
+                     F.array_repeat(F.lit(0), max(0, 60 - 10 * len(types))),
+                     F.coalesce("vals", F.array().cast("array<int>")), F.array_repeat(F.lit(0), n_bits))
+    return counts.join(first, entity, "left").select(entity, F.slice(slots, 1, n_bits).alias("profile"))
 
 
 # ---------------------------------------------------------------- D16
