@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, row_key, scratch, slices
+from .common import bucketed, materialize, row_key, scratch, short_batches, slices
 from .jaccard_sets import PARTS, parts, shingle_sets, signature, sketches
 
 #: Shingles in the table that orders them, at most.
@@ -234,8 +234,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, p
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    return materialize(pairs.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").select("u", "v", "x", "y")
-                       .mapInArrow(run, "u bigint, v bigint"), "links")
+    with short_batches(pairs.sparkSession):
+        return materialize(pairs.join(texts.toDF("u", "x"), "u").join(texts.toDF("v", "y"), "v").select("u", "v", "x", "y")
+                           .mapInArrow(run, "u bigint, v bigint"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,7 +264,8 @@ def link_classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
     src = docs.select(k1, k2, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     with scratch(docs.sparkSession, "sets", "classes-of-sets"):
-        scan = materialize(_scan(src, size), "sets")
+        with short_batches(docs.sparkSession):
+            scan = materialize(_scan(src, size), "sets")
         rows = scan.where("q is not null")
         return rows, materialize(_classes(src, scan, size, percent), "classes-of-sets")
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import jaccard_join as J
@@ -144,3 +145,18 @@ def test_sketches_differ_in_no_more_bits_than_sets():
         a, b = (sketches(np.frombuffer(parts(np.unique(s)), np.uint8).reshape(1, -1)) for s in (x, y))
         assert a.shape == (1, len(J.SKETCH))
         assert int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= len(np.setxor1d(x, y))
+
+
+def test_batches_are_short_inside_only(spark):
+    """Texts go to Python some MB at a time; the session's setting comes back."""
+    from quarry.llm.common import short_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    seen = spark.range(0, 5000, 1, 1).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long")
+    with short_batches(spark, 700):
+        assert max(r["n"] for r in seen.collect()) <= 700
+    assert spark.conf.get(key) == old
+    with pytest.raises(ZeroDivisionError), short_batches(spark):
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == old
