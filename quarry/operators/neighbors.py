@@ -8,7 +8,11 @@ nearer to q than max(d(q, p) - hi, lo - d(q, p)); nor is one nearer than the pla
 halfway between p and q's own pivot.  A query first searches its own
 cell, which bounds its k-th distance, and then just the cells that this bound
 does not exclude.  Cells are cut into blocks of bounded size; a task holds one
-block of each side.
+block of each side.  Vectors of more than WIDE features leave few cells out, so
+their cells and blocks are larger: a row is then sent to fewer of them.
+
+Euclidean distances are matrix products with a bound on their error; whatever that
+bound leaves undecided is computed from the differences.
 
 Only pivots and per-cell counts, at most PIVOTS rows, pass through the driver.
 """
@@ -28,6 +32,9 @@ from ..session import cut_lineage
 
 #: Points per pivot that are aimed at, pivots at most, points of a block at most.
 CELL_POINTS, PIVOTS, BLOCK_POINTS = 512, 4096, 2048
+#: Features from which on cells and blocks are larger, numbers of such a block at most,
+#: and parts of a table they are at least cut into.
+WIDE, WIDE_BLOCK, WIDE_PARTS = 16, 2_097_152, 8
 #: Pairs of null patterns that are joined one by one; beyond, all points are one cell.
 PATTERN_PAIRS = 64
 #: Cells of a distance table that are held at once.
@@ -58,6 +65,51 @@ def distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _squares(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Squared euclidean distances by one matrix product, and the greatest error of a
+    row's; None where a value is missing or too great for it."""
+    mid = d.mean(axis=0)
+    a, b = q - mid, d - mid
+    na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    most = na.max() + nb.max()
+    if not most < 1e300:
+        return None
+    sq = a @ b.T
+    sq *= -2.0
+    sq += na[:, None]
+    sq += nb[None, :]
+    return sq, 8 * (q.shape[1] + 8) * np.finfo(float).eps * (na + nb.max())
+
+
+def _each(q: np.ndarray, d: np.ndarray, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
+    """Euclidean distances of single pairs of rows, from their differences."""
+    out = np.empty(len(ii))
+    step = max(1, _TABLE // q.shape[1])
+    for s in range(0, len(ii), step):
+        diff = q[ii[s:s + step]] - d[jj[s:s + step]]
+        out[s:s + step] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
+
+
+def _within_eps(q: np.ndarray, d: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs have a euclidean distance, rounded to 9 digits, of at most ``eps``."""
+    found = _squares(q, d) if len(q) and len(d) else None
+    if found is None:
+        return _score(q, d, "euclidean") <= eps
+    sq, err = found
+    low, high = max(0.0, eps - 1e-9), max(0.0, eps + 1e-9)
+    close = sq <= (low * low * (1 - 1e-12) - err)[:, None]
+    ii, jj = np.nonzero(~close & (sq <= (high * high * (1 + 1e-12) + err)[:, None]))
+    close[ii, jj] = np.round(_each(q, d, ii, jj), 9) <= eps
+    return close
+
+
+def _tiles(q: np.ndarray, d: np.ndarray):
+    """Slices of q whose table of distances to d is held at once."""
+    step = max(1, _TABLE // max(1, len(d)))
+    return [slice(s, s + step) for s in range(0, len(q), step)]
+
+
 def _rescaled(metric: str, up):
     """What a distance over a share 1 / up of the features is multiplied by."""
     return np.sqrt(up) if metric == "euclidean" else up if metric == "manhattan" else np.ones_like(up)
@@ -125,21 +177,30 @@ class Space:
         return _unit(v, query) if self.metric == "cosine" else v * self.scale
 
     def far(self, v: np.ndarray) -> np.ndarray:
-        return distances(v, self.pivots, "euclidean" if self.metric == "cosine" else self.metric)
+        """Distances to the pivots, within a billionth of each."""
+        found = _squares(v, self.pivots) if self.metric in ("euclidean", "cosine") and len(v) else None
+        if found is None:
+            return distances(v, self.pivots, "euclidean" if self.metric == "cosine" else self.metric)
+        sq, err = found
+        ii, jj = np.nonzero(sq <= (err * 1e9)[:, None])
+        far = np.sqrt(np.maximum(sq, 0.0))
+        far[ii, jj] = _each(v, self.pivots, ii, jj)
+        return far
 
     def bounds(self, v: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest distance to the points of each cell; ``own`` is the
         nearest pivot.  In euclidean space a cell lies beyond the plane halfway
         between its pivot and the own one, too."""
         far = self.far(v)
-        least = np.maximum(np.maximum(far - self.hi, self.lo - far), 0.0)
+        slack = 2e-9
+        least = np.maximum(np.maximum(far * (1 - slack) - self.hi * (1 + slack), self.lo * (1 - slack) - far * (1 + slack)), 0.0)
         if self.metric in ("euclidean", "cosine"):
             cells, place = np.unique(own, return_inverse=True)
             apart = self.far(self.pivots[cells])[place]
             near = far[np.arange(len(v)), own][:, None]
-            plane = (far * far - near * near) / np.where(apart > 0, 2 * apart, np.inf)
+            plane = (far * far * (1 - 2 * slack) - near * near * (1 + 2 * slack)) / np.where(apart > 0, 2 * apart, np.inf)
             least = np.maximum(least, plane * (1 - 1e-9) - 1e-9)
-        return least, far + self.hi
+        return least, (far + self.hi) * (1 + slack)
 
 
 class Cells:
@@ -147,7 +208,11 @@ class Cells:
 
     def __init__(self, pts: DataFrame, metric: str, scale: float = 1.0, keep: list[int] | None = None, split: bool = True):
         self.spark, self.space = pts.sparkSession, Space(metric, scale, keep)
-        pivots = min(PIVOTS, max(1, math.ceil(pts.count() / CELL_POINTS))) if split else 1
+        n, width = pts.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+        width = width if keep is None else len(keep)
+        wide = max(BLOCK_POINTS, min(WIDE_BLOCK // width, math.ceil(n / WIDE_PARTS))) if width > WIDE else 0
+        self.block = wide or BLOCK_POINTS
+        pivots = min(PIVOTS, max(1, math.ceil(n / (wide or CELL_POINTS)))) if split else 1
         if pivots > 1:
             rows = pts.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
             self.space.pivots = self.space.embed(np.array([r["v"] for r in rows], float), False)
@@ -174,7 +239,7 @@ class Cells:
                     continue
                 v = space.embed(_vectors(b.column(len(names))), query)
                 cell, r = np.zeros(len(v), np.int32), np.zeros(len(v))
-                step = max(1, _TABLE // (v.shape[1] * len(pivots))) if pivots is not None else len(v)
+                step = max(1, _TABLE // (4 * len(pivots))) if pivots is not None else len(v)
                 for s in range(0, len(v), step) if pivots is not None else ():
                     far = space.far(v[s:s + step])
                     cell[s:s + step] = far.argmin(axis=1)
@@ -198,7 +263,7 @@ class Cells:
             v = _vectors(b.column(at["v"]))
             own = b.column(at["cell"]).to_numpy(zero_copy_only=False)
             top = None if radius is not None else b.column(at["top"]).to_numpy(zero_copy_only=False)
-            step = max(1, _TABLE // (v.shape[1] * len(sizes)))
+            step = max(1, _TABLE // (4 * len(sizes)))
             for s in range(0, len(v), step):
                 least, most = space.bounds(v[s:s + step], own[s:s + step])
                 if radius is not None:
@@ -241,7 +306,7 @@ class Cells:
         if not asked:
             return self.spark.createDataFrame([], schema)
         plan = F.broadcast(self.spark.createDataFrame(  # a row per cell: PIVOTS at most
-            [(int(c), max(1, math.ceil(n / BLOCK_POINTS)), max(1, math.ceil(int(self.space.n[c]) / BLOCK_POINTS))) for c, n in asked.items()],
+            [(int(c), max(1, math.ceil(n / self.block)), max(1, math.ceil(int(self.space.n[c]) / self.block))) for c, n in asked.items()],
             "cell int, __a int, __b int"))
 
         def blocks(df: DataFrame, mine: str, theirs: str) -> DataFrame:
@@ -257,27 +322,47 @@ class Cells:
 # ---------------------------------------------------------------- nearest neighbours
 
 
+def _candidates(q: np.ndarray, d: np.ndarray, need: int, metric: str, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that hold the ``need`` best of each row of q, with their scores; those of a
+    score above ``top`` may be left out."""
+    found = _squares(q, d) if metric == "euclidean" and need < len(d) else None
+    if found is None:
+        score = _score(q, d, metric)
+        cut = np.partition(score, need - 1, axis=1)[:, need - 1] if need < len(d) else np.full(len(q), np.inf)
+        ii, jj = np.nonzero((score <= cut[:, None]) & np.isfinite(score))
+        return ii, jj, score[ii, jj]
+    sq, err = found
+    cut = np.where(np.isnan(top), np.inf, top + 1e-9) * (1 + 1e-12)
+    close = sq <= (cut * cut * (1 + 1e-12) + err)[:, None]
+    if close.sum() > 16 * need * len(q):
+        # At least need pairs lie within the cut, whatever the error; 1e-9 for the rounding.
+        held = np.sqrt(np.maximum(np.partition(sq, need - 1, axis=1)[:, need - 1] + err, 0.0)) * (1 + 1e-12) + 1e-9
+        close = sq <= (np.minimum(cut, held) ** 2 * (1 + 1e-12) + err)[:, None]
+    ii, jj = np.nonzero(close)
+    return ii, jj, np.round(_each(q, d, ii, jj), 9)
+
+
 def _nearest_kernel(need: int, metric: str, bounded: bool, seen: Accumulator | None):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("rep")
         q, d = _vectors(left.column("v")), _vectors(right.column("v"))
         if not len(q) or not len(d):
-            ii, jj, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 0))
-            best = np.empty(0)
+            ii, jj, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         else:
             if seen is not None:
                 seen.add(len(q) * len(d))
-            score = _score(q, d, metric)
-            cut = np.partition(score, need - 1, axis=1)[:, need - 1] if need < len(d) else np.full(len(q), np.inf)
-            if bounded:
-                cut = np.fmin(cut, left.column("top").to_numpy().astype(float))
-            ii, jj = np.nonzero((score <= cut[:, None]) & np.isfinite(score))
-            # Of ties at the cut the smallest ids: need of them are enough.
-            order = np.lexsort((jj, score[ii, jj], ii))
-            ii, jj = ii[order], jj[order]
-            place = np.arange(len(ii)) - np.searchsorted(ii, ii)
-            ii, jj = ii[place < need], jj[place < need]
-            best = score[ii, jj]
+            parts = []
+            tops = left.column("top").to_numpy().astype(float) if bounded else np.full(len(q), np.nan)
+            for t in _tiles(q, d):
+                ii, jj, score = _candidates(q[t], d, need, metric, tops[t])
+                kept = ~(score > tops[t][ii])
+                ii, jj, score = ii[kept], jj[kept], score[kept]
+                # Of ties at the cut the smallest ids: need of them are enough.
+                order = np.lexsort((jj, score, ii))
+                ii, jj, score = ii[order], jj[order], score[order]
+                first = np.arange(len(ii)) - np.searchsorted(ii, ii) < need
+                parts.append((ii[first] + t.start, jj[first], score[first]))
+            ii, jj, best = (np.concatenate(x) for x in zip(*parts))
         return pa.table({"qrep": left.column("rep").take(pa.array(ii)), "drep": right.column("rep").take(pa.array(jj)),
                          "score": pa.array(best, pa.float64())})
     return run
@@ -385,10 +470,11 @@ def dense_radius(q: DataFrame, d: DataFrame, q_id: str, d_id: str, vec_col: str,
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = _vectors(left.column("v")), _vectors(right.column("v"))
-        score = _score(a, b, "euclidean") if len(a) and len(b) else np.empty((0, 0))
-        ii, jj = np.nonzero(score <= eps)
+        held = [np.nonzero(_within_eps(a[t], b, eps)) for t in _tiles(a, b)] if len(b) else []
+        ii = np.concatenate([np.empty(0, np.int64), *(i + t.start for (i, _), t in zip(held, _tiles(a, b)))])
+        jj = np.concatenate([np.empty(0, np.int64), *(j for _, j in held)])
         return pa.table({"qrep": left.column("rep").take(pa.array(ii)), "drep": right.column("rep").take(pa.array(jj)),
-                         "score": pa.array(score[ii, jj], pa.float64())})
+                         "score": pa.array(np.round(_each(a, b, ii, jj), 9), pa.float64())})
 
     found = _within(cells, qp.select("rep", "v"), eps, kernel, kinds)
     named_q = qv.join(qp.select(F.col("rep").alias("qrep"), "v"), "v").select(F.col("id").alias("qid"), "qrep")
@@ -443,36 +529,64 @@ def _near_kernel(eps: float):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             right = right.sort_by(column)  # the first point within eps has the least
             a, b = _vectors(left.column("v")), _vectors(right.column("v"))
-            close = _score(a, b, "euclidean") <= eps if len(a) and len(b) else np.zeros((len(a), 0), bool)
-            some = close.any(axis=1)
+            some, sums, first = np.zeros(len(a), bool), [], [np.empty(0, np.int64)]
+            weight = right.column(column).to_numpy().astype(float) if how == "sum" else None
+            for t in _tiles(a, b) if len(b) else ():
+                close = _within_eps(a[t], b, eps)
+                some[t] = any_ = close.any(axis=1)
+                if how == "sum":
+                    sums.append(close[any_].astype(float) @ weight)
+                elif any_.any():
+                    first.append(close[any_].argmax(axis=1))
             if how == "sum":
-                x = pa.array(close[some].astype(np.int64) @ right.column(column).to_numpy().astype(np.int64))
+                x = pa.array(np.concatenate([np.empty(0), *sums]).astype(np.int64))
             else:
-                x = right.column(column).take(pa.array(close[some].argmax(axis=1) if some.any() else np.empty(0, np.int64)))
+                x = right.column(column).take(pa.array(np.concatenate(first)))
             return pa.table({"rep": left.column("rep").filter(pa.array(some)), "x": x})
         return run
     return of
 
 
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest of each number's component of the edges u, v."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _star_kernel(eps: float):
-    """(u, v): each point of two blocks with one of its component in the blocks."""
+    """(u, v): each point of two blocks with the first one of its component in the blocks."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = _vectors(left.column("v")), _vectors(right.column("v"))
-        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(a) and len(b):
-            close = _score(a, b, "euclidean") <= eps
-            label = np.arange(len(a))
-            while True:  # least row of the left block that each one reaches
-                over = np.where(close, label[:, None], len(a)).min(axis=0)
-                new = np.minimum(label, np.where(close, over[None, :], len(a)).min(axis=1))
-                if (new == label).all():
-                    break
-                label = new
-            held = np.flatnonzero(over < len(a))
-            u, v = label, over[held]
-            return pa.table({"u": pa.chunked_array([left.column("rep").combine_chunks(), right.column("rep").take(pa.array(held)).combine_chunks()]),
-                             "v": left.column("rep").take(pa.array(np.concatenate([u, v])))})
-        return pa.table({"u": left.column("rep").take(pa.array(u)), "v": left.column("rep").take(pa.array(v))})
+        u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        step = math.isqrt(_TABLE)
+        for s in range(0, len(a), step):
+            for r in range(0, len(b), step):
+                close = _within_eps(a[s:s + step], b[r:r + step], eps)
+                rows, cols = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+                if not len(rows):
+                    continue
+                close = close[np.ix_(rows, cols)]
+                label = np.arange(len(rows))
+                while True:  # least row of the tile that each one reaches
+                    over = np.where(close, label[:, None], len(rows)).min(axis=0)
+                    new = np.minimum(label, np.where(close, over[None, :], len(rows)).min(axis=1))
+                    if (new == label).all():
+                        break
+                    label = new
+                u += [s + rows, len(a) + r + cols]
+                v += [s + rows[label], s + rows[over]]
+        root = _roots(len(a) + len(b), np.concatenate(u), np.concatenate(v))
+        away = np.flatnonzero(root != np.arange(len(root)))
+        names = pa.chunked_array([*left.column("rep").chunks, *right.column("rep").chunks], left.column("rep").type)
+        return pa.table({"u": names.take(pa.array(away)), "v": names.take(pa.array(root[away]))})
     return run
 
 

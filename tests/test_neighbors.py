@@ -162,3 +162,42 @@ def test_a_threshold_of_zero_is_no_error(spark):
     assert [(got[i]["in_domain"], got[i]["confidence"]) for i in (1, 2, 3)] == [(True, 1.0), (False, 0.0), (False, 0.0)]
     voted = {r["id"]: r["votes"] for r in J.vote([J.distance_ad(train, test, "id", ["a", "b"])], "id").collect()}
     assert voted == {1: 1, 2: 0, 3: 0}
+
+
+def _wide(spark, n=700, p=24, shift=1000.0):
+    """Vectors without structure, far from 0, in which products cancel; some nearly equal."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(n, p)) + shift
+    v[1], v[2], v[3] = v[0], v[0] + 1e-7, v[0] + 3e-9
+    return v, frame(spark, v)
+
+
+def test_wide_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_POINTS", 300)
+    monkeypatch.setattr(N, "_TABLE", 10_000)
+    v, f = _wide(spark)
+    assert rows(N.dense_topk(f, f, "id", "id", "v", 3, "euclidean", exclude_self=True)) == brute(v, v, 3, "euclidean", True)
+    eps = 4.2
+    far = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)), 9)
+    got = sorted((r["qid"], r["did"]) for r in N.dense_radius(f, f, "id", "id", "v", eps).collect())
+    assert got == [(i, j) for i in range(len(v)) for j in range(len(v)) if far[i, j] <= eps]
+    close = far <= eps
+    core = close.sum(axis=1) >= 5
+    label = {i: i for i in np.flatnonzero(core)}
+    while True:
+        new = {i: min(label[j] for j in np.flatnonzero(close[i] & core)) for i in label}
+        if new == label:
+            break
+        label = new
+    want = {i: label.get(i, min((label[j] for j in np.flatnonzero(close[i] & core)), default=None)) for i in range(len(v))}
+    assert {r["id"]: r["cluster"] for r in N.dbscan(f, "id", "v", eps, 5).collect()} == want
+
+
+def test_wide_vectors_are_sent_to_few_cells(spark):
+    """Vectors of many features leave no cell out: a row is sent to each of them."""
+    _, f = _wide(spark, 3000, 32, 0.0)
+    pts = N.points(N.vectors(f, "id", "v"), 1).select("rep", "v")
+    cells = N.Cells(pts, "euclidean")
+    asked = cells.deal(pts, True)
+    sent, _ = cells.others(asked, None, 100.0)
+    assert sent.count() <= 3000
