@@ -64,3 +64,61 @@ def bayesian_ridge(n: int, means: np.ndarray, products: np.ndarray, max_iter: in
         weight = (known + 2 * small) / ((coef ** 2).sum() + 2 * small)
         noise = (n - known + 2 * small) / (rest + 2 * small)
     return coef, float(means[-1] - coef @ means[:-1])
+
+
+def weighted_moments(df: DataFrame, weights: Sequence[str], cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The columns' means, and per weight column (never null) the weighted cross products
+    of (1, *cols) less these means, all from one pass; a null, NaN or infinite value in
+    ``cols`` is an error."""
+    k, p = len(weights), len(cols) + 1
+    means = np.array([v or 0.0 for v in df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()])
+    x = df.select(*[F.col(w).cast("double").alias(f"w{i}") for i, w in enumerate(weights)],
+                  *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def add(columns):
+        m = np.column_stack([np.ones(len(columns[0])), np.column_stack(columns[k:]).astype(float) - means])
+        if not np.isfinite(m).all():
+            raise ValueError("values must not be null, NaN or infinite")
+        return np.concatenate([((m * w[:, None]).T @ m).ravel() for w in columns[:k]])
+
+    return means, summed(x, k * p * p, add).reshape(k, p, p)
+
+
+def elastic_net(moments: np.ndarray, reg: float = 0.0, mix: float = 0.0, tol: float = 1e-12, max_iter: int = 100_000) -> np.ndarray:
+    """(intercept, *coefficients) of the last column on the others by cross products of
+    (1, *columns): half the mean squared error plus ``reg`` · (``mix`` · L1 + (1 − ``mix``) / 2 · L2)
+    on standardised columns, as ``LinearRegression`` has it."""
+    n = moments[0, 0]
+    if not n > 0:
+        raise ValueError("no rows to fit on")
+    mean = moments[0, 1:] / n
+    cov = moments[1:, 1:] / n - np.outer(mean, mean)
+    var = np.diag(cov)
+    # What is left of a constant column is rounding.
+    sd = np.sqrt(np.where(var > 1e-14 * np.maximum(np.diag(moments)[1:] / n, 1e-300), var, 0.0))
+    if sd[-1] == 0:
+        return np.concatenate([[mean[-1]], np.zeros(len(mean) - 1)])
+    use = np.flatnonzero(sd[:-1] > 0)
+    c = cov[np.ix_(use, use)] / np.outer(sd[use], sd[use])
+    xy = cov[use, -1] / sd[use] / sd[-1]
+    l1, l2 = reg * mix / sd[-1], reg * (1 - mix) / sd[-1]
+    b = np.linalg.lstsq(c + l2 * np.eye(len(use)), xy, rcond=1e-12)[0]
+    if l1 > 0:
+        for _ in range(max_iter):
+            old = b.copy()
+            for j in range(len(use)):
+                rest = xy[j] - c[j] @ b + c[j, j] * b[j]
+                b[j] = np.sign(rest) * max(abs(rest) - l1, 0.0) / (c[j, j] + l2)
+            if np.abs(b - old).max(initial=0.0) <= tol:
+                break
+    coef = np.zeros(len(sd) - 1)
+    coef[use] = b * sd[-1] / sd[use]
+    return np.concatenate([[mean[-1] - coef @ mean[:-1]], coef])
+
+
+def squared_error(moments: np.ndarray, model: np.ndarray) -> float:
+    """Mean squared error of (intercept, *coefficients) on cross products of (1, *columns)."""
+    if not moments[0, 0] > 0:
+        raise ValueError("no rows to score")
+    v = np.concatenate([model, [-1.0]])
+    return max(0.0, float(v @ moments @ v) / moments[0, 0])

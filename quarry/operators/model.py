@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_bucket, hash_unit
-from ..functions.linear import gram
+from ..functions.linear import elastic_net, gram, squared_error, weighted_moments
 from ..functions.stats import quantiles
 from ..session import cut_lineage
 from . import neighbors
-from .metrics import poisson1
+from .metrics import poisson1_of
 from .similarity import dense_logsumexp
 
 
@@ -317,17 +317,15 @@ def compare_estimators(df: DataFrame, key: str, cols: Sequence[str], label: str,
 
 # ---------------------------------------------------------------- J11
 def hpo(df: DataFrame, key: str, cols: Sequence[str], label: str, mode: str = "grid", n_trials: int = 6,
-        n_folds: int = 3, seed: int = 42, parallelism: int = 4) -> DataFrame:
+        n_folds: int = 3, seed: int = 42) -> DataFrame:
     """Grid / random / explore-exploit search over (regParam,
     elasticNetParam) of a linear model, every trial scored by k-fold CV on a
-    hash fold column (``CrossValidator(foldCol)``); all trials kept."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator
-    data = assemble(df.select(key, label, *cols).na.drop(), cols).withColumn(
-        "fold", hash_bucket(seed, F.col(key), n_folds).cast("int")).cache()
-    lr = LinearRegression(featuresCol="features", labelCol=label)
-    ev = RegressionEvaluator(labelCol=label, metricName="rmse")
+    hash fold column; all trials kept.  A trial's fits and errors come from the
+    folds' cross products, one pass over the table for all trials; a fold without rows
+    is an error."""
+    data = df.select(key, label, *cols).na.drop().withColumn("__fold", hash_bucket(seed, F.col(key), n_folds))
+    folds = data.withColumns({f"__w{f}": (F.col("__fold") == f).cast("double") for f in range(n_folds)})
+    _, moments = weighted_moments(folds, [f"__w{f}" for f in range(n_folds)], [*cols, label])
     rng = np.random.default_rng(seed)
     if mode == "grid":
         pts = [(r, e) for r in (0.0, 0.01, 0.1) for e in (0.0, 0.5)]
@@ -338,11 +336,8 @@ def hpo(df: DataFrame, key: str, cols: Sequence[str], label: str, mode: str = "g
     trials = []
 
     def run(points):
-        grid = [{lr.regParam: p[0], lr.elasticNetParam: p[1]} for p in points]
-        cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
-                            numFolds=n_folds, parallelism=parallelism, seed=seed)
-        m = cv.fit(data)
-        return list(m.avgMetrics)
+        return [float(np.mean([math.sqrt(squared_error(moments[f], elastic_net(np.delete(moments, f, axis=0).sum(axis=0), r, e)))
+                               for f in range(n_folds)])) for r, e in points]
     if mode in ("grid", "random"):
         for p, s in zip(pts, run(pts)):
             trials.append((len(trials), p[0], p[1], float(s)))
@@ -357,7 +352,6 @@ def hpo(df: DataFrame, key: str, cols: Sequence[str], label: str, mode: str = "g
             trials.append((len(trials), cand[0], cand[1], float(s)))
             if s < best[1]:
                 best = (cand, s)
-    data.unpersist()
     bi = min(range(len(trials)), key=lambda i: (trials[i][3], i))
     rows = [(t, r, e, s, t == bi) for t, r, e, s in trials]
     return df.sparkSession.createDataFrame(
@@ -525,26 +519,28 @@ def ice(df: DataFrame, key: str, cols: Sequence[str], feature: str, model, n_sam
 # ---------------------------------------------------------------- J15
 def bootstrap_interval(df: DataFrame, key: str, cols: Sequence[str], label: str, n_boot: int = 20,
                        alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Poisson(1)-weighted refits (``weightCol``: the distributed
-    bootstrap), predictions gathered into an array per row, mean and
-    linear-interpolated percentile interval over it."""
-    from pyspark.ml.regression import LinearRegression
-    data = assemble(df.select(key, label, *cols), cols).cache()
-    preds = data
-    for b in range(n_boot):
-        w = data.withColumn("w", poisson1(hash_unit(f"{seed}:{b}", F.col(key))).cast("double"))
-        m = LinearRegression(featuresCol="features", labelCol=label, weightCol="w").fit(w)
-        # every bootstrap model scores the rows in place: no joins
-        preds = m.copy().setPredictionCol(f"b{b}").transform(preds)
-    arr = F.array_sort(F.array(*[F.col(f"b{b}") for b in range(n_boot)]))
+    """Poisson(1)-weighted refits (the distributed bootstrap; the weighted cross
+    products of all of them come from one pass), predictions gathered into an array per
+    row, mean and linear-interpolated percentile interval over it.  A null, NaN or
+    infinite feature or label is an error."""
+    hashed = df.select(key, label, *cols).withColumns(
+        {f"__w{b}": F.md5(F.concat(F.lit(f"{seed}:{b}:"), F.col(key).cast("string"))) for b in range(n_boot)})
+    draws = hashed.withColumns({f"__w{b}": poisson1_of(F.col(f"__w{b}")).cast("double") for b in range(n_boot)})
+    means, moments = weighted_moments(draws, [f"__w{b}" for b in range(n_boot)], [*cols, label])
+    models = [elastic_net(m) for m in moments]
+    for m in models:
+        m[0] += means[-1] - m[1:] @ means[:-1]
+    # every bootstrap model scores the rows in place: no joins
+    arr = F.sort_array(F.array(*[sum((F.col(c).cast("double") * F.lit(float(v)) for c, v in zip(cols, m[1:])), F.lit(float(m[0]))) for m in models]))
+    preds = df.select(key, label, arr.alias("__a"))
 
     def pct(p):
         pos = p * (n_boot - 1)
         lo, frac = int(math.floor(pos)), pos - math.floor(pos)
-        a = F.element_at(arr, lo + 1)
-        b = F.element_at(arr, min(lo + 2, n_boot))
+        a = F.element_at("__a", lo + 1)
+        b = F.element_at("__a", min(lo + 2, n_boot))
         return a + (b - a) * F.lit(frac)
-    return preds.select(key, label, (F.aggregate(arr, F.lit(0.0), lambda s, v: s + v) / n_boot).alias("mean"),
+    return preds.select(key, label, (sum((F.element_at("__a", b + 1) for b in range(n_boot)), F.lit(0.0)) / n_boot).alias("mean"),
                         pct(alpha / 2).alias("lower"), pct(1 - alpha / 2).alias("upper"))
 
 
