@@ -20,15 +20,52 @@ def summed(df: DataFrame, size: int, add: Callable[[list[np.ndarray]], np.ndarra
             if b.num_rows:
                 total += add([c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if pa.types.is_list(c.type)
                               else c.to_numpy(zero_copy_only=False) for c in b.columns])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["at", "v"])
+        yield _sparse(total)
 
+    return _gathered(df, size, run)
+
+
+def _sparse(total: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["at", "v"])
+
+
+def _gathered(df: DataFrame, size: int, run) -> np.ndarray:
     out = np.zeros(size)
     for r in df.mapInArrow(run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         out[r["at"]] = r["v"]
     return out
 
 
+def packed(df: DataFrame, rows: int = 16384) -> DataFrame:
+    """(block): the double columns of about ``rows`` rows as one binary value, column by
+    column, for passes that read the same rows again and again."""
+    def run(it):
+        held, size = [], 0
+        for b in it:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+            size += b.num_rows
+            if size >= rows:
+                yield pa.RecordBatch.from_arrays([pa.array([np.hstack(held).tobytes()], pa.binary())], ["block"])
+                held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([np.hstack(held).tobytes()], pa.binary())], ["block"])
+
+    return df.mapInArrow(run, "block binary")
+
+
+def summed_blocks(blocks: DataFrame, width: int, size: int, add: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """``summed`` over the blocks of ``packed`` with ``width`` columns."""
+    def run(it):
+        total = np.zeros(size)
+        for b in it:
+            for x in b.column(0):
+                total += add(list(np.frombuffer(x.as_buffer(), float).reshape(width, -1)))
+        yield _sparse(total)
+
+    return _gathered(blocks, size, run)
+
+
 def gram(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows without a null or NaN, the columns' means, and the centred cross products."""
     x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])

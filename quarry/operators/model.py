@@ -554,7 +554,7 @@ def quantile_regression(df: DataFrame, cols: Sequence[str], label: str, probs: S
     optimum of the rounded loss its slopes are feasible for the dual problem, so
     pinball loss − Σ slope · y bounds the error; h shrinks until that is less than
     ``gap`` of the loss."""
-    from ..functions.linear import summed
+    from ..functions.linear import packed, summed_blocks
     names = [*cols, label]
     n, means, c = gram(df, names)
     k, p = len(probs), len(cols) + 1
@@ -563,7 +563,7 @@ def quantile_regression(df: DataFrame, cols: Sequence[str], label: str, probs: S
     sd = np.sqrt(np.maximum(np.diag(c) / n, 0))
     sd = np.where(sd > 0, sd, 1.0)
     x = df.select(*[((F.col(v).cast("double") - F.lit(float(means[i]))) / F.lit(float(sd[i]))).alias(f"c{i}") for i, v in enumerate(names)])
-    x = cut_lineage(x.where(" and ".join(f"c{i} is not null and not isnan(c{i})" for i in range(len(names)))))
+    x = cut_lineage(packed(x.where(" and ".join(f"c{i} is not null and not isnan(c{i})" for i in range(len(names))))))
     q = np.array(probs, float)
     start, *_ = np.linalg.lstsq(c[:-1, :-1] / np.outer(sd[:-1], sd[:-1]), c[:-1, -1] / sd[:-1] / sd[-1], rcond=1e-12)
     b = np.tile(np.concatenate([[0.0], start]), (k, 1))
@@ -582,7 +582,7 @@ def quantile_regression(df: DataFrame, cols: Sequence[str], label: str, probs: S
                 hess = m[inside].T @ m[inside] / (2 * h[t])
                 out += [[smooth.sum(), exact.sum() - float(slope @ r)], m.T @ slope, hess.ravel()]
             return np.concatenate(out)
-        flat = summed(x, k * size, add).reshape(k, size)
+        flat = summed_blocks(x, len(names), k * size, add).reshape(k, size)
         return flat[:, 0], flat[:, 1], flat[:, 2:2 + p], flat[:, 2 + p:].reshape(k, p, p)
 
     h, damp = np.full(k, 1.0), np.full(k, 1e-6)

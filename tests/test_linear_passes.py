@@ -58,3 +58,19 @@ def test_grid_equals_cross_validator_in_few_jobs(spark, data):
 def test_null_features_are_an_error(spark, data):
     with pytest.raises(Exception, match="null, NaN or infinite"):
         J.bootstrap_interval(data.withColumn("a", F.when(F.col("k") != "k5", F.col("a"))), "k", COLS, "y", n_boot=2).collect()
+
+
+def test_quantile_passes_read_blocks_not_rows(spark, monkeypatch):
+    """The rows of the Newton steps are held as a few blocks of whole columns."""
+    from quarry.functions.linear import packed, summed, summed_blocks
+
+    held, cut = [], J.cut_lineage
+    monkeypatch.setattr(J, "cut_lineage", lambda d: held.append(cut(d)) or held[-1])
+    df = spark.range(0, 4000, 1, 2).selectExpr("id", "cast(id % 37 as double) x", "cast(id % 37 * 2 + (id * 7919) % 11 as double) y")
+    b, left = J.quantile_regression(df, ["x"], "y", [0.5])
+    assert held[0].count() <= 2 and left[0] <= 1e-3 and abs(b[0, 1] - 2) < 0.05
+    two = df.select("x", "y")
+
+    def add(c):
+        return np.array([c[0] @ c[1], len(c[0])])
+    assert np.allclose(summed_blocks(packed(two, 100), 2, 2, add), summed(two, 2, add))
