@@ -185,8 +185,9 @@ def _shared_map(df: DataFrame, tok_col: str) -> bytes:
     return out.tobytes()
 
 
-def _kept(df: DataFrame, tok_col: str) -> Column:
-    """The different tokens of a row that ``_shared_map`` has."""
+def _kept(df: DataFrame, tok_col: str, floor: float = 0.0) -> Column:
+    """The different tokens of a row that ``_shared_map`` has; null if these are less than
+    the share ``floor`` of its different tokens."""
     shared = df.sparkSession.sparkContext.broadcast(_shared_map(df, tok_col))
 
     @F.arrow_udf(df.schema[tok_col].dataType)
@@ -195,23 +196,28 @@ def _kept(df: DataFrame, tok_col: str) -> Column:
         bits = np.frombuffer(shared.value, np.uint8)
         has = (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
         size = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        upto = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], np.cumsum(size)])]
-        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), toks.flatten().filter(pa.array(has)))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        few = np.diff(np.concatenate([[0], np.cumsum(has)])[ends]) < np.ceil(size * floor - 1e-9)
+        has &= ~np.repeat(few, size)
+        upto = np.concatenate([[0], np.cumsum(has)])[ends]
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), toks.flatten().filter(pa.array(has)), mask=pa.array(few))
 
     toks = F.array_distinct(F.filter(tok_col, lambda t: t.isNotNull()))
     return run(toks, _token_codes(F.col(tok_col)))
 
 
-def _rows(df: DataFrame, id_col: str, tok_col: str, alone: bool = False) -> DataFrame:
+def _rows(df: DataFrame, id_col: str, tok_col: str, alone: bool = False, floor: float = 0.0) -> DataFrame:
     """(row, id, n, key, toks) of the rows with an id and a token, written once: sets
     are read several times.  ``row`` numbers the rows, ``key`` is the same for equal sets.
     When the rows meet one another ``alone``, most tokens that are in one row only stay
-    out of ``toks``: a first pass over ``df`` tells them."""
+    out of ``toks``: a first pass over ``df`` tells them.  Rows with less than the share ``floor``
+    of their tokens left, which reach that Jaccard similarity with no other row, stay out."""
     d = df.select(F.col(id_col).alias("id"), F.col(tok_col).alias("toks"))
+    toks = _kept(d, "toks", floor) if alone else F.col("toks")
     # The filter comes last: before, it would make the tokens twice.
     return cut_lineage(d.select(F.monotonically_increasing_id().alias("row"), "id", F.size("toks").alias("n"),
-                                F.unhex(F.md5(F.to_json(F.array_sort("toks")))).alias("key"),
-                                _kept(d, "toks").alias("toks") if alone else F.col("toks"))).where("id is not null and n > 0")
+                                F.when(toks.isNotNull(), F.unhex(F.md5(F.to_json(F.array_sort("toks"))))).alias("key"),
+                                toks.alias("toks"))).where("id is not null and n > 0 and toks is not null")
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -518,13 +524,14 @@ def set_join(q: DataFrame, d: DataFrame, q_id: str, d_id: str, tok_col: str = "t
                 ds.select("did", F.explode("dtoks").alias("tok")), "tok")).groupBy("qid", "did").agg(F.count("*").alias("inter"))
             out = pairs.join(qs.select("qid", "qn"), "qid").join(ds.select("did", "dn"), "did")
     else:
-        qs = _rows(q, q_id, tok_col, self_join)
+        floor = _jaccard_floor(threshold, metric)
+        qs = _rows(q, q_id, tok_col, self_join, floor)
         ds = None if self_join else _rows(d, d_id, tok_col)
         qm = _members(qs)
         dm = qm if self_join else _members(ds)
         qn = qs.join(qm.select(c("node").alias("row")).distinct(), "row", "left_semi")
         dn = None if self_join else ds.join(dm.select(c("node").alias("row")).distinct(), "row", "left_semi")
-        pairs = _node_join(_token_classes(qn, dn), _jaccard_floor(threshold, metric), self_join)
+        pairs = _node_join(_token_classes(qn, dn), floor, self_join)
         pairs = cut_lineage(pairs.where(sim_from_counts(c("inter"), c("an"), c("bn"), metric) >= F.lit(threshold)))
         left, right = qm.select(c("node").alias("a"), c("id").alias("qid")), dm.select(c("node").alias("b"), c("id").alias("did"))
         out = pairs.join(left, "a").join(right, "b").select("qid", "did", "inter", c("an").alias("qn"), c("bn").alias("dn"))
@@ -772,13 +779,20 @@ def activity_cliffs(df: DataFrame, id_col: str, act_col: str, tok_col: str = "to
         F.col("qid").alias("id_i"), F.col("did").alias("id_j"), "sim", "act_i", "act_j", "ratio")
 
 
-def char_diff_label(s1: Column, s2: Column) -> Column:
-    """D11 transformation label from the character-set difference
+def char_set(text: Column) -> Column:
+    """The different characters of a text, in order, as one string."""
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else "".join(sorted(set(t))) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def char_diff_label(c1: Column, c2: Column) -> Column:
+    """D11 transformation label from the difference of two ``char_set``
     ('-removed+added', '+added', '-removed' or 'similar'); characters sorted."""
-    c1 = F.array_distinct(F.regexp_extract_all(s1, F.lit("(?s)(.)"), 1))
-    c2 = F.array_distinct(F.regexp_extract_all(s2, F.lit("(?s)(.)"), 1))
-    added = F.array_join(F.array_sort(F.array_except(c2, c1)), "")
-    removed = F.array_join(F.array_sort(F.array_except(c1, c2)), "")
+    added = F.call_function("translate", c2, c1, F.lit(""))
+    removed = F.call_function("translate", c1, c2, F.lit(""))
     return (F.when((F.length(added) > 0) & (F.length(removed) > 0), F.concat(F.lit("-"), removed, F.lit("+"), added))
             .when(F.length(added) > 0, F.concat(F.lit("+"), added))
             .when(F.length(removed) > 0, F.concat(F.lit("-"), removed))
@@ -787,11 +801,13 @@ def char_diff_label(s1: Column, s2: Column) -> Column:
 
 def matched_pairs(df: DataFrame, id_col: str, text_col: str, act_col: str, tok_col: str = "toks",
                   min_similarity: float = 0.7) -> DataFrame:
-    """Pairs i<j with min ≤ sim < 1, delta = act_j − act_i, label."""
+    """Pairs i<j with min ≤ sim < 1, delta = act_j − act_i, label.  The characters of
+    a text are taken once a row, not once a pair."""
     pairs = set_join(df, df, id_col, id_col, tok_col, min_similarity, "tanimoto", self_join=True)
     pairs = pairs.where(F.col("sim") < 1.0)
-    a = df.select(F.col(id_col).alias("qid"), F.col(text_col).alias("t_i"), F.col(act_col).cast("double").alias("a_i"))
-    b = df.select(F.col(id_col).alias("did"), F.col(text_col).alias("t_j"), F.col(act_col).cast("double").alias("a_j"))
+    chars = char_set(F.col(text_col))
+    a = df.select(F.col(id_col).alias("qid"), chars.alias("t_i"), F.col(act_col).cast("double").alias("a_i"))
+    b = df.select(F.col(id_col).alias("did"), chars.alias("t_j"), F.col(act_col).cast("double").alias("a_j"))
     j = pairs.join(a, "qid").join(b, "did")
     return j.select(F.col("qid").alias("id_i"), F.col("did").alias("id_j"), "sim",
                     (F.col("a_j") - F.col("a_i")).alias("delta"),

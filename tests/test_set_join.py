@@ -85,3 +85,40 @@ def test_best_match_orders_common_tokens_only(spark, monkeypatch):
 
 def found_best(df):
     return sorted((r["qid"], r["did"], round(r["sim"], 9)) for r in df.collect())
+
+
+def test_rows_that_reach_no_other_are_not_written(spark):
+    # 100 of 400 tokens are shared by all; three rows differ in 40 tokens only, two are equal.
+    x = [(i, [*range(100), *range(1000 * i + 1000, 1000 * i + 1300)]) for i in range(10)]
+    near = [(20 + i, [*range(50_000, 50_360), *range(60_000 + 40 * i, 60_040 + 40 * i)]) for i in range(3)]
+    x += near + [(30, [*range(70_000, 70_200)]), (31, [*range(70_000, 70_200)])]
+    for t, ids in ((0.7, [20, 21, 22, 30, 31]), (0.2, [i for i, _ in x])):
+        assert sorted(r["id"] for r in S._rows(frame(spark, x), "id", "toks", True, t).collect()) == ids
+        got = S.set_join(frame(spark, x), None, "id", "id", threshold=t, self_join=True)
+        want = [(i, j) for i, a in x for j, b in x if i < j and len({*a} & {*b}) / len({*a} | {*b}) >= t]
+        assert sorted((r["qid"], r["did"]) for r in got.collect()) == sorted(want)
+
+
+def test_repeated_and_null_tokens_pass_the_floor(spark):
+    x = [(1, [1, 1, 1, 2]), (2, [1, 1, 1, 2]), (3, [None]), (4, [None]), (5, None), (6, [])]
+    got = S.set_join(frame(spark, x), None, "id", "id", threshold=0.7, self_join=True)
+    assert sorted((r["qid"], r["did"], r["sim"]) for r in got.collect()) == [(1, 2, 1.0), (3, 4, 1.0)]
+
+
+def test_characters_are_taken_once_a_row(spark):
+    text = {1: "abc\U0001f600", 2: "abd", 3: "abcé", 4: "", 5: None, 6: "ab\x00"}
+    x = [(i, t, [*range(9), 100 + i], float(i)) for i, t in text.items()]
+    df = spark.createDataFrame(x, "id bigint, text string, toks array<bigint>, act double")
+    out = S.matched_pairs(df, "id", "text", "act")
+
+    def label(a, b):
+        if a is None or b is None:
+            return "similar"
+        more, less = "".join(sorted({*b} - {*a})), "".join(sorted({*a} - {*b}))
+        return f"-{less}+{more}" if more and less else f"+{more}" if more else f"-{less}" if less else "similar"
+
+    assert {(r["id_i"], r["id_j"]): (r["transformation"], r["delta"]) for r in out.collect()} == {
+        (i, j): (label(a, b), float(j - i)) for i, a in text.items() for j, b in text.items() if i < j}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[:plan.index("Join")]
+    assert "regexp_extract_all" not in plan and "run(" not in joined
