@@ -122,3 +122,32 @@ def test_characters_are_taken_once_a_row(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[:plan.index("Join")]
     assert "regexp_extract_all" not in plan and "run(" not in joined
+
+
+def test_map_of_shared_tokens_grows_with_them(spark, monkeypatch):
+    monkeypatch.setattr(S, "_MAP_BITS", 13)
+    x = [(i, [*range(3000), *range(10_000 * i + 10_000, 10_000 * i + 12_000)]) for i in range(2)]
+    bits, held = S._shared_map(frame(spark, x), "toks")
+    assert bits == 15 and len(held) == 1 << 12
+    kept = S._rows(frame(spark, x), "id", "toks", True).collect()
+    assert all(set(range(3000)) <= set(r["toks"]) and len(r["toks"]) < 3600 for r in kept)
+
+
+def test_codes_are_sent_in_few_bytes():
+    import zlib
+
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    code = np.sort(rnd.integers(0, 1 << 27, 2048))
+    sent = S._gaps(code)
+    assert (S._from_gaps(sent) == code).all() and len(S._from_gaps(S._gaps(code[:0]))) == 0
+    assert len(zlib.compress(sent, 1)) < 2.6 * len(code)
+
+
+def test_common_tokens_are_shuffled_once(spark):
+    x = S._rows(frame(spark, [(i, [*range(30), 100 + i]) for i in range(8)]), "id", "toks")
+    out = S._token_classes(x, None)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Generate explode") == 1
