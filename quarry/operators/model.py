@@ -26,6 +26,7 @@ from ..session import cut_lineage
 from . import neighbors
 from .metrics import poisson1_of
 from .similarity import dense_logsumexp
+from .topics import lda_topics  # noqa: F401
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -108,27 +109,6 @@ def truncated_svd(df: DataFrame, vec_col: str, k: int = 5) -> list[float]:
     return [float(s) for s in svd.s.toArray()]
 
 
-def lda_topics(df: DataFrame, text_col: str, k: int = 5, vocab: int | None = None, max_iter: int = 10,
-               seed: int = 42, top_terms: int = 8, min_docs: int = 1) -> DataFrame:
-    """J08 LDA topics over word counts (CountVectorizer + online LDA); all words
-    unless ``vocab`` or ``min_docs`` ask for fewer."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-    tok = RegexTokenizer(inputCol=text_col, outputCol="w", pattern="[ \\t\\r\\n]+", toLowercase=True)
-    words = tok.transform(df)
-    if vocab is None:
-        vocab = max(1, words.select(F.explode("w").alias("w")).distinct().count())
-    cv = CountVectorizer(inputCol="w", outputCol="features", vocabSize=vocab, minDF=float(min_docs))
-    cvm = cv.fit(words)
-    data = cvm.transform(words).select("features").cache()
-    m = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(data)
-    voc = cvm.vocabulary
-    t = m.describeTopics(top_terms).collect()  # k rows of top_terms words
-    data.unpersist()
-    rows = [(r["topic"], [voc[i] for i in r["termIndices"]], [float(v) for v in r["termWeights"]]) for r in t]
-    return df.sparkSession.createDataFrame(rows, "topic int, terms array<string>, termWeights array<double>")
-
-
 def pca_fit(df: DataFrame, vec_col: str, k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, components (k × p, the greatest loading of each positive) and explained
     variance ratios, from one pass of cross products; all components without ``k``."""
