@@ -167,3 +167,41 @@ def test_columns_move_over_the_whole_table(spark):
     again = {r["id"]: r["shadow_v"] for r in I.permute_columns(df.repartition(5), "id", ["v", "w"], 5).collect()}
     assert again == {r["id"]: r["shadow_v"] for r in rows}
     assert I.permute_columns(df.where("id < 0"), "id", ["v"], 1).collect() == []
+
+
+def _ranking(monkeypatch):
+    from quarry.functions import stats
+
+    calls, rank = [], stats.global_rank
+    monkeypatch.setattr(stats, "global_rank", lambda df, *a, **k: calls.append(df.columns) or rank(df, *a, **k))
+    return calls
+
+
+def test_permutation_importance_ranks_once(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    a, b = rnd.normal(size=(2, 400))
+    y = 3 * a + 0.2 * b + 0.1 * rnd.normal(size=400)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(zip(a, b, y))], "id bigint, a double, b double, y double")
+    want = {}
+    m = np.linalg.lstsq(np.column_stack([np.ones(400), a, b]), y, rcond=None)[0]
+    r2 = lambda x: 1 - ((y - np.column_stack([np.ones(400), *x]) @ m) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    for i, c in enumerate("ab"):
+        drops = []
+        for r in range(2):
+            to = I.permuted_ranks(np.arange(400), 400, I.round_keys(42 + 31 * r + i, 0))
+            x = [a.copy(), b.copy()]
+            x[i][to] = [a, b][i]
+            drops.append(r2([a, b]) - r2(x))
+        want[c] = (np.mean(drops), np.std(drops))
+    calls = _ranking(monkeypatch)
+    got = I.permutation_importance(df, "id", ["a", "b"], "y", n_repeats=2, k=1).collect()
+    assert len(calls) == 1
+    assert [(r["feature"], r["rank"], r["selected"]) for r in got] == [("a", 1, True), ("b", 2, False)]
+    assert all(np.allclose((r["importance"], r["std"]), want[r["feature"]], atol=1e-9) for r in got)
+
+
+def test_boruta_ranks_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 17), float(i * 7919 % 101), 5.0 * (i % 17)) for i in range(300)], "id bigint, a double, b double, y double")
+    calls = _ranking(monkeypatch)
+    got = {r["feature"]: r["hits"] for r in I.boruta(df, "id", ["a", "b"], "y", n_iter=2).collect()}
+    assert len(calls) == 1 and got["a"] == 2
